@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, packing, quality
+from . import bpe, exact_dedup, fingerprints, language, packing, pii, quality
 from .common import table
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
@@ -38,5 +42,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_best_fit_packing, op4_exact_dedup, op5_language, op8_quality)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_best_fit_packing, op4_exact_dedup, op5_language, op8_quality, op9_pii)}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
