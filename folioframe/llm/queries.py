@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, language, packing, pii, quality
+from . import bpe, exact_dedup, fingerprints, html_text, language, packing, pii, quality
 from .common import table
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -46,5 +46,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_best_fit_packing, op4_exact_dedup, op5_language, op8_quality, op9_pii)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_best_fit_packing, op4_exact_dedup, op5_language, op8_quality, op9_pii, op10_html_text)}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
