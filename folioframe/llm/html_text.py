@@ -25,6 +25,8 @@ from .common import durable
 
 #: A class is part of the template if it stands on this share of a host's pages.
 SUPPORT = 0.1
+#: Elements nested deeper than this count as part of the element that holds them.
+MAX_DEPTH = 200
 #: Hosts whose slots (a few paths each) are broadcast; beyond it they are joined.
 MAX_BROADCAST_HOSTS = 20_000
 
@@ -119,6 +121,9 @@ def parse(page: str):
             if tag not in INLINE and tag != "img":
                 yield "break", path, aside
             continue
+        if len(stack) >= MAX_DEPTH:
+            yield "break", path, aside
+            continue
         own |= tag in ASIDE_TAGS or tag == "header" and not any(t in ("article", "main") for t, _, _ in stack)
         entry = (tag, (*path, f"{tag}.{name}" if name else tag), aside or own and tag not in ("html", "body"))
         stack.append(entry)
