@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, html_text, language, packing, pii, quality, setjoin
+from . import bpe, exact_dedup, fingerprints, html_text, language, packing, pii, quality, setjoin, token_files
 from .common import table
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -38,6 +38,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_report(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,5 +64,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_best_fit_packing, op4_exact_dedup, op5_language, op7_ngram_jaccard, op8_quality, op9_pii, op10_html_text, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_best_fit_packing, op4_exact_dedup, op5_language, op6_token_files, op7_ngram_jaccard, op8_quality, op9_pii, op10_html_text, pipeline)}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
