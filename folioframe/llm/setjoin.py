@@ -29,7 +29,9 @@ SHINGLE = 5
 #: Signatures shared by more sets than this are frequent. Nothing is dropped by it: see step 4 above.
 FREQUENT = 8
 #: Signatures per reducing task, and elements per block of a family.
-PART_SIGNATURES, BLOCK_ELEMENTS = 2_000_000, 200_000
+PART_SIGNATURES, BLOCK_ELEMENTS = 1_000_000, 200_000
+#: Bytes of text per vectorised step, and entries that a task holds before it passes them on.
+STEP, HELD = 1 << 20, 400_000
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -57,13 +59,13 @@ def set_digests(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _keys(batches):
     for b in batches:
-        for a, e, buf, off in text_steps(b.column(1)):
+        for a, e, buf, off in text_steps(b.column(1), STEP):
             h, soff = shingle_sets(buf, off)
             one, two = set_digests(h, soff)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array(np.diff(soff)), pa.array(one), pa.array(two)], ["doc_id", "n", "d1", "d2"])
 
 
-_ENTRY = np.dtype([("sig", "<u8"), ("id", "<i8"), ("need", "<i4"), ("flag", "<i4")])
+_ENTRY = np.dtype([("sig", "<u8"), ("id", "<i8"), ("need", "<i2"), ("flag", "<u2")])
 _PROBE, _LESS, _SMALL = 1, 2, 4
 
 
@@ -81,7 +83,7 @@ def _entries(h: np.ndarray, off: np.ndarray, ids: np.ndarray) -> np.ndarray:
         mine[rows] = True
         sig, who, less, need = signatures(h[np.repeat(mine, n)], np.concatenate([[0], np.cumsum(n[rows])]), j[rows] - shift)
         e = np.zeros(len(sig), _ENTRY)
-        e["sig"], e["id"], e["need"] = sig, ids[rows][who], need[who]
+        e["sig"], e["id"], e["need"] = sig, ids[rows][who], np.minimum(need, 32767)[who]  # less than a set has is safe
         e["flag"] = flag | np.where(less, _LESS, 0)
         twos = np.zeros(len(rows), bool)
         twos[np.unique(who[less])] = True
@@ -96,18 +98,18 @@ def _index(parts: int):
     def run(batches):
         held, size, seen = [], 0, set()
         for b in batches:
-            for _, _, buf, off in text_steps(b.column(0)):
+            for _, _, buf, off in text_steps(b.column(0), STEP):
                 h, soff = shingle_sets(buf, off)
                 ids, _ = set_digests(h, soff)
                 fresh = np.array([i not in seen and not seen.add(i) for i in ids.tolist()])
-                if len(seen) > 1_000_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 if fresh.any():
                     h = h[np.repeat(fresh, np.diff(soff))]
                     soff = np.concatenate([[0], np.cumsum(np.diff(soff)[fresh])])
                     held.append(_entries(h, soff, ids[fresh]))
                     size += len(held[-1])
-                if size >= PART_SIGNATURES:
+                if size >= HELD:
                     yield from pack(held)
                     held, size = [], 0
         if size:
@@ -130,12 +132,12 @@ _PAIR, _FREQUENT, _SHORT = 0, 1, 2
 
 def _candidates(batches):
     """Of a part's signatures: candidate pairs with what they share, frequent entries, and sets short of units."""
-    blobs: dict[int, list[bytes]] = {}
+    held: dict[int, list[np.ndarray]] = {}
     for b in batches:
-        for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            blobs.setdefault(p, []).append(x)
-    for p in sorted(blobs):
-        e = np.frombuffer(b"".join(blobs.pop(p)), _ENTRY)
+        for p, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            held.setdefault(p, []).append(np.frombuffer(x.as_buffer(), _ENTRY))
+    for p in sorted(held):
+        e = np.concatenate(held.pop(p))
         e = e[np.lexsort((e["flag"], e["id"], e["sig"]))]
         keep = np.ones(len(e), bool)
         keep[1:] = (e["sig"][1:] != e["sig"][:-1]) | (e["id"][1:] != e["id"][:-1])  # one entry a set, the whole segment's first
@@ -183,7 +185,7 @@ def _rows(kind, a, b, n, x, y):
 
 def _set_rows(batches):
     for b in batches:
-        for a, e, buf, off in text_steps(b.column(1)):
+        for a, e, buf, off in text_steps(b.column(1), STEP):
             h, soff = shingle_sets(buf, off)
             one, _ = set_digests(h, soff)
             blobs = pa.array([h[s:t].tobytes() for s, t in zip(soff[:-1].tolist(), soff[1:].tolist(), strict=True)], pa.binary())
@@ -193,8 +195,8 @@ def _set_rows(batches):
 def _verify(batches):
     for b in batches:
         a_id, b_id, keep = b.column(0).to_numpy(), b.column(2).to_numpy(), np.zeros(len(b), bool)
-        for r, (x, y) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for r, (x, y) in enumerate(zip(b.column(1), b.column(3), strict=True)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             keep[r] = linked(np.isin(x, y, assume_unique=True, kind="sort").sum(), len(x), len(y))
         yield pa.RecordBatch.from_arrays([pa.array(a_id[keep]), pa.array(b_id[keep])], ["a", "b"])
 
@@ -267,7 +269,7 @@ def _short_links(docs: DataFrame, short: DataFrame) -> list[DataFrame]:
                     index.setdefault(h, []).append(k)
             known = np.array(sorted(index), np.uint64)
             for b in batches:
-                for a, e, buf, off in text_steps(b.column(1)):
+                for a, e, buf, off in text_steps(b.column(1), STEP):
                     h, soff = shingle_sets(buf, off)
                     hit = np.flatnonzero(np.isin(h, known))
                     row = np.searchsorted(soff, hit, "right") - 1

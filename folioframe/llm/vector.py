@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 from .common import mix64
@@ -17,12 +15,17 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 
 
-@functools.lru_cache(4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    p, q = np.full(n, _P, np.uint64), np.full(n, _PINV, np.uint64)
-    p[0] = q[0] = 1
-    return np.cumprod(p), np.cumprod(q)
+_tables: list[np.ndarray] = []
+
+
+def _powers(size: int) -> list[np.ndarray]:
+    """Powers of _P and of its inverse, at least `size` of each; one pair is kept and grows as needed."""
+    if not _tables or len(_tables[0]) < size:
+        n = 1 << max(16, (size - 1).bit_length())
+        p, q = np.full(n, _P, np.uint64), np.full(n, _PINV, np.uint64)
+        p[0] = q[0] = 1
+        _tables[:] = [np.cumprod(p), np.cumprod(q)]
+    return _tables
 
 
 def row_sums(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -49,8 +52,7 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span: a position-free polynomial of its bytes, mixed with its length."""
-    bits = max(16, int(len(buf) + 1).bit_length())
-    power, inverse = _powers(bits)
+    power, inverse = _powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=total[1:])
     return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
