@@ -87,7 +87,7 @@ def _entries(h: np.ndarray, off: np.ndarray, ids: np.ndarray) -> np.ndarray:
         e["flag"] = flag | np.where(less, _LESS, 0)
         twos = np.zeros(len(rows), bool)
         twos[np.unique(who[less])] = True
-        e["flag"] |= np.where(twos[who], _SMALL, 0)
+        e["flag"] |= np.where(twos[who], _SMALL, 0).astype(np.uint16)
         out.append(e)
     return np.concatenate(out) if out else np.zeros(0, _ENTRY)
 
@@ -172,7 +172,7 @@ def _candidates(batches):
 
 def _frequent(e):
     """Entries under frequent signatures: signature, set, units that leaving it out costs, allocation, space."""
-    cost = np.where((e["flag"] & _SMALL) & ((e["flag"] & _LESS) == 0), 2, 1)
+    cost = np.where(((e["flag"] & _SMALL) != 0) & ((e["flag"] & _LESS) == 0), 2, 1)
     yield from _rows(_FREQUENT, e["sig"].view(np.int64), e["id"], cost, e["need"], e["flag"] & _PROBE)
 
 
