@@ -1,0 +1 @@
+"""Résumé-document analytics on Spark."""
