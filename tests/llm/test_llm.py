@@ -1,0 +1,358 @@
+"""Operators for training-data pipelines against brute force, round trips, and odd tables."""
+
+import collections
+import hashlib
+import json
+import random
+import re
+import unicodedata
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from folioframe.llm import bpe, components, exact_dedup, fingerprints, html_text, language, packing, pii, quality, range_coder, setjoin, token_files
+
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+ODD = [(1, "Hello world, hello!"), (2, None), (3, ""), (4, "hello WORLD, hello!"), (4, "hello WORLD, hello!"), (5, "  \n\t "), (6, "long " * 30000), (7, "don't WE'LL <|endoftext|> ＡＢ é é ﬁ　x  y"), (None, "Hello world, hello!"), (-3, "日本語 текст 123")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls everywhere, empty and long texts, repeated rows, columns with clashing names."""
+    df = spark.createDataFrame(ODD, "doc_id long, text string")
+    return df.select("*", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(1).alias("id"), F.lit("x").alias("h"), F.lit(0).alias("kept"), F.lit(2).alias("group_size"))
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_bpe_equals_library(spark, odd, none):
+    rows = by_id(bpe.encode_digest(odd, BYTE))
+    t = Tokenizer.from_file(BYTE)
+    for i, text in ODD:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        assert tuple(rows[i])[1:] == want
+    texts = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(odd, BYTE), BYTE).collect()}
+    assert texts == {i: x or "" for i, x in ODD}
+    assert bpe.encode_digest(none, BYTE).count() == 0
+
+
+@pytest.mark.parametrize("path,kind", [(BYTE, "byte"), (WORD, "word")])
+def test_codecs_on_random_text(path, kind):
+    rng = random.Random(5)
+    letters = "ab C'sdtrelvm  \n\t 　é日本１2!?.<|>\x1c\x85Σſİǅ́̈"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["<|endoftext|> a<|endoftext|>", "\t\tX", "!'s ?'the", " <|startoftext|>x"]
+    raw = [x.encode() for x in texts]
+    got = bpe._codec(kind, bpe.vocabulary(path)).encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in raw])]))
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [got.ids[a:b].tolist() for a, b in zip(got.off[:-1], got.off[1:], strict=True)] == want
+
+
+def test_packing_is_gapless_and_tight(spark, odd, none):
+    rows = packing.pack_documents(odd, WORD).collect()
+    t = Tokenizer.from_file(WORD)
+    assert sum(r["length"] for r in rows) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in ODD)
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    long = sorted((r["piece"], r["start"], r["length"]) for r in rows if r["doc_id"] == 6)
+    assert [x[1] for x in long] == [2048 * k for k in range(len(long))] and all(x[2] == 2048 for x in long[:-1])
+    crc = {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in rows}
+    ids = [*t.encode("Hello world, hello!", add_special_tokens=False).ids, 0]
+    assert crc[1, 0] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert packing.pack_documents(none, WORD).count() == 0
+
+
+def test_sum_of_squares_follows_its_rule():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 40, 300)
+    which, offset = packing.sum_of_squares(lengths, 64)
+    gaps: list[int] = []
+    for s, b, o in zip(lengths, which, offset, strict=True):
+        best = None
+        for g in {g for g in gaps if g >= s} | {64}:
+            after = list(gaps)
+            if g == 64:
+                after.append(64 - s)
+            else:
+                after[after.index(g)] = g - s
+            squares = sum(c * c for k, c in collections.Counter(after).items() if k) + (packing.NEW_BIN if g == 64 else 0)
+            best = min(best or (squares, g - s), (squares, g - s))
+        if b == len(gaps):
+            gaps.append(64)
+        assert o == 64 - gaps[b] and gaps[b] - s == best[1]
+        gaps[b] -= s
+
+
+def test_sequences_hold_the_ids(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "three"), (3, None)], "doc_id long, text string")
+    t = Tokenizer.from_file(WORD)
+    seq = packing.sequences(docs, packing.pack_documents(docs, WORD), WORD).collect()
+    assert sorted(i for r in seq for i in r["ids"]) == sorted(i for x in ("one two", "three", "") for i in [*t.encode(x, add_special_tokens=False).ids, 0])
+
+
+@pytest.mark.parametrize("max_bits", [exact_dedup.MAX_FILTER_BITS, 1])
+def test_exact_dedup(spark, odd, none, max_bits):
+    rows = exact_dedup.duplicate_groups(odd, max_bits=max_bits).collect()
+    low = lambda x: (x or "").translate({c: c + 32 for c in range(65, 91)})
+    groups = collections.defaultdict(list)
+    for i, x in ODD:
+        groups[low(x)].append(i)
+    want = collections.Counter((i, max((k for k in groups[low(x)] if k is not None), default=None), len(groups[low(x)]), hashlib.sha256(low(x).encode()).hexdigest()) for i, x in ODD)
+    assert collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in rows) == want
+    assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in rows)
+    assert exact_dedup.duplicate_groups(none, max_bits=max_bits).count() == 0
+    assert exact_dedup.exact_dedup(odd).columns == odd.columns
+
+
+def test_fingerprints(spark, none):
+    base = [(1, "Ａ  b\tＣ"), (2, "a B c"), (3, None), (4, ""), (9, "straße"), (7, "STRASSE "), (5, "x" * 5000), (6, "é"), (8, "é")]
+    docs = spark.createDataFrame(base, "doc_id long, text string").withColumn("fp", F.lit(1)).withColumn("halo", F.lit(1))
+    rows = by_id(fingerprints.fingerprint_report(docs))
+    form = lambda s: " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", s).casefold()).split())
+    order = sorted(base)
+    names = {}
+    for k, (i, x) in enumerate(order):
+        x, y = x or "", order[(k + 1) % len(order)][1] or ""
+        edit = x[: len(x) - len(x) // 4] + y[: len(x) // 4]
+        r = rows[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(x), hashlib.sha256(edit.encode()).hexdigest())
+        assert (r["near_edited"], r["near_next"]) == (float(form(x) == form(edit)), float(form(x) == form(y)))
+        names.setdefault(r["fingerprint"], set()).add(form(x))
+        names.setdefault(r["edited_fingerprint"], set()).add(form(edit))
+    assert all(len(v) == 1 for v in names.values()) and rows[1]["fingerprint"] == rows[2]["fingerprint"]
+    assert fingerprints.fingerprint_report(none).count() == 0
+    assert len({r["fingerprint"] for r in fingerprints.fingerprints(docs).collect()}) == len({form(x or "") for _, x in base})
+
+
+def test_fingerprints_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    docs = spark.createDataFrame([(i * i, f"text {i} " * 3) for i in range(100)], "doc_id long, text string")
+    rows = fingerprints.with_next(docs, "doc_id").orderBy("doc_id").collect()
+    assert [r["next_doc_id"] for r in rows] == [i * i for i in range(1, 100)] + [0]
+
+
+def test_mixed_digests_are_extended(spark):
+    made = spark.createDataFrame([(1, "d", "x"), (2, "d", "y"), (3, "e", "z")], "doc_id long, fp string, alt string")
+    mixed = fingerprints._mixed(spark.createDataFrame([("d", "one"), ("d", "two"), ("d", "two"), ("e", "one")], "fp string, form string"))
+    assert {r["fp"] for r in fingerprints._extend(made, mixed, ("fp", "alt")).collect()} == {"d-x", "d-y", "e"}
+
+
+def test_language(spark, odd, none):
+    words = {"en": "the of and to in is that for it with", "fr": "le la de et les des que une dans pour", "de": "der die und das nicht mit sich auf eine"}
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choices(words[g].split(), k=rng.randint(4, 40))), g) for i in range(900) for g in [rng.choice(list(words))]]
+    got = by_id(language.predict_language(spark.createDataFrame([*rows, (1000, None, "en"), (1001, "12 !", "fr")], "doc_id long, text string, lang string")))
+    held = [r for r in rows if got[r[0]]["held_out"]]
+    assert 100 < len(held) < 260 and all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in rows)
+    assert sum(got[i]["lang_pred"] == g for i, _, g in held) >= 0.99 * len(held)
+    assert got[1000]["lang_pred"] == got[1001]["lang_pred"] == "und" and all(0 <= r["score"] <= 1 for r in got.values())
+    assert language.predict_language(none).count() == 0
+    assert language.predict_language(odd).count() == len(ODD)
+
+
+def test_quality(spark, odd, none):
+    rng = random.Random(2)
+    good = lambda: " ".join(rng.choice("the mill river stone house garden with under green people wandered".split()) for _ in range(rng.randint(10, 200))) + "."
+    rows = [(i, good() if i % 3 else "BUY!! NOW!! " * rng.randint(3, 40), int(i % 3 > 0)) for i in range(600)]
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    got = by_id(quality.quality_scores(docs, labels))
+    assert all(got[i]["predicted"] == y for i, _, y in rows if got[i]["held_out"])
+    assert quality.quality_scores(none, labels).count() == 0
+    flat = quality.quality_scores(odd, labels.limit(0)).collect()
+    assert len(flat) == len(ODD) and {r["score"] for r in flat} == {0.5}
+
+
+def test_range_coder_round_trip_and_checksums():
+    rng = np.random.default_rng(0)
+    for ids in ([], [5], [1] * 3000, list(range(700)) * 9, rng.integers(0, 50257, 5000), rng.zipf(1.3, 20000) % 50000):
+        ids = np.asarray(ids, np.uint32)
+        assert np.array_equal(range_coder.decode_ids(range_coder.encode_ids(ids)), ids)
+    data = bytearray(range_coder.encode_ids(np.asarray(rng.zipf(1.3, 5000) % 1000, np.uint32)))
+    data[-40] ^= 255
+    with pytest.raises((ValueError, IndexError)):
+        range_coder.decode_ids(bytes(data))
+
+
+def test_token_files(spark, odd, none):
+    rows = token_files.token_file_report(odd, BYTE).collect()
+    t = Tokenizer.from_file(BYTE)
+    at, want = 0, []
+    for i, x in sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, rows), key=lambda r: r[1]) == want
+    assert token_files.token_file_report(none, BYTE).count() == 0
+    folder = token_files.shared_folder(spark, "ids")
+    token_files.write_token_files(odd.filter("doc_id > 0"), BYTE, folder).collect()
+    back = {r["doc_id"]: r["ids"] for r in token_files.read_token_files(spark, folder).collect()}
+    assert back[1] == [*t.encode("Hello world, hello!", add_special_tokens=False).ids, 2]
+
+
+def brute_components(rows):
+    sets, label = {}, {}
+    for i, x in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (x or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        label[i] = i
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+@pytest.fixture(scope="module")
+def near_rows():
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+
+    def edit(words, times):
+        words = list(words)
+        for _ in range(times):
+            p, kind = rng.randrange(len(words)), rng.random()
+            if kind < 0.5:
+                words[p] = rng.choice(vocabulary)
+            elif kind < 0.75 and len(words) > 1:
+                del words[p]
+            else:
+                words.insert(p, rng.choice(vocabulary))
+        return words
+
+    rows = []
+    for n in [1, 2, 4, 5, 6, 8, 10, 12, 14, 16, 20, 30, 50, 80, 150, 400]:
+        for _ in range(3):
+            base = rng.choices(vocabulary, k=n)
+            for _ in range(rng.choice([2, 3, 14])):
+                rows.append((len(rows), " ".join(edit(base, rng.choice([0, 0, 1, 1, 2, max(1, n // 40), max(1, n // 25)])))))
+    base = rng.choices(vocabulary, k=150)
+    rows += [(len(rows) + k, " ".join(edit(base, rng.randint(1, 7)))) for k in range(150)]
+    passage = " ".join(rng.choices(vocabulary, k=40))
+    rows += [(len(rows) + k, passage + " " + " ".join(rng.choices(vocabulary, k=12 + k))) for k in range(30)]
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, " \n\t"), (len(rows) + 3, "A b C"), (len(rows) + 4, "a B c")]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_set_join_equals_brute_force(spark, near_rows):
+    docs = spark.createDataFrame(near_rows, "doc_id long, text string").withColumn("n", F.lit(0)).withColumn("rep", F.lit("x"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.near_duplicates(docs).collect()}
+    assert got == brute_components(near_rows)
+    kept = {r["doc_id"] for r in setjoin.drop_near_duplicates(docs).collect()}
+    assert kept == {c for _, c in brute_components(near_rows).values()}
+
+
+def test_set_join_on_odd_tables(spark, odd, none):
+    rows = setjoin.near_duplicates(odd).collect()
+    assert len(rows) == len(ODD) and {r["component_id"] for r in rows if r["doc_id"] in (1, 4, None)} == {1}
+    assert setjoin.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components(spark, local):
+    edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (5, 5)]
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), local).collect()}
+    assert {k: v for k, v in got.items() if k != 5} == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 6, 9: 6} and got.get(5, 5) == 5
+
+
+PRIVATE = "Call +1 (017) 555-7713 or Joe.Doe@Mail7.example.com, 97.51.17.173, card 4111111111111111, 'f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda', 123-45-6789, Mrs Anna Müller; г-жа Анна Петрова."
+
+
+@pytest.mark.parametrize("inline", [5000, -1])
+def test_pii(spark, none, inline, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_INLINE", inline)
+    rows = [(1, PRIVATE), (2, None), (3, ""), (4, "clean 3.0 text, 2.0."), (5, "again joe.doe@mail7.example.com and +1 017 555 7713"), (5, "again joe.doe@mail7.example.com and +1 017 555 7713"), (None, "97.51.17.173")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit(1)).withColumn("normal", F.lit("x"))
+    got = collections.defaultdict(list)
+    for r in pii.replace_entities(docs).collect():
+        got[r["doc_id"]].append(r)
+    new = got[1][0]["text"]
+    for secret in ("555-7713", "Joe.Doe", "97.51", "411111", "f3ef4d", "45-6789", "Anna", "Müller", "Петрова"):
+        assert secret not in new
+    assert got[1][0]["n_entities"] == 8 and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new)
+    given = re.search(r"Mrs (\w+) (\w+);", new)
+    assert given and given[1] in pii.GIVEN["latin"][0]
+    cyrillic = re.search(r"г-жа (\w+) (\w+)\.", new)
+    assert cyrillic and cyrillic[1] in pii.GIVEN["cyrillic"][0] and re.fullmatch("[А-Яа-яё]+", cyrillic[2])
+    card = re.search(r"card (\d{16})", new)[1]
+    digits = [int(c) for c in reversed(card)]
+    assert sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
+    mail = re.search(r"\S+@\S+\.com", new)[0]
+    assert mail in got[5][0]["text"] and got[5][0]["text"] == got[5][1]["text"]
+    phone = re.sub(r"\D", "", re.search(r"\+1[^a-z]*", new)[0])
+    assert phone == re.sub(r"\D", "", re.search(r"\+1.*", got[5][0]["text"])[0])
+    assert (got[2][0]["text"], got[3][0]["text"], got[4][0]["text"]) == (None, "", "clean 3.0 text, 2.0.")
+    assert pii.replace_entities(none).count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    found = spark.createDataFrame([("phone", f"{i:03d}", f"{i:03d}") for i in range(400)], "kind string, normal string, sample string")
+    tries = {r["normal"]: r["attempt"] for r in pii.attempts(found).collect()}
+    drawn = found.join(spark.createDataFrame([(k, v) for k, v in tries.items()] or [("", 0)], "normal string, attempt int"), "normal", "left").select(pii.surrogate(F.col("sample"), F.col("kind"), F.col("normal"), F.coalesce("attempt", F.lit(0)), pii.DEFAULT_KEY).alias("to"))
+    values = [r["to"] for r in drawn.collect()]
+    assert len(set(values)) == 400 and not set(values) & {f"{i:03d}" for i in range(400)}
+
+
+def test_html(spark):
+    pages = [
+        (1, "http://a.b/x", '<html><body><header>Top</header><div class="menu">Home</div><div id="content"><h1>T&amp;t</h1><p>One <b>b</b>old<br>two<p>three<div class="comments"><p>nice</p></div></div><aside>s</aside></body>'),
+        (2, "http://a.b/y", '<html><body><header>Top</header><div class="menu">Home</div><div id="content"><h1>U</h1><p>Words and more words<script>var a="<p>x</p>"</script></p><form><input>Name</form></div></body></html>'),
+        (3, None, None), (4, "zz", ""), (5, "http://q/", "just text &lt;b&gt;"), (6, "http://r/", "<div>" * 3000 + "deep"), (7, "http://s/", "<article><h1>A</h1><!-- no --><nav>n</nav><p>B&nbsp; c</article><footer>f</footer>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("x")).withColumn("slots", F.lit("y"))
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract_text(df).collect()}
+    want = {1: "T&t One bold two three", 2: "U Words and more words", 3: "", 4: "", 5: "just text <b>", 6: "deep", 7: "A B c"}
+    assert got == {k: (v, len(v)) for k, v in want.items()}
+    assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    source = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    assert [n for n, _ in cp.STAGES] == ["quality", "exact dedup", "near duplicates", "pii", "packing"]
+    before = docs
+    for k, (_, stage) in enumerate(cp.STAGES[:-1]):
+        after = stage(spark, before, source)
+        after.write.parquet(f"{tmp_path}/{k}")
+        after = spark.read.parquet(f"{tmp_path}/{k}")
+        assert after.columns == docs.columns
+        old, new = {r["doc_id"]: r["text"] for r in before.collect()}, {r["doc_id"]: r["text"] for r in after.collect()}
+        if k == 1:
+            low = {i: (x or "").lower() for i, x in old.items()}
+            assert set(new) == {max(i for i in old if low[i] == x) for x in set(low.values())}
+        if k == 2:
+            assert set(new) == {c for _, c in brute_components(list(old.items())).values()}
+        if k == 3:
+            assert set(new) == set(old)
+        before = after
+    rows = cp.STAGES[-1][1](spark, before, source).collect()
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in before.collect()}
+    json.dumps([r.asDict() for r in rows[:3]])
