@@ -20,7 +20,7 @@ TOP, BOT, MASK, WORD = np.uint64(1 << 32), np.uint64(1 << 30), np.uint64((1 << 4
 #: Bits of the odds between orders, and bits that choose a context's cell.
 ODDS, HASH_BITS = 12, 10
 #: Ids per block, between these; larger inputs have larger blocks, at most MAX_LANES of which are coded at once.
-MIN_BLOCK, MAX_BLOCK, MAX_LANES = 512, 16384, 1024
+MIN_BLOCK, MAX_BLOCK, MAX_LANES = 512, 16384, 2048
 
 
 class _Coder:
@@ -101,63 +101,66 @@ class Counts:
 
 
 class _Model:
-    """Contexts of all lanes. A cell holds a guess (a rank) and the trust it has earned, 0 (no guess) to 7."""
+    """Contexts of all lanes, order 1 in row 0 and order 2 in row 1 of every array. A cell holds a guess (a rank) and
+    the trust it has earned, 0 (no guess) to 7."""
 
     def __init__(self, lanes: int, counts: Counts):
         self.counts = counts
-        self.base, self.by8, self.by64 = np.arange(lanes) << HASH_BITS, np.arange(lanes) << 3, np.arange(lanes) << 6
-        self.cells = [np.zeros(lanes << HASH_BITS, np.int32) for _ in range(2)]
-        self.own = [np.full(lanes << 3, 1024, np.int32) for _ in range(2)]
-        self.both = [np.full(lanes << 6, 1024, np.int32) for _ in range(2)]
-        self.weight = [np.full(lanes, 128 << 8, np.int32) for _ in range(2)]
-        self.one = self.two = np.zeros(lanes, np.int64)
+        lane = np.arange(2 * lanes, dtype=np.int32).reshape(2, lanes)
+        self.base, self.by8, self.by64 = lane << HASH_BITS, lane << 3, lane << 6
+        self.cells = np.zeros(2 * lanes << HASH_BITS, np.int32)
+        self.own, self.both = np.full(2 * lanes << 3, 1024, np.int32), np.full(2 * lanes << 6, 1024, np.int32)
+        self.weight = np.full((2, lanes), 128 << 8, np.int32)
+        self.one = self.two = np.zeros(lanes, np.uint32)
+        self.at = np.empty((2, lanes), np.int32)
 
     def step(self, coder: _Coder, x: np.ndarray | None) -> np.ndarray:
         """Codes the next rank of every lane, or reads it if x is None."""
-        mask, zero = (1 << HASH_BITS) - 1, self.counts
-        at = (self.base + (self.one * 0x9E3779B1 >> 9 & mask), self.base + (self.one * 0x85EBCA6B + self.two * 0xC2B2AE35 >> 11 & mask))
-        cell = [self.cells[k][at[k]] for k in (0, 1)]
-        trust = [c & 7 for c in cell]
-        guess = [c >> 3 for c in cell]
-        own_at = [self.by8 + t for t in trust]
-        both_at = self.by64 + (trust[1] << 3) + trust[0]
-        own, both = [self.own[k][own_at[k]] for k in (0, 1)], [self.both[k][both_at] for k in (0, 1)]
-        odds = [both[k] + ((self.weight[k] >> 8) * (own[k] - both[k]) >> 8) for k in (0, 1)]
-        known = [trust[0] > 0, trust[1] > 0]
-        known[0] &= ~known[1] | (guess[0] != guess[1])
-        two = odds[1] * known[1]
-        one = np.maximum((4096 - two) * odds[0] >> ODDS, 1) * known[0]
-        rest = 4096 - two - one
-        bits = zero.bits
+        order0, bits, at = self.counts, self.counts.bits, self.at
+        shift = np.uint32(32 - HASH_BITS)
+        at[0] = self.one * np.uint32(0x9E3779B1) >> shift
+        at[1] = self.one * np.uint32(0x85EBCA6B) + self.two * np.uint32(0xC2B2AE35) >> shift
+        at += self.base
+        cell = self.cells.take(at)
+        trust, guess = cell & 7, cell >> 3
+        own_at, both_at = self.by8 + trust, self.by64 + ((trust[1] << 3) + trust[0])
+        own, both = self.own.take(own_at), self.both.take(both_at)
+        apart = own - both
+        odds = both + ((self.weight >> 8) * apart >> 8)
+        asked = trust > 0
+        asked[0] &= ~asked[1] | (guess[0] != guess[1])
+        two = odds[1] * asked[1]
+        one = np.maximum((4096 - two) * odds[0] >> ODDS, 1) * asked[0]
+        both_odds = two + one
+        rest = 4096 - both_odds
         coder.split(ODDS + bits)
+        right = np.empty(asked.shape, bool)
         if x is None:
             t = coder.target()
             q = t >> bits
-            hit2 = q < two
-            hit1 = ~hit2 & (q < two + one)
-            inner = (t - ((two + one).astype(np.int64) << bits)) // rest
-            x = zero.rank[np.minimum(np.maximum(inner, 0), (1 << bits) - 1)].astype(np.int64)
-            x = np.where(hit2, guess[1], np.where(hit1, guess[0], x))
+            right[1] = q < two
+            right[0] = ~right[1] & (q < both_odds)
+            inner = np.minimum(np.maximum(t - (both_odds.astype(np.int64) << bits), 0) // rest, (1 << bits) - 1)
+            x = np.where(right[1], guess[1], np.where(right[0], guess[0], order0.rank.take(inner)))
         else:
-            hit2 = known[1] & (guess[1] == x)
-            hit1 = known[0] & ~hit2 & (guess[0] == x)
-        miss = ~(hit2 | hit1)
-        below = ((two * hit1 + (two + one) * miss).astype(np.int64) << bits) + rest * miss * zero.below[x]
-        size = ((two * hit2 + one * hit1).astype(np.int64) << bits) + rest * miss * zero.size[x]
-        coder.apply(below.astype(np.uint64), size.astype(np.uint64))
+            right[1] = asked[1] & (guess[1] == x)
+            right[0] = asked[0] & ~right[1] & (guess[0] == x)
+        miss = ~(right[1] | right[0])
+        from_0 = (rest * miss).astype(np.int64)
+        below = ((two * right[0] + both_odds * miss).astype(np.int64) << bits) + from_0 * order0.below.take(x)
+        size = ((two * right[1] + one * right[0]).astype(np.int64) << bits) + from_0 * order0.size.take(x)
+        coder.apply(below.view(np.uint64), size.view(np.uint64))
         # learn: each order's odds and weight where it was asked, then the contexts' guesses
-        for k, right, asked in ((1, hit2, known[1]), (0, hit1, known[0] & ~hit2)):
-            goal = right * np.int32(4095)
-            self.weight[k] = np.minimum(np.maximum(self.weight[k] + ((goal - odds[k]) * (own[k] - both[k]) >> 10) * asked, 0), 255 << 8)
-            # steps of 1/16; towards 4095 they end at 4080 by themselves
-            self.own[k][own_at[k]] = np.maximum(own[k] + ((goal - own[k]) * asked >> 4), 16)
-            self.both[k][both_at] = np.maximum(both[k] + ((goal - both[k]) * asked >> 4), 16)
-        new = (x << 3 | 1).astype(np.int32)
-        for k in (0, 1):
-            same = (guess[k] == x) & (trust[k] > 0)
-            kept = np.where(same, cell[k] + (trust[k] < 7), cell[k] - (trust[k] + 1 >> 1))
-            self.cells[k][at[k]] = np.where(same | (trust[k] > 1), kept, new)
-        self.two, self.one = self.one, x + 1
+        asked[0] &= ~right[1]
+        goal = right * np.int32(4095)
+        self.weight = np.minimum(np.maximum(self.weight + ((goal - odds) * apart >> 10) * asked, 0), 255 << 8)
+        # steps of 1/16; towards 4095 they end at 4080 by themselves
+        self.own[own_at] = np.maximum(own + ((goal - own) * asked >> 4), 16)
+        self.both[both_at] = np.maximum(both + ((goal - both) * asked >> 4), 16)
+        same = (guess == x) & (trust > 0)
+        kept = np.where(same, cell + (trust < 7), cell - (trust + 1 >> 1))
+        self.cells[at] = np.where(same | (trust > 1), kept, (x << 3 | 1).astype(np.int32))
+        self.two, self.one = self.one, (x + 1).astype(np.uint32)
         return x
 
 
@@ -177,7 +180,7 @@ def encode_ids(ids: np.ndarray) -> bytes:
     rank, count = place[ids], count[names]
     length = block_length(len(ids))
     blocks = -(-len(ids) // length)
-    padded = np.zeros(blocks * length, np.int64)
+    padded = np.zeros(blocks * length, np.int32)
     padded[: len(ids)] = rank
     lanes = padded.reshape(blocks, length)
     counts = Counts(count[order])
@@ -211,11 +214,11 @@ def decode_ids(data: bytes) -> np.ndarray:
     at += 8 * blocks
     words = np.concatenate([np.frombuffer(data[at:], "<u2"), np.zeros(8, np.uint16)])
     starts = np.concatenate([[0], np.cumsum(index[:, 0].astype(np.int64) // 2)])
-    out = np.zeros((blocks, length), np.int64)
+    out = np.zeros((blocks, length), np.int32)
     for a in range(0, blocks, MAX_LANES):
         z = min(blocks, a + MAX_LANES)
         coder, model = _Coder(z - a, 0, words, starts[a:z]), _Model(z - a, counts)
-        part = np.zeros((length, z - a), np.int64)
+        part = np.zeros((length, z - a), np.int32)
         for t in range(length):
             part[t] = model.step(coder, None)
         out[a:z] = part.T
