@@ -21,6 +21,8 @@ BLOCK_BITS = 1 << 16
 BITS_PER_ROW = 16
 #: The largest filter that is sent to every executor (32 MiB). Beyond it hashes are counted by a shuffle instead.
 MAX_FILTER_BITS = 1 << 28
+#: Groups of more rows than HOT_ROWS are joined by broadcast while there are at most MAX_HOT_GROUPS (about 10 MB).
+HOT_ROWS, MAX_HOT_GROUPS = 1000, 100_000
 #: Dropped ids up to this count are broadcast (8 MB of longs); beyond it the join shuffles.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -128,8 +130,15 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     flagged = repeated_flag(keys, keys.count(), max_bits)
     alone = flagged.filter(~F.col("maybe_repeated")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     rest = flagged.filter("maybe_repeated").select("doc_id", "text_sha256")
-    groups = rest.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    grouped = rest.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
+    groups = durable(rest.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    hot = groups.filter(F.col("group_size") > HOT_ROWS)
+    columns = ["doc_id", "keep_id", "group_size", "text_sha256"]
+    if 0 < hot.count() <= MAX_HOT_GROUPS:  # rows of large groups never meet in one task
+        grouped = rest.join(F.broadcast(hot), "text_sha256").select(columns)
+        cold = rest.join(F.broadcast(hot), "text_sha256", "left_anti").join(groups.filter(F.col("group_size") <= HOT_ROWS), "text_sha256").select(columns)
+        grouped = grouped.unionByName(cold)
+    else:
+        grouped = rest.join(groups, "text_sha256").select(columns)
     return alone.unionByName(grouped).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 

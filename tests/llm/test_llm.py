@@ -108,8 +108,9 @@ def test_sequences_hold_the_ids(spark):
     assert sorted(i for r in seq for i in r["ids"]) == sorted(i for x in ("one two", "three", "") for i in [*t.encode(x, add_special_tokens=False).ids, 0])
 
 
-@pytest.mark.parametrize("max_bits", [exact_dedup.MAX_FILTER_BITS, 1])
-def test_exact_dedup(spark, odd, none, max_bits):
+@pytest.mark.parametrize("max_bits,hot", [(exact_dedup.MAX_FILTER_BITS, 1000), (1, 1000), (exact_dedup.MAX_FILTER_BITS, 2)])
+def test_exact_dedup(spark, odd, none, max_bits, hot, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot)
     rows = exact_dedup.duplicate_groups(odd, max_bits=max_bits).collect()
     low = lambda x: (x or "").translate({c: c + 32 for c in range(65, 91)})
     groups = collections.defaultdict(list)
