@@ -58,8 +58,9 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(FEMALE_TITLES + MALE_TITLES, key=len, reverse=True))})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A cheap look at the whole text first: only what has a digit run, an @ or a title is searched.
-HINT = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|(?:{'|'.join(FEMALE_TITLES + MALE_TITLES)})\.? \p{{Lu}}"
+#: A cheap look at the whole text first: only what has a digit run, an @, the start of a key or a title is searched.
+#: Every match of PATTERN holds a match of it, and so must those of a new kind.
+HINT = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|[0-9a-f]{{32}}|[0-9A-F]{{32}}|(?:{'|'.join(FEMALE_TITLES + MALE_TITLES)})\.? \p{{Lu}}"
 
 
 def let(value: Column, use) -> Column:
