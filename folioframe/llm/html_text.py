@@ -1,33 +1,36 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Every page is read as a sequence of structural tokens: its elements by their path of tags and classes. Over the pages
-of one host, tokens with the same occurrence vector (equally many on every page) form an equivalence class. Classes
-that are frequent, consistently ordered and nested in one another are the host's template; what lies between their
-tokens are slots. Slots of menus, adverts and the like are set aside by their tags and names, the slot that holds the
-article is chosen per class by its text, and its blocks are extracted from each page.
+Every page is read as a sequence of structural tokens: its elements by their path of tags and classes (or ids, digits
+aside). Over the pages of one host, tokens with the same occurrence vector (equally many on every page) form an
+equivalence class. In a class whose pages differ, the tokens that have the same text on all of them are the host's
+template. Menus, adverts and the like are set aside by their tags and names. What remains of a page is its content: the
+page's own article or main element if it holds text, else the smallest element with nine tenths of what remains.
 
 Vectors are compared by a sum of per-page hashes, so a host's statistics are added up map-side and no task ever holds
-the pages of a host, however many they are.
+the pages or the tokens of a host, however many they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+import zlib
+from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
 
-#: A class is part of the template if it stands on this share of a host's pages.
-SUPPORT = 0.1
+#: A token is part of the template from this number of pages on, however large the host.
+SUPPORT = 3
 #: Elements nested deeper than this count as part of the element that holds them.
 MAX_DEPTH = 200
-#: Hosts whose slots (a few paths each) are broadcast; beyond it they are joined.
+#: Hosts whose templates (a few tokens each) are broadcast; beyond it they are joined.
 MAX_BROADCAST_HOSTS = 20_000
 
 #: HTML's void, raw-text and inline elements.
@@ -48,6 +51,9 @@ CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     **{t: ("p",) for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()},
 }
+#: Elements that hold a whole article, and those whose links are content.
+CONTAINERS = frozenset("article body center div html main section td".split())
+PROSE = frozenset("blockquote figcaption h1 h2 h3 h4 h5 h6 p".split())
 SCOPES = frozenset("article aside blockquote body div footer form header html main nav section table td th ul ol button".split())
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
@@ -75,81 +81,118 @@ def _attributes(raw: str) -> tuple[str, bool]:
     return name, aside
 
 
+@lru_cache(65536)
+def _label(label: str) -> int:
+    return int.from_bytes(hashlib.blake2b(label.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
+def _mix(a: int, b: int) -> int:
+    """A hash below 2^63 of two numbers in order."""
+    x = (a * 0x9E3779B97F4A7C15 + b + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1
+    return (x ^ (x >> 32)) & (1 << 63) - 1
+
+
+class Element:
+    """An element of a page. token stands for its path, block for it or the nearest element around it that is not inline;
+    text and links in prose are counted, in it alone (own) and under it
+    (size), and told apart by digest, unless set aside. stock tells template, inside what is part of the article."""
+
+    __slots__ = ("aside", "block", "digest", "inside", "link", "lists", "named", "own", "parent", "prose", "scope", "size", "stock", "tag", "token")
+
+    def __init__(self, tag: str, name: str, own: bool, parent: Element | None, depth: int):
+        self.tag, self.parent, self.own, self.size, self.digest, self.stock, self.inside = tag, parent, 0, 0, 0, False, False
+        self.block = self if parent is None or tag not in INLINE else parent.block
+        if parent is None:
+            self.token, self.aside, self.link, self.prose, self.named, self.scope, self.lists = 0, False, False, False, False, -1, -1
+            return
+        self.named = parent.named or tag in ("article", "main")
+        own |= tag in ASIDE_TAGS or tag == "header" and not parent.named
+        self.aside = parent.aside or own and tag not in ("html", "body")
+        self.link, self.prose = parent.link or tag == "a", parent.prose or tag in PROSE
+        self.token = _mix(parent.token, _label(f"{tag}.{name}"))
+        self.scope = depth if tag in SCOPES else parent.scope
+        self.lists = depth if tag in ("ul", "ol") else parent.lists
+
+
 def parse(page: str):
-    """Yields, in page order, ("enter", path, aside) where a block opens, ("break", path, aside) where a block ends or is
-    interrupted, and ("text", path, aside, text, in a link). Inline elements yield nothing but stand in paths.
+    """Yields, in page order, ("enter", element, "") where an element opens, ("break", element, "") where a block ends or
+    is interrupted, and ("text", element, text). The first element entered is the page itself.
 
-    path is the tuple of open elements, each "tag" or "tag.class"; aside tells whether any of them is set aside. Ends
-    that close nothing are ignored, ends that close too much close what they cover, and open elements end with the page.
+    Ends that close nothing are ignored, ends that close too much close what they cover, and open elements end with the
+    page.
     """
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    root = Element("", "", False, None, -1)
+    stack: list[Element] = []
+    where: dict[str, list[int]] = defaultdict(list)  # depths of the open elements of a tag
     at = 0
+    yield "enter", root, ""
 
     def top():
-        return stack[-1][1:] if stack else ((), False)
+        return stack[-1] if stack else root
 
-    def link():
-        return any(t == "a" for t, _, _ in stack)
+    def close(depth: int):
+        for e in reversed(stack[depth:]):
+            where[e.tag].pop()
+        del stack[depth:]
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            yield "text", *top(), page[at : m.start()], link()
+            yield "text", top(), page[at : m.start()]
         at = m.end()
         if m[1]:
             if m[1].lower() not in ("svg", "math", "script", "template"):
-                yield "break", *top()
+                yield "break", top(), ""
             continue
         if not m[3]:
             continue
         tag = m[3].lower()
         if m[2]:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if where >= 0:
-                del stack[where:]
+            if where.get(tag):
+                close(where[tag][-1])
             if tag not in INLINE:
-                yield "break", *top()
+                yield "break", top(), ""
             continue
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in CLOSES.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i][0] in SCOPES and not (tag == "li" and stack[i][0] not in ("ul", "ol")):
-                break
-        path, aside = top()
-        name, own = _attributes(m[4])
+        last = max((where[t][-1] for t in CLOSES.get(tag, ()) if where.get(t)), default=-1)
+        if last >= 0 and last >= (top().lists if tag == "li" else top().scope):
+            close(last)
         if tag in VOID or m[4].rstrip().endswith("/") and tag in INLINE:
             if tag not in INLINE and tag != "img":
-                yield "break", path, aside
+                yield "break", top(), ""
             continue
         if len(stack) >= MAX_DEPTH:
-            yield "break", path, aside
+            yield "break", top(), ""
             continue
-        own |= tag in ASIDE_TAGS or tag == "header" and not any(t in ("article", "main") for t, _, _ in stack)
-        entry = (tag, (*path, f"{tag}.{name}" if name else tag), aside or own and tag not in ("html", "body"))
-        stack.append(entry)
-        if tag not in INLINE:
-            yield "enter", entry[1], entry[2]
+        name, own = _attributes(m[4])
+        stack.append(Element(tag, re.sub("[0-9]+", "#", name), own, top(), len(stack)))
+        where[tag].append(len(stack) - 1)
+        yield "enter", stack[-1], ""
     if at < len(page):
-        yield "text", *top(), page[at:], link()
-
-
-def _plain(path: tuple[str, ...]) -> str:
-    return ">".join(path)
-
-
-def page_tokens(page: str) -> dict[str, list]:
-    """Per structural token of a page: how often it opens, characters of text and of link text under it, first place,
-    and whether it is set aside. Inline elements are content, not structure."""
-    out: dict[str, list] = {}
-    for kind, path, aside, *rest in parse(page):
-        if kind == "enter":
-            out.setdefault(_plain(path), [0, 0, 0, len(out), aside])[0] += 1
-        elif kind == "text":
-            n = len(rest[0].strip())
-            for k in range(1, len(path) + 1):
-                if (x := out.get(_plain(path[:k]))) is not None:
-                    x[1] += n
-                    x[2] += n * rest[1]
+        yield "text", top(), page[at:]
+
+
+def read(page: str) -> tuple[list[Element], list[tuple[str, Element, str]]]:
+    """The elements of a page, each after the one around it, with its text's digest; and its events."""
+    events = list(parse(page))
+    elements = [e for kind, e, _ in events if kind == "enter"]
+    for kind, e, text in events:
+        if kind == "text" and not e.aside and (e.prose or not e.link) and (text := text.strip()):
+            e.own += len(text)
+            e.digest = _mix(e.digest, zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    for e in reversed(elements):
+        if e.parent is not None and e.digest:
+            e.parent.digest = _mix(e.parent.digest, e.digest)
+    return elements, events
+
+
+def page_tokens(page: str) -> dict[int, list]:
+    """Per structural token of a page (0 is the page itself) that is not set aside: how often it opens, the digest of its
+    text, and the token around it. Inline elements are content, not structure."""
+    out: dict[int, list] = {}
+    for e in read(page)[0]:
+        if e.block is e and not e.aside:
+            x = out.setdefault(e.token, [0, 0, e.parent.block.token if e.parent else -1])
+            x[0] += 1
+            x[1] = _mix(x[1], e.digest) if e.digest else x[1]
     return out
 
 
@@ -158,94 +201,82 @@ def host_of(url: Column) -> Column:
 
 
 def _token_rows(batches):
-    """Sums by (host, token) of a batch of pages: vector hash, pages, text, link text, place, aside."""
+    """Sums by (host, token) of a batch of pages: token around it, vector hash, pages, least and greatest digest of it
+    and of the page."""
     for b in batches:
-        acc: dict[tuple[str, str], list] = {}
+        acc: dict[tuple[str, int], list] = {}
         for host, key, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            for token, (count, text, link, place, aside) in page_tokens(page or "").items():
-                x = acc.setdefault((host, token), [0, 0, 0, 0, 0, 0])
+            for token, (count, digest, around) in (tokens := page_tokens(page or "")).items():
+                whole = tokens[0][1]
+                x = acc.setdefault((host, token), [around, 0, 0, digest, digest, whole, whole])
                 # a hash of (page, count); its sum over pages stands for the occurrence vector
                 h = ((key & (1 << 63) - 1) + count * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 & (1 << 64) - 1
-                x[0] += (h ^ (h >> 32)) & 0x3FFFFFFFFFF
-                x[1] += 1
-                x[2] += text
-                x[3] += link
-                x[4] += place
-                x[5] += aside
+                x[1] += (h ^ (h >> 32)) & 0x3FFFFFFFFFF
+                x[2] += 1
+                x[3], x[4] = min(x[3], digest), max(x[4], digest)
+                x[5], x[6] = min(x[5], whole), max(x[6], whole)
         rows = [(*k, *v) for k, v in acc.items()]
         for a in range(0, len(rows), 5000):
             cols = list(zip(*rows[a : a + 5000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), *[pa.array(c, pa.int64()) for c in cols[2:]]], ["host", "token", "vector", "pages", "text", "link", "place", "aside"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], ["host", "token", "around", "vector", "pages", "low", "high", "page_low", "page_high"])
 
 
-def slots_of_host(tokens: pd.DataFrame) -> list[str]:
-    """Content slots of a host's template, best first, from its tokens' statistics.
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, template (tokens, the outermost ones) for every host of pages that has one.
 
-    Classes are the tokens with one vector. A class is valid if its tokens stand on the same pages and, by their mean
-    places, open in the order in which they nest. A class's slot is its token that is not set aside and holds most
-    text outside links: an article or main element if there is one, else the deepest element that still holds nine
-    tenths of the class's text. Slots inside a chosen slot are its content and no slots of their own.
+    A token's text is template if it is the same on all pages of its class while the pages are not.
     """
-    chosen: list[tuple[float, str]] = []
-    for _, cls in tokens[tokens["aside"] == 0].groupby("vector"):
-        cls = cls.assign(net=cls["text"] - cls["link"], depth=cls["token"].str.count(">")).sort_values(["place", "token"])
-        names = cls["token"].tolist()
-        if any(b.startswith(a + ">") and pb < pa_ for a, pa_ in zip(names, cls["place"], strict=True) for b, pb in zip(names, cls["place"], strict=True)):
-            continue
-        tag = cls["token"].str.rsplit(">", n=1).str[-1].str.split(".").str[0]
-        best = cls[tag.isin(["article", "main"])]
-        named = len(best) > 0
-        if not named:
-            best = cls[(cls["net"] >= 0.9 * cls["net"].max()) & (tag.isin(["body", "div", "section", "td", "center", "html"]))]
-            best = best[best["depth"] == best["depth"].max()]
-        else:
-            best = best[~best["token"].map(lambda t: any(t.startswith(o + ">") for o in best["token"]))]
-        for t, net, pages in zip(best["token"], best["net"], best["pages"], strict=True):
-            if net > 0:
-                chosen.append((float(net) / max(1, pages) + (1e12 if named else 0), t))
-    return [t for _, t in sorted(chosen, key=lambda x: (-x[0], x[1]))]
-
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(url_col, html_col).alias("key"), F.col(html_col).cast("string").alias("html"))
+    parts = rows.mapInArrow(_token_rows, "host string, token long, around long, vector long, pages long, low long, high long, page_low long, page_high long")
+    sums = parts.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum(F.col("vector").cast("decimal(20,0)")).cast("string").alias("vector"), *[F.min(c).alias(c) for c in ("around", "low", "page_low")], *[F.max(c).alias(c) for c in ("high", "page_high")])
+    frequent = durable(sums.filter(F.col("pages") >= SUPPORT))
+    classes = frequent.groupBy("host", "vector").agg(F.min("page_low").alias("low"), F.max("page_high").alias("high")).filter("low < high")
+    same = frequent.filter("low = high AND low <> 0").join(classes, ["host", "vector"], "left_semi").select("host", "token", "around")
+    inner = same.select("host", F.col("token").alias("around"))
+    return same.join(inner, ["host", "around"], "left_anti").groupBy("host").agg(F.collect_list("token").alias("template"))
 
-def _host_slots(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "slots": ["\n".join(slots_of_host(pdf))]})
 
+def _choose(elements: list[Element], template: frozenset[int]) -> None:
+    """Marks the elements of a page that are inside its article.
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, slots (content paths, best first, a line each) for every host of pages."""
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(url_col, html_col).alias("key"), F.col(html_col).cast("string").alias("html"))
-    parts = rows.mapInArrow(_token_rows, "host string, token string, vector long, pages long, text long, link long, place long, aside long")
-    sums = durable(parts.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "text", "link", "aside")], F.sum(F.col("vector").cast("decimal(20,0)")).cast("string").alias("vector"), (F.sum("place") / F.sum("pages")).alias("place")))
-    total = rows.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
-    frequent = sums.join(total, "host").filter(F.col("pages") >= F.col("all_pages") * SUPPORT).drop("all_pages")
-    return frequent.groupBy("host").applyInPandas(_host_slots, "host string, slots string")
-
-
-def article_blocks(page: str, slots: list[str]) -> list[str]:
-    """The blocks of the first slot that the page has; of all that is not set aside if it has none of them."""
-    found: dict[str, list[list[str]]] = {}
-    rest: list[list[str]] = [[]]
-    want = set(slots)
-    inside = ""
-    for kind, path, aside, *more in parse(page):
-        slot = ""
-        for k in range(1, len(path) + 1):
-            if (p := _plain(path[:k])) in want:
-                slot = p
-                break
-        if slot:
-            mine = found.setdefault(slot, [[]])
-        else:
-            mine = rest
-        if slot != inside:
-            inside = slot
-            mine.append([])
-            rest.append([])
+    That is its first article or main element, if text that is neither set aside nor template stands in them; else the
+    smallest container of nine tenths of such text; else the whole page. If most text of the page is template, it is one of some
+    that repeat an article, and has no template.
+    """
+    for e in elements:
+        e.stock = e.parent is not None and e.parent.stock or e.block is e and e.token in template
+    if 2 * sum(e.own for e in elements if e.stock) > sum(e.own for e in elements):
+        for e in elements:
+            e.stock = False
+    for e in elements:
+        e.size = 0 if e.stock else e.own
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.size += e.size
+    root = elements[0]
+    outermost = [e for e in elements if e.named and not e.parent.named]
+    if any(e.size for e in outermost):
+        chosen = {id(next(e for e in outermost if e.size))}
+    elif root.size:
+        chosen = {id(next((e for e in reversed(elements) if e.size >= 0.9 * root.size and e.tag in CONTAINERS), root))}
+    else:
+        chosen = {id(root)}
+    for e in elements:
+        e.inside = e.parent is not None and e.parent.inside or id(e) in chosen
+
+
+def article_blocks(page: str, template: frozenset[int] = frozenset()) -> list[str]:
+    """The blocks of a page's article in page order, without what is set aside."""
+    elements, events = read(page)
+    _choose(elements, template)
+    out: list[list[str]] = [[]]
+    for kind, e, text in events:
         if kind != "text":
-            mine.append([])
-        elif not aside:
-            mine[-1].append(more[0])
-    best = next((found[s] for s in slots if s in found and any("".join(b).strip() for b in found[s])), rest)
-    blocks = (" ".join(html.unescape("".join(b)).split()) for b in best)
+            if kind == "break" or e.block is e:
+                out.append([])
+        elif e.inside and not e.aside:
+            out[-1].append(text)
+    blocks = (" ".join(html.unescape("".join(b)).split()) for b in out)
     return [b for b in blocks if b]
 
 
@@ -255,16 +286,16 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     A page without markup is all text; null or empty html gives an empty text; a null url is a host of its own name.
     Repeated pages are extracted one by one, and other columns are never read.
     """
-    slots = durable(templates(pages, url_col, html_col))
-    n = slots.count()
+    known = durable(templates(pages, url_col, html_col))
+    n = known.count()
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = rows.join(F.broadcast(slots) if n <= MAX_BROADCAST_HOSTS else slots, "host", "left").select("page_id", "url", "html", "slots")
+    joined = rows.join(F.broadcast(known) if n <= MAX_BROADCAST_HOSTS else known, "host", "left").select("page_id", "url", "html", "template")
 
     def run(batches):
         for b in batches:
             for a in range(0, len(b), 500):
                 part = b.slice(a, 500)
-                text = [" ".join(article_blocks(h or "", s.split("\n") if s else [])) for h, s in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                text = [" ".join(article_blocks(h or "", frozenset(t or ()))) for h, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array(np.fromiter(map(len, text), np.int64, len(text)))], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

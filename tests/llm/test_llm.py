@@ -349,6 +349,18 @@ def test_html(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in html_text.extract_text(df).orderBy("page_id").collect()]
+
+
+def test_html_rare_layouts(spark):
+    often = [("http://big/x", f"<body><div class=zz>Site line</div><div class=box><h1>Big {i}</h1><p>words {i}</p></div></body>") for i in range(40)]
+    rare = [("http://big/y", "<body><div class=zz>Site line</div><article class='post-123 post'><p>rare</p></article><div class=qq>More of it</div></body>"), ("http://big/z", "<body><p>Buy</p><main id=slug-a><p>main</p></main></body>")]
+    ids = [(None, f"<body><div class=zz>Line {i}</div><article id=post-{i}><p>own {i}</p></article></body>") for i in range(20)]
+    assert extracted(spark, often + rare + ids) == [f"Big {i} words {i}" for i in range(40)] + ["rare", "main"] + [f"own {i}" for i in range(20)]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
