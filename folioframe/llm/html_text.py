@@ -4,7 +4,7 @@ Every page is read as a sequence of structural tokens: its elements by their pat
 aside). Over the pages of one host, tokens with the same occurrence vector (equally many on every page) form an
 equivalence class. In a class whose pages differ, the tokens that have the same text on all of them are the host's
 template. Menus, adverts and the like are set aside by their tags and names. What remains of a page is its content: the
-page's own article or main element if it holds text, else the smallest element with nine tenths of what remains.
+page's own article and main elements if they hold text, else the smallest element that holds all that remains.
 
 Vectors are compared by a sum of per-page hashes, so a host's statistics are added up map-side and no task ever holds
 the pages or the tokens of a host, however many they are.
@@ -239,8 +239,8 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 def _choose(elements: list[Element], template: frozenset[int]) -> None:
     """Marks the elements of a page that are inside its article.
 
-    That is its first article or main element, if text that is neither set aside nor template stands in them; else the
-    smallest container of nine tenths of such text; else the whole page. If most text of the page is template, it is one of some
+    Those are its article and main elements, if text that is neither set aside nor template stands in them; else the
+    smallest container of all such text; else the whole page. If most text of the page is template, it is one of some
     that repeat an article, and has no template.
     """
     for e in elements:
@@ -256,9 +256,9 @@ def _choose(elements: list[Element], template: frozenset[int]) -> None:
     root = elements[0]
     outermost = [e for e in elements if e.named and not e.parent.named]
     if any(e.size for e in outermost):
-        chosen = {id(next(e for e in outermost if e.size))}
+        chosen = {id(e) for e in outermost if not e.stock}
     elif root.size:
-        chosen = {id(next((e for e in reversed(elements) if e.size >= 0.9 * root.size and e.tag in CONTAINERS), root))}
+        chosen = {id(next((e for e in reversed(elements) if e.size == root.size and e.tag in CONTAINERS), root))}
     else:
         chosen = {id(root)}
     for e in elements:

@@ -361,6 +361,15 @@ def test_html_rare_layouts(spark):
     assert extracted(spark, often + rare + ids) == [f"Big {i} words {i}" for i in range(40)] + ["rare", "main"] + [f"own {i}" for i in range(20)]
 
 
+def test_html_whole_content(spark):
+    body = "long text " * 50
+    lead = [("http://lead/", f"<body><div class=zz>Site line</div><div id=content><h1><a href=x>Head {i}</a></h1><p class=lead>Lead {i}</p><div class=body>{body}{i}</div></div><div class=qq>All rights</div></body>") for i in range(12)]
+    two = [("http://two/", f"<body><div class=zz>Site line</div><div class=x><article class=lead>Lead {i}</article></div><nav>n</nav><article class=body>{body}{i}</article></body>") for i in range(12)]
+    halves = [("http://halves/", f"<body><div class=a><p>First {i}</p></div><div class=ad>ad</div><div class=b><p>{body}{i}</p></div></body>") for i in range(12)]
+    want = [f"Head {i} Lead {i} {body}{i}" for i in range(12)] + [f"Lead {i} {body}{i}" for i in range(12)] + [f"First {i} {body}{i}" for i in range(12)]
+    assert extracted(spark, lead + two + halves) == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
