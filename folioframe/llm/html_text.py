@@ -28,8 +28,6 @@ from .common import durable
 
 #: A token is part of the template from this number of pages on, however large the host.
 SUPPORT = 3
-#: Elements nested deeper than this count as part of the element that holds them.
-MAX_DEPTH = 200
 #: Hosts whose templates (a few tokens each) are broadcast; beyond it they are joined.
 MAX_BROADCAST_HOSTS = 20_000
 
@@ -119,7 +117,7 @@ def parse(page: str):
     is interrupted, and ("text", element, text). The first element entered is the page itself.
 
     Ends that close nothing are ignored, ends that close too much close what they cover, and open elements end with the
-    page.
+    page. Every element is kept, however deep, and each costs the same.
     """
     root = Element("", "", False, None, -1)
     stack: list[Element] = []
@@ -159,9 +157,6 @@ def parse(page: str):
             if tag not in INLINE and tag != "img":
                 yield "break", top(), ""
             continue
-        if len(stack) >= MAX_DEPTH:
-            yield "break", top(), ""
-            continue
         name, own = _attributes(m[4])
         stack.append(Element(tag, re.sub("[0-9]+", "#", name), own, top(), len(stack)))
         where[tag].append(len(stack) - 1)

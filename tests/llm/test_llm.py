@@ -370,6 +370,11 @@ def test_html_whole_content(spark):
     assert extracted(spark, lead + two + halves) == want
 
 
+def test_html_below_many_divs(spark):
+    deep = "<body><div class=wrap><p>Site</p><article><p>before</p>" + "<div>" * 250 + "<nav>menu</nav>deep<div class=ad>ad</div>" + "</div>" * 250 + "<p>after</p></article><p>end</p></div></body>"
+    assert extracted(spark, [("http://deep/", deep), ("http://deeper/", "<div>" * 100_000 + "x" + "</div>" * 100_000)]) == ["before deep after", "x"]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
