@@ -1,7 +1,13 @@
+import collections
+
 from pyspark.sql import functions as F
 
 from folioframe.functions import contacts, dates, grades, text
 from folioframe.operators import consensus, evaluation, sections, skills
+from folioframe.plans import entry_queries, profile_queries
+from folioframe.plans.fixtures import HEADINGS, view
+
+SF = "/root/testdata/sf0.001"
 
 
 def column(spark, values, expr, name="v"):
@@ -61,3 +67,32 @@ def test_greedy_assignment_takes_each_found_value_once(spark):
 def test_drop_contained(spark):
     df = spark.createDataFrame([(["Spark", "Apache Spark", "SQL"],)], "a array<string>")
     assert df.select(consensus.drop_contained(F.col("a")).alias("o")).first()["o"] == ["Apache Spark", "SQL"]
+
+
+def test_greedy_assignment_reads_all_jobs(spark):
+    titles = collections.defaultdict(list)
+    for r in view(spark, SF, "jobs").orderBy("cand_id", "job_no").collect():
+        titles[r["cand_id"]].append(r["title"])
+    want = {}
+    for k, own in titles.items():
+        left, score = {i: {*x.lower().split(), "team"} for i, x in enumerate(own) if i % 2}, []
+        for words in (set(x.lower().split()) for x in own):
+            like = {i: 2 * len(words & f) / (len(words) + len(f)) for i, f in left.items()}
+            best = min(like, key=lambda i: (-like[i], i), default=None)
+            if best is not None and like[best] >= 0.5:
+                score.append(like[best])
+                del left[best]
+        want[k] = (len(score), round(sum(score) / len(own), 6))
+    assert max(map(len, titles.values())) > 8
+    assert {r["cand_id"]: (r["matched"], r["score"]) for r in profile_queries.greedy_assignment(spark, SF).collect()} == want
+
+
+def test_section_summary_reads_the_whole_section(spark):
+    got = {r["doc_id"]: r["summary"] for r in entry_queries.section_summary_whole(spark, SF).collect()}
+    want, inside = collections.defaultdict(list), {}
+    for r in view(spark, SF, "resume_lines").orderBy("doc_id", "line_no").collect():
+        if r["line"] in HEADINGS[:9]:  # the last two are no headings as they stand
+            inside[r["doc_id"]] = r["line"] == "about me"
+        elif inside.get(r["doc_id"]):
+            want[r["doc_id"]].append(r["line"].removeprefix("• "))
+    assert got == {k: " ".join(v) if len(" ".join(v)) >= 15 else None for k, v in want.items()} and max(map(len, want.values())) > 2
