@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,14 @@ from .skills import SKILLS
 
 BULLET = r"^[\s]*[•▪●►▸\-–—*]+\s*"
 HEADER = rf"(?i)\||\s+at\s+|{MY4}|{YEAR}\s*[-–—]\s*(?:{YEAR}|{PRESENT})"
+#: The technologies of projects and their other names.
+PROJECT_TECHNOLOGIES = {
+    "Python": ("python", "py"), "React": ("react", "reactjs", "react.js"), "Node.js": ("node", "nodejs", "node.js"), "Streamlit": ("streamlit",), "LangChain": ("langchain", "lang chain"),
+    "Large Language Models": ("llm", "llms", "large language model", "large language models"),
+    "RAG (Retrieval-Augmented Generation)": ("rag", "retrieval augmented generation", "retrieval-augmented generation", "rag pipeline", "rag pipelines"),
+    "Vector Databases": ("vector database", "vector databases"), "Natural Language Processing": ("nlp", "natural language processing"), "Pandas": ("pandas",), "scikit-learn": ("scikit-learn", "scikit learn", "sklearn"),
+    "PyMuPDF": ("pymupdf", "py mupdf"), "Pillow": ("pillow",), "python-pptx": ("python-pptx",), "Arduino": ("arduino",), "Raspberry Pi": ("raspberry pi",), "ESP32": ("esp32", "esp 32"), "ESP8266": ("esp8266", "esp 8266"), "MQTT": ("mqtt",), "HTTP": ("http",),
+}
 
 
 def ordered(key: str, lines: DataFrame, order: str = "line_no", value: str = "line") -> DataFrame:
@@ -65,16 +76,18 @@ def simple_list(lines: Column) -> Column:
     return F.aggregate(F.filter(F.transform(items, strip), lambda x: x != ""), F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.array_append(acc, x)))
 
 
-def technologies(text: Column, most: int = 8) -> Column:
-    """Known skills that a text names as whole words, in dictionary order; up to `most`, as the report shows them."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = []
+def technologies(text: Column) -> Column:
+    """All technologies that a text names as whole words: those of projects in their order, then other known skills in
+    theirs. Names of one letter count as capitals that are not part of a sign like C++ or R&D."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.lower(text)
+    quoted = lambda words: "|".join(re.sub(r"([^\w\s])", r"\\\1", w.lower()) for w in words)
+    named = {name: low.rlike(rf"(?<!\w)(?:{quoted((name, *keys))})(?!\w)") for name, keys in PROJECT_TECHNOLOGIES.items()}
     for name, _, _, keys in SKILLS:
-        words = [k for k in keys if len(k) > 1]
-        if words:
-            pattern = "|".join(k.replace("+", r"\+").replace(".", r"\.") for k in words)
-            found.append(F.when(low.rlike(rf"(?<![\w.])(?:{pattern})(?!\w)"), name))
-    return F.slice(F.array_compact(F.array(*found)), 1, most)
+        hit = [low.rlike(rf"(?<![\w.])(?:{quoted(words)})(?!\w)") for words in [[k for k in keys if len(k) > 1]] if words]
+        hit += [text.rlike(rf"(?<![\w.&+#'’-]){k.upper()}(?![\w&+#'’-])") for k in keys if len(k) == 1]
+        named[name] = reduce(lambda a, b: a | b, hit, named.get(name, F.lit(False)))
+    return F.array_compact(F.array(*[F.when(hit, name) for name, hit in named.items()]))
 
 
 def crushed(text: Column) -> Column:

@@ -3,7 +3,7 @@ import collections
 from pyspark.sql import functions as F
 
 from folioframe.functions import contacts, dates, grades, text
-from folioframe.operators import consensus, evaluation, sections, skills
+from folioframe.operators import consensus, entries, evaluation, sections, skills
 from folioframe.plans import entry_queries, profile_queries
 from folioframe.plans.fixtures import HEADINGS, view
 
@@ -96,3 +96,13 @@ def test_section_summary_reads_the_whole_section(spark):
         elif inside.get(r["doc_id"]):
             want[r["doc_id"]].append(r["line"].removeprefix("• "))
     assert got == {k: " ".join(v) if len(" ".join(v)) >= 15 else None for k, v in want.items()} and max(map(len, want.values())) > 2
+
+
+def test_technologies_are_all_named(spark):
+    ten = "Python, Java, React, Node, PostgreSQL, Kafka, Docker, AWS, Git, Machine Learning"
+    values = [ten, "LLM and rag-pipelines on ESP 32 over MQTT with pandas", "R and C", "C++, C#, R&D, c, r", "pythonic .js", None, *entries.PROJECT_TECHNOLOGIES]
+    got = column(spark, values, entries.technologies)
+    assert got[0] == ["Python", "React", "Node.js", "Java", "PostgreSQL", "Kafka", "Docker", "AWS", "Git", "Machine Learning"]
+    assert got[1] == ["Large Language Models", "RAG (Retrieval-Augmented Generation)", "Pandas", "ESP32", "MQTT"]
+    assert got[2:6] == [["C", "R"], ["C++"], [], []]
+    assert all(name in found for name, found in zip(entries.PROJECT_TECHNOLOGIES, got[6:], strict=True))
