@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from .common import durable
 
 DEFAULT_KEY = "surrogates-1"
+#: From this attempt on names, addresses' local parts and phone numbers become longer, by one more each so many attempts.
+WIDEN = 8
+#: More rounds than that mean that a kind's replacements do not suffice for its entities.
+MAX_ROUNDS = 200
 #: Entities that need another attempt are put into the plan up to this count; beyond it they are joined.
 MAX_INLINE = 5000
 
@@ -176,15 +180,26 @@ def _name(m: Column, stream: Column) -> Column:
 
 def surrogate(m: Column, kind: Column, normal: Column, attempt: Column, key: str) -> Column:
     """The replacement of mention m of an entity."""
-    return let(_stream(key, kind, normal, attempt.cast("string")), lambda stream: _replacement(m, kind, stream, key))
+    return let(_stream(key, kind, normal, attempt.cast("string")), lambda stream: _replacement(m, kind, stream, F.floor(attempt / WIDEN).cast("int"), key))
 
 
-def _replacement(m: Column, kind: Column, stream: Column, key: str) -> Column:
+def _more(m: Column, stream: Column, n: Column, digits: bool = False) -> Column:
+    """n more vowels of the script of m, or digits."""
+    picks = lambda text: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _pick(stream, i + 40, text)), "")
+    if digits:
+        return F.when(n > 0, picks("0123456789")).otherwise("")
+    out = picks(LETTERS["latin"][1])
+    for script in ("greek", "cyrillic"):
+        out = F.when(m.rlike(SCRIPTS[script] + "$"), picks(LETTERS[script][1])).otherwise(out)
+    return F.when(n > 0, out).otherwise("")
+
+
+def _replacement(m: Column, kind: Column, stream: Column, more: Column, key: str) -> Column:
     def host(domain: Column) -> Column:
         labels = let(_stream(key, F.lit("domain"), domain), lambda s: _letters(F.regexp_replace(domain, r"\.\p{L}+$", ""), s))
         return F.concat(labels, F.regexp_extract(domain, r"\.\p{L}+$", 0))
 
-    email = F.concat(_letters(F.lower(F.regexp_extract(m, "^(.*)@", 1)), stream), F.lit("@"), let(F.lower(F.regexp_extract(m, "@(.*)$", 1)), host))
+    email = F.concat(_letters(F.lower(F.regexp_extract(m, "^(.*)@", 1)), stream), _more(F.lit(""), stream, more), F.lit("@"), let(F.lower(F.regexp_extract(m, "@(.*)$", 1)), host))
     ip = F.concat_ws(".", F.lit("10"), *[_number(stream, F.lit(i), 256).cast("string") for i in range(3)])
     hexed = F.array_join(F.transform(_chars(m), lambda c, i: _pick(stream, i, "0123456789abcdef")), "")
     hexed = F.when(m.rlike("[A-F]"), F.upper(hexed)).otherwise(hexed)
@@ -195,10 +210,10 @@ def _replacement(m: Column, kind: Column, stream: Column, key: str) -> Column:
         .when(kind == "email", email)
         .when(kind == "ip", ip)
         .when(kind == "card", _card(m, stream))
-        .when(kind == "phone", _digits(m, stream, country))
+        .when(kind == "phone", F.concat(_digits(m, stream, country), _more(m, stream, more, digits=True)))
         .when(kind == "ssn", _digits(m, stream, F.lit(0)))
         .when(kind == "iban", F.concat(F.substring(m, 1, 2), _letters(F.substring(m, F.lit(3), F.length(m)), stream)))
-        .otherwise(_name(m, stream))
+        .otherwise(F.concat(_name(m, stream), _more(m, stream, more)))
     )
 
 
@@ -217,11 +232,12 @@ def attempts(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """kind, normal, attempt of the entities (kind, normal, sample) whose first replacement is another's or an entity.
 
     Per round, of those that share a replacement the first keeps it unless it is an entity of the corpus; the others
-    draw again. Rounds go on until nothing clashes; clashes become rarer by orders of magnitude each time.
+    draw again. Rounds go on until nothing clashes; clashes become rarer by orders of magnitude each time, as those that
+    go on draw from larger spaces. If MAX_ROUNDS leave any, that is an error.
     """
     have = durable(found)
     state = have.withColumn("attempt", F.lit(0))
-    for _ in range(50):
+    for _ in range(MAX_ROUNDS):
         drawn = state.withColumn("to", surrogate(F.col("sample"), F.col("kind"), F.col("normal"), F.col("attempt"), key))
         drawn = durable(drawn.withColumn("to_normal", normal_form(F.col("kind"), F.col("to"))))
         twice = drawn.groupBy("kind", "to_normal").agg(F.count(F.lit(1)).alias("n"), F.min("normal").alias("first")).filter("n > 1")
@@ -232,6 +248,8 @@ def attempts(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
         if state.filter("again").isEmpty():
             break
         state = state.drop("again")
+    else:
+        raise ValueError(f"replacements still clash after {MAX_ROUNDS} rounds")
     return state.filter("attempt > 0").select("kind", "normal", "attempt")
 
 

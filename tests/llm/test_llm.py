@@ -336,6 +336,19 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(values)) == 400 and not set(values) & {f"{i:03d}" for i in range(400)}
 
 
+@pytest.mark.parametrize("kind", ["name", "email"])
+def test_surrogates_of_small_spaces_stay_distinct(spark, kind):
+    if kind == "name":  # 100 of the 114 names of their pattern: 14 are free
+        whole = [c + v for c in pii.LETTERS["latin"][0] for v in pii.LETTERS["latin"][1]][:100]
+        rows = [(kind, w, f"Mr {w.capitalize()}") for w in whole]
+    else:  # 6 addresses of one vowel at a host of no letters
+        rows = [(kind, f"{v}@--.com", f"{v}@--.com") for v in pii.LETTERS["latin"][1]]
+    found = spark.createDataFrame(rows, "kind string, normal string, sample string")
+    drawn = found.join(pii.attempts(found), ["kind", "normal"], "left").withColumn("to", pii.surrogate(F.col("sample"), F.col("kind"), F.col("normal"), F.coalesce("attempt", F.lit(0)), pii.DEFAULT_KEY))
+    new = [r["n"] for r in drawn.select(pii.normal_form(F.col("kind"), F.col("to")).alias("n")).collect()]
+    assert len(set(new)) == len(rows) and not set(new) & {n for _, n, _ in rows}
+
+
 def test_html(spark):
     pages = [
         (1, "http://a.b/x", '<html><body><header>Top</header><div class="menu">Home</div><div id="content"><h1>T&amp;t</h1><p>One <b>b</b>old<br>two<p>three<div class="comments"><p>nice</p></div></div><aside>s</aside></body>'),
