@@ -328,25 +328,97 @@ def test_pii_alone(spark, inline, monkeypatch):
         assert r["text"].startswith("see ") and r["text"].endswith(", please")
 
 
-def test_surrogates_stay_distinct(spark):
-    found = spark.createDataFrame([("phone", f"{i:03d}", f"{i:03d}") for i in range(400)], "kind string, normal string, sample string")
-    tries = {r["normal"]: r["attempt"] for r in pii.attempts(found).collect()}
-    drawn = found.join(spark.createDataFrame([(k, v) for k, v in tries.items()] or [("", 0)], "normal string, attempt int"), "normal", "left").select(pii.surrogate(F.col("sample"), F.col("kind"), F.col("normal"), F.coalesce("attempt", F.lit(0)), pii.DEFAULT_KEY).alias("to"))
-    values = [r["to"] for r in drawn.collect()]
-    assert len(set(values)) == 400 and not set(values) & {f"{i:03d}" for i in range(400)}
+def drawn(found):
+    """Normal forms of the final replacements of entities (kind, normal)."""
+    tried = found.join(pii.attempts(found), ["kind", "normal"], "left")
+    return [r["to"] for r in tried.select(pii.surrogate(F.col("kind"), F.col("normal"), F.coalesce("attempt", F.lit(0)), pii.DEFAULT_KEY).alias("to")).collect()]
 
 
-@pytest.mark.parametrize("kind", ["name", "email"])
+@pytest.mark.parametrize("kind", ["phone", "family", "email", "given_m"])
 def test_surrogates_of_small_spaces_stay_distinct(spark, kind):
-    if kind == "name":  # 100 of the 114 names of their pattern: 14 are free
-        whole = [c + v for c in pii.LETTERS["latin"][0] for v in pii.LETTERS["latin"][1]][:100]
-        rows = [(kind, w, f"Mr {w.capitalize()}") for w in whole]
-    else:  # 6 addresses of one vowel at a host of no letters
-        rows = [(kind, f"{v}@--.com", f"{v}@--.com") for v in pii.LETTERS["latin"][1]]
-    found = spark.createDataFrame(rows, "kind string, normal string, sample string")
-    drawn = found.join(pii.attempts(found), ["kind", "normal"], "left").withColumn("to", pii.surrogate(F.col("sample"), F.col("kind"), F.col("normal"), F.coalesce("attempt", F.lit(0)), pii.DEFAULT_KEY))
-    new = [r["n"] for r in drawn.select(pii.normal_form(F.col("kind"), F.col("to")).alias("n")).collect()]
-    assert len(set(new)) == len(rows) and not set(new) & {n for _, n, _ in rows}
+    """Most of a space is taken, so replacements must come from larger ones."""
+    whole = {
+        "phone": [f"|{i:03d}" for i in range(400)],
+        "family": [c + v for c in pii.LETTERS["latin"][0] for v in pii.LETTERS["latin"][1]][:100],  # 14 of 114 are free
+        "email": [f"{v}@--.com" for v in pii.LETTERS["latin"][1]],
+        "given_m": [x.lower() for x in pii.GIVEN["latin"][1]] + [f"name{i}" for i in range(600)],
+    }[kind]
+    new = drawn(spark.createDataFrame([(kind, w) for w in whole], "kind string, normal string"))
+    assert len(set(new)) == len(whole) and (kind == "given_m" or not set(new) & set(whole))
+
+
+def test_pii_one_entity_many_forms(spark):
+    """Ten ways of writing a number, and others of IBANs, addresses, keys and names, each stay one entity."""
+    phones = ["+10175557713", "+1 017 555 7713", "+1 (017) 555-7713", "+1-017-555-7713", "+1.017.555.7713", "(017) 555-7713", "(017)555 7713", "017-555-7713", "017.555.7713", "+1 0175557713"]
+    ibans = ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"]
+    mails = ["Joe.Doe@Mail.example.com", "joe.doe@mail.EXAMPLE.com"]
+    keys = ["a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6", "A1B2C3D4E5F6A7B8C9D0E1F2A3B4C5D6"]
+    names = ["Mr John Smith", "Mr. Smith", "Mr SMITH"]
+    rows = [(i, f"see {x} ok") for i, x in enumerate(phones + ibans + mails + keys + names)] + [(100, "see +44 20 7946 0958 ok"), (101, "Mr Peter Smith and Mrs Smith")]
+    got = {r["doc_id"]: r["text"][4:-3] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    of = lambda part: [got[i] for i, r in enumerate(phones + ibans + mails + keys + names) if r in part]
+    shape = lambda x: re.sub("[0-9]", "9", x)
+    assert [shape(x) for x in of(phones)] == [shape(x) for x in phones] and all(x.startswith("+1") for x in of(phones) if x[0] == "+")
+    assert len({re.sub(r"\D", "", x)[-10:] for x in of(phones)}) == 1 and re.sub(r"\D", "", of(phones)[0])[-10:] != "0175557713"
+    assert got[100].startswith("+44 ")
+    one, two = of(ibans)
+    assert one.replace(" ", "") == two and [len(x) for x in one.split()] == [len(x) for x in ibans[0].split()]
+    number = "".join(str(int(c, 36)) for c in two[4:] + two[:4])
+    assert int(number) % 97 == 1
+    assert len(set(of(mails))) == 1 and of(keys)[0].upper() == of(keys)[1]
+    full, short, loud = of(names)
+    assert full.split()[1] in pii.GIVEN["latin"][1] and full.split()[-1] == short.split()[-1] == loud.split()[-1].capitalize() and "Smith" not in full
+
+
+def brute_mentions(text):
+    """kind and mention, by trying every kind at every place in order."""
+    import regex
+
+    kinds = {k: regex.compile(p.replace("{IsGreek}", "{Greek}").replace("{IsCyrillic}", "{Cyrillic}")) for k, p in pii.PATTERNS.items()}
+    at, out = 0, []
+    while at < len(text):
+        hit = min(((m.start(), i, k, m) for i, (k, p) in enumerate(kinds.items()) if (m := p.search(text, at))), key=lambda x: x[:2], default=None)
+        if hit is None:
+            break
+        out.append((hit[2], hit[3][0]))
+        at = hit[3].end()
+    return out
+
+
+def test_pii_mentions_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in docs.select("doc_id", "text").join(pii.replace_entities(docs).select("doc_id", F.col("text").alias("new"), "n_entities"), "doc_id").collect()}
+    there: dict = {}
+    back: dict = {}
+    for r in got.values():
+        found = brute_mentions(r["text"] or "")
+        assert r["n_entities"] == len(found)
+        if not found:
+            assert r["new"] == r["text"]
+            continue
+        # text between the mentions is as it was, and every mention has one replacement that no other has
+        parts = re.fullmatch("(.*?)".join(re.escape(g) for g in re.split("|".join(re.escape(m) for _, m in found), r["text"])), r["new"], re.S)
+        assert parts, r["doc_id"]
+        for (kind, m), new in zip(found, parts.groups(), strict=True):
+            m, new = (re.sub(r"\D", "", x) if kind in ("phone", "card", "ssn") else x.lower() for x in (m, new))
+            assert m != new and there.setdefault((kind, m), new) == new and back.setdefault((kind, new), m) == m
+    assert len(there) > 10
+
+
+def test_pii_odd_tables(spark, odd, none):
+    got = pii.replace_entities(odd.withColumn("n_entities", F.lit("theirs")))
+    assert got.columns[:2] == ["doc_id", "text"] and got.columns[-1] == "n_entities_2"
+    rows = got.collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"], r["n_entities"]) for r in rows))) == sorted(map(str, ((i, t, "theirs") for i, t in ODD)))
+    assert pii.replace_entities(none).collect() == [] and pii.replace_entities(none.select("text")).columns == ["text", "n_entities"]
+
+
+@pytest.mark.parametrize("text", ["x@" + "a." * 500_000, "x@" + "a." * 4000 + "com", "a." * 500_000, "9" * 1_000_000, "+1 " * 300_000, "Mr " + "Aa" * 500_000, "f" * 1_000_000, "ab-" * 300_000 + "@"], ids=lambda t: t[:6])
+def test_pii_long_texts(spark, text):
+    docs = spark.createDataFrame([(1, text), (2, " a@b.com   c@d.org")], "doc_id long, text string")
+    got = by_id(pii.replace_entities(docs))
+    assert len(got[1]["text"]) == len(text) and got[2]["n_entities"] == 2
+    assert re.fullmatch(" \\S+@\\S+\\.com   \\S+@\\S+\\.org", got[2]["text"])
 
 
 def test_html(spark):
