@@ -144,13 +144,13 @@ def _chars(m: Column) -> Column:
 
 def _letter(low: Column, stream: Column, i: Column) -> Column:
     """A lower-case letter of the same script and kind (vowel or not) in place of low; other characters stay."""
-    out = low
-    for consonants, vowels in LETTERS.values():
-        out = F.when(F.contains(F.lit(vowels), low), _pick(stream, i, vowels)).when(F.contains(F.lit(consonants), low), _pick(stream, i, consonants)).otherwise(out)
-    accented = low.rlike(r"[^\x00-\x7F]") & low.rlike(r"\p{L}")
-    other = F.when(low.rlike(SCRIPTS["cyrillic"]), _pick(stream, i, LETTERS["cyrillic"][1])).when(low.rlike(SCRIPTS["greek"]), _pick(stream, i, LETTERS["greek"][1])).when(low.rlike(r"\p{IsLatin}"), _pick(stream, i, LETTERS["latin"][1])).otherwise(low)
-    known = F.contains(F.lit("".join(a + b for a, b in LETTERS.values())), low)
-    return F.when(known, out).when(accented, other).otherwise(low)
+    pool = F.lit(None).cast("string")
+    for script in ("latin", "greek", "cyrillic"):  # accented and rarer letters are replaced by vowels
+        pool = F.when(low.rlike(SCRIPTS[script] or r"\p{IsLatin}") & low.rlike(r"[^\x00-\x7F]") & low.rlike(r"\p{L}"), LETTERS[script][1]).otherwise(pool)
+    for letters in LETTERS.values():
+        for text in letters:
+            pool = F.when(F.contains(F.lit(text), low), text).otherwise(pool)
+    return let(pool, lambda p: F.when(p.isNull(), low).otherwise(F.substring(p, (_number(stream, i, F.length(p)) + 1).cast("int"), F.lit(1))))
 
 
 def _alike(text: Column, stream: Column) -> Column:
@@ -347,8 +347,9 @@ def attempts(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """
     have = durable(found.select("kind", "normal"))
     state = have.withColumn("attempt", F.lit(0))
+    to = surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key)
     for _ in range(MAX_ROUNDS):
-        drawn = durable(state.withColumn("to", surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key)))
+        drawn = durable(state.withColumn("to", to))
         twice = drawn.groupBy("kind", "to").agg(F.count(F.lit(1)).alias("n"), F.min("normal").alias("first")).filter("n > 1")
         real = have.filter("kind NOT LIKE 'given%'").select("kind", F.col("normal").alias("to"), F.lit(True).alias("real"))
         marks = drawn.join(twice, ["kind", "to"], "left").join(real, ["kind", "to"], "left")
@@ -397,7 +398,7 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "t
             return F.coalesce(F.element_at(known, F.concat_ws("\x1f", kind, normal)), F.lit(0)) if table else F.lit(0)
 
         def word(p: Column) -> Column:
-            return let(normal_form(p["kind"], p["text"]), lambda normal: written(p["kind"], p["text"], surrogate(p["kind"], normal, tries(p["kind"], normal), key)))
+            return let(normal_form(p["kind"], p["text"]), lambda normal: let(surrogate(p["kind"], normal, tries(p["kind"], normal), key), lambda new: written(p["kind"], p["text"], new)))
 
         new = F.transform("found", lambda x: titled(x, F.array_join(F.transform(pieces(x["kind"], x["m"]), word), " ")))
         return out(marked, new)
@@ -408,7 +409,7 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "t
     else:
         dealt = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         tried = parts.withColumn("salt", F.pmod(F.col("row") + F.col("pos"), F.lit(SALTS)).cast("int")).join(dealt, ["kind", "normal", "salt"], "left")
-    made = tried.select("row", "pos", "part", written(F.col("kind"), F.col("m"), surrogate(F.col("kind"), F.col("normal"), F.coalesce("attempt", F.lit(0)), key)).alias("to"))
+    made = tried.select("row", "pos", "part", let(surrogate(F.col("kind"), F.col("normal"), F.coalesce("attempt", F.lit(0)), key), lambda new: written(F.col("kind"), F.col("m"), new)).alias("to"))
     words = made.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "to"))).alias("words"))  # of one text
     joined = marked.join(words, "row", "left")
     new = F.transform("found", lambda x, i: titled(x, F.array_join(F.transform(F.filter("words", lambda w: w["pos"] == i), lambda w: w["to"]), " ")))
