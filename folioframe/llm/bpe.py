@@ -16,6 +16,7 @@ import re
 import unicodedata
 
 import numpy as np
+import xxhash
 import pyarrow as pa
 import regex
 import tiktoken
@@ -56,6 +57,10 @@ def ragged(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return pool[at]
 
 
+#: Spans of more bytes than this are hashed one by one.
+LONG_SPAN = 256
+
+
 class SpanMemo:
     """Ids of spans of bytes, remembered under a 64-bit hash of their bytes and length; open addressing over arrays.
 
@@ -111,7 +116,10 @@ class SpanMemo:
             slot = np.where(taken, (slot + 1) & ((1 << self.bits) - 1), slot)
 
     def entries(self, data: bytes, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = span_hashes(buf, starts, ends) | np.uint64(1)
+        h = span_hashes(buf, starts, ends)
+        for i in np.flatnonzero(ends - starts > LONG_SPAN).tolist():  # a polynomial has known collisions of long spans
+            h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+        h |= np.uint64(1)
         found = self.find(h)
         if len(new := np.flatnonzero(found < 0)):
             keys, first = np.unique(h[new], return_index=True)

@@ -13,13 +13,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-from .common import durable, fold_ascii, parallel_parts
+from .common import durable, fold_ascii, parallel_parts, shared_folder
 
 #: A block is one reducer's unit of filter.
 BLOCK_BITS = 1 << 16
 BITS_PER_ROW = 16
-#: The largest filter that is sent to every executor (32 MiB). Beyond it hashes are counted by a shuffle instead.
+#: The largest filter that is sent to every executor (32 MiB). Larger tables are filtered slice by slice.
 MAX_FILTER_BITS = 1 << 28
 #: Groups of more rows than HOT_ROWS are joined by broadcast while there are at most MAX_HOT_GROUPS (about 10 MB).
 HOT_ROWS, MAX_HOT_GROUPS = 1000, 100_000
@@ -86,25 +87,21 @@ def _merge(batches):
     yield pd.DataFrame(rows, columns=["block", "bits"])
 
 
-def repeated_flag(keys: DataFrame, rows: int, max_bits: int = MAX_FILTER_BITS):
-    """keys (h long, ...) with maybe_repeated boolean: false only where h is certain to occur once."""
-    bits = filter_bits(rows)
-    if bits > max_bits:
-        again = keys.groupBy("h").count().filter("count > 1").select("h", F.lit(True).alias("maybe_repeated"))
-        return keys.join(again, "h", "left").withColumn("maybe_repeated", F.coalesce("maybe_repeated", F.lit(False)))
+def _flagged(keys: DataFrame, bits: int) -> DataFrame:
+    """keys with maybe_repeated, from one filter of so many bits."""
     merged = (
         keys.select("h")
         .mapInPandas(_sketch(bits), "block long, once binary, twice binary")
         .repartition(parallel_parts(keys), "block")
         .mapInPandas(_merge, "block long, bits binary")
         .collect()
-    )  # at most bits / 8 bytes, which max_bits bounds
+    )  # at most bits / 8 bytes, which the caller bounds
     shared = keys.sparkSession.sparkContext.broadcast({r["block"]: bytes(r["bits"]) for r in merged})
     opened: dict[int, np.ndarray] = {}
 
     def test(h: pd.Series) -> pd.Series:
         if not opened:
-            opened.update({b: np.unpackbits(np.frombuffer(zlib.decompress(z), np.uint8)).astype(bool) for b, z in shared.value.items()})
+            opened.update({b: np.frombuffer(zlib.decompress(z), np.uint8) for b, z in shared.value.items()})  # a byte for 8 bits
         block, p, q = positions(h.to_numpy(np.int64), bits)
         out = np.zeros(len(h), bool)
         order = np.argsort(block, kind="stable")
@@ -112,12 +109,31 @@ def repeated_flag(keys: DataFrame, rows: int, max_bits: int = MAX_FILTER_BITS):
         for b, s, e in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), len(h)], strict=True):
             if (bit := opened.get(b)) is not None:
                 i = order[s:e]
-                out[i] = bit[p[i]] & bit[q[i]]
+                out[i] = (bit[p[i] >> 3] >> (7 - (p[i] & 7))) & (bit[q[i] >> 3] >> (7 - (q[i] & 7))) & 1
         return pd.Series(out)
 
     return keys.withColumn("maybe_repeated", F.pandas_udf(test, "boolean")("h"))
 
 
+def repeated_flag(keys: DataFrame, rows: int, max_bits: int = MAX_FILTER_BITS) -> DataFrame:
+    """keys (h long, ...) with maybe_repeated boolean: false only where h is certain to occur once.
+
+    A table that would need a filter of more than max_bits is dealt into slices by hash, written apart without a
+    shuffle, and every slice goes through its two passes by a filter of its own.
+    """
+    bits = filter_bits(rows)
+    if bits <= max_bits:
+        return durable(_flagged(keys, bits))
+    spark, slices = keys.sparkSession, -(-bits // max_bits)
+    folder = shared_folder(spark, "slices")
+    keys.withColumn("slice", F.pmod(F.xxhash64("h"), F.lit(slices)).cast("int")).write.partitionBy("slice").parquet(f"{folder}/keys")
+    schema = StructType([*keys.schema.fields, StructField("slice", IntegerType())])
+    whole = spark.read.schema(schema).parquet(f"{folder}/keys")
+    for k in range(slices):
+        _flagged(whole.filter(F.col("slice") == k).drop("slice"), max(max_bits, BLOCK_BITS)).write.mode("overwrite").parquet(f"{folder}/flagged/slice={k}")
+    return spark.read.schema(StructType([*keys.schema.fields, StructField("maybe_repeated", BooleanType())])).parquet(f"{folder}/flagged")
+
+
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normal: Column | None = None, max_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -150,6 +166,9 @@ def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Dat
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those whose text equals that of a row with a larger id."""
+    """The rows of docs, all columns, without those whose text equals that of a row with a larger id.
+
+    Rows that repeat an id go together, if none of them is to stay; a row without an id stays.
+    """
     groups = durable(duplicate_groups(docs, id_col, text_col))
-    return drop_ids(docs, groups.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), id_col)
+    return drop_ids(docs, groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id"), id_col)

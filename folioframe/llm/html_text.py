@@ -3,8 +3,10 @@
 Every page is read as a sequence of structural tokens: its elements by their path of tags and classes (or ids, digits
 aside). Over the pages of one host, tokens with the same occurrence vector (equally many on every page) form an
 equivalence class. In a class whose pages differ, the tokens that have the same text on all of them are the host's
-template. Menus, adverts and the like are set aside by their tags and names. What remains of a page is its content: the
-page's own article and main elements if they hold text, else the smallest element that holds all that remains.
+template. So are blocks of words, told apart by path and text, whose vector is that of the element around them, while
+that element's text differs: classes nest, and what stands in every instance of an element is not its content. Menus, adverts and the like are set aside by their tags and names. What remains of a page is its content: the
+page's own article and main elements if they hold text, else the smallest element that holds all that remains; of both,
+template is left out.
 
 Vectors are compared by a sum of per-page hashes, so a host's statistics are added up map-side and no task ever holds
 the pages or the tokens of a host, however many they are.
@@ -28,8 +30,8 @@ from .common import durable
 
 #: A token is part of the template from this number of pages on, however large the host.
 SUPPORT = 3
-#: Hosts whose templates (a few tokens each) are broadcast; beyond it they are joined.
-MAX_BROADCAST_HOSTS = 20_000
+#: Templates of up to so many bytes in all are broadcast; beyond it they are joined, each host dealt SALTS ways.
+MAX_BROADCAST_BYTES, SALTS = 16 << 20, 64
 
 #: HTML's void, raw-text and inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -179,11 +181,11 @@ def read(page: str) -> tuple[list[Element], list[tuple[str, Element, str]]]:
     return elements, events
 
 
-def page_tokens(page: str) -> dict[int, list]:
+def page_tokens(elements: list[Element]) -> dict[int, list]:
     """Per structural token of a page (0 is the page itself) that is not set aside: how often it opens, the digest of its
     text, and the token around it. Inline elements are content, not structure."""
     out: dict[int, list] = {}
-    for e in read(page)[0]:
+    for e in elements:
         if e.block is e and not e.aside:
             x = out.setdefault(e.token, [0, 0, e.parent.block.token if e.parent else -1])
             x[0] += 1
@@ -191,6 +193,22 @@ def page_tokens(page: str) -> dict[int, list]:
     return out
 
 
+def word_token(e: Element) -> int:
+    """The token of a block's words: below 0, which no structural token is."""
+    return -1 - _mix(e.token ^ 0x5F356495, e.digest)
+
+
+def word_tokens(elements: list[Element]) -> dict[int, list]:
+    """Per block of words of a page (a block element without others in it): how often it occurs, digest, token around."""
+    outer = {id(e.parent.block) for e in elements if e.block is e and e.parent}
+    out: dict[int, list] = {}
+    for e in elements:
+        if e.block is e and not e.aside and e.digest and e.parent is not None and id(e) not in outer:
+            x = out.setdefault(word_token(e), [0, e.digest, e.parent.block.token])
+            x[0] += 1
+    return out
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
 
@@ -201,8 +219,10 @@ def _token_rows(batches):
     for b in batches:
         acc: dict[tuple[str, int], list] = {}
         for host, key, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            for token, (count, digest, around) in (tokens := page_tokens(page or "")).items():
-                whole = tokens[0][1]
+            elements = read(page or "")[0]
+            tokens = page_tokens(elements)
+            whole = tokens[0][1]
+            for token, (count, digest, around) in (tokens | word_tokens(elements)).items():
                 x = acc.setdefault((host, token), [around, 0, 0, digest, digest, whole, whole])
                 # a hash of (page, count); its sum over pages stands for the occurrence vector
                 h = ((key & (1 << 63) - 1) + count * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 & (1 << 64) - 1
@@ -217,18 +237,23 @@ def _token_rows(batches):
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, template (tokens, the outermost ones) for every host of pages that has one.
+    """host, template (tokens) for every host of pages that has one.
 
-    A token's text is template if it is the same on all pages of its class while the pages are not.
+    A token's text is template if it is the same on all pages of its class while the pages are not, and a block of words
+    is if it stands in every instance of the element around it while that element's text differs.
     """
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(url_col, html_col).alias("key"), F.col(html_col).cast("string").alias("html"))
     parts = rows.mapInArrow(_token_rows, "host string, token long, around long, vector long, pages long, low long, high long, page_low long, page_high long")
     sums = parts.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum(F.col("vector").cast("decimal(20,0)")).cast("string").alias("vector"), *[F.min(c).alias(c) for c in ("around", "low", "page_low")], *[F.max(c).alias(c) for c in ("high", "page_high")])
     frequent = durable(sums.filter(F.col("pages") >= SUPPORT))
-    classes = frequent.groupBy("host", "vector").agg(F.min("page_low").alias("low"), F.max("page_high").alias("high")).filter("low < high")
-    same = frequent.filter("low = high AND low <> 0").join(classes, ["host", "vector"], "left_semi").select("host", "token", "around")
+    shape = frequent.filter("token >= 0")
+    classes = shape.groupBy("host", "vector").agg(F.min("page_low").alias("low"), F.max("page_high").alias("high")).filter("low < high")
+    same = shape.filter("low = high AND low <> 0").join(classes, ["host", "vector"], "left_semi").select("host", "token", "around")
     inner = same.select("host", F.col("token").alias("around"))
-    return same.join(inner, ["host", "around"], "left_anti").groupBy("host").agg(F.collect_list("token").alias("template"))
+    whole = same.join(inner, ["host", "around"], "left_anti").select("host", "token")
+    holders = shape.filter("low < high").select("host", F.col("token").alias("around"), "vector")
+    words = frequent.filter("token < 0").join(holders, ["host", "around", "vector"], "left_semi").select("host", "token")
+    return whole.union(words).groupBy("host").agg(F.collect_list("token").alias("template"))
 
 
 def _choose(elements: list[Element], template: frozenset[int]) -> None:
@@ -238,8 +263,9 @@ def _choose(elements: list[Element], template: frozenset[int]) -> None:
     smallest container of all such text; else the whole page. If most text of the page is template, it is one of some
     that repeat an article, and has no template.
     """
+    words = word_tokens(elements).keys() & template
     for e in elements:
-        e.stock = e.parent is not None and e.parent.stock or e.block is e and e.token in template
+        e.stock = e.parent is not None and e.parent.stock or e.block is e and (e.token in template or bool(words) and e.digest != 0 and not e.aside and word_token(e) in words)
     if 2 * sum(e.own for e in elements if e.stock) > sum(e.own for e in elements):
         for e in elements:
             e.stock = False
@@ -254,8 +280,10 @@ def _choose(elements: list[Element], template: frozenset[int]) -> None:
         chosen = {id(e) for e in outermost if not e.stock}
     elif root.size:
         chosen = {id(next((e for e in reversed(elements) if e.size == root.size and e.tag in CONTAINERS), root))}
-    else:
+    else:  # nothing but template, or nothing but links
         chosen = {id(root)}
+        for e in elements:
+            e.stock = False
     for e in elements:
         e.inside = e.parent is not None and e.parent.inside or id(e) in chosen
 
@@ -269,7 +297,7 @@ def article_blocks(page: str, template: frozenset[int] = frozenset()) -> list[st
         if kind != "text":
             if kind == "break" or e.block is e:
                 out.append([])
-        elif e.inside and not e.aside:
+        elif e.inside and not e.aside and not e.stock:
             out[-1].append(text)
     blocks = (" ".join(html.unescape("".join(b)).split()) for b in out)
     return [b for b in blocks if b]
@@ -282,9 +310,14 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Repeated pages are extracted one by one, and other columns are never read.
     """
     known = durable(templates(pages, url_col, html_col))
-    n = known.count()
+    size = known.agg(F.sum(F.length("host") + 8 * F.size("template") + 32)).first()[0] or 0
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = rows.join(F.broadcast(known) if n <= MAX_BROADCAST_HOSTS else known, "host", "left").select("page_id", "url", "html", "template")
+    if size <= MAX_BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(known), "host", "left")
+    else:
+        dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).join(dealt, ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "template")
 
     def run(batches):
         for b in batches:

@@ -1,7 +1,7 @@
 """Language identification by string kernels.
 
-A text's blended spectrum is the set of its hashed letter n-grams (1 to 3 letters, words padded); the kernel is the
-normalised count of shared n-grams. A bounded, per-language sample of the labelled rows gives landmarks (Nystrom) and
+A text's blended spectrum is the set of its hashed n-grams of 1 to 4 bytes (letters folded, words padded); the kernel
+is the normalised count of shared n-grams. A bounded, per-language sample of the labelled rows gives landmarks (Nystrom) and
 training rows for one-versus-rest kernel ridge regression; every text is then scored by batched matrix products.
 """
 
@@ -20,6 +20,8 @@ from .common import held_out, mix64, text_steps
 DIM = 1 << 13
 #: Bounds of the sample that the model is fitted on: rows in all, and rows a language; landmarks in all.
 MAX_TRAIN, TRAIN_PER_LANG, MAX_LANDMARKS = 4000, 400, 128
+#: Languages that are learned, the most frequent ones, and rows whose spectra are held at a time (16 KiB each and more).
+MAX_LANGS, STEP_ROWS = 400, 1024
 RIDGE = 1e-2
 UNKNOWN = "und"
 
@@ -81,15 +83,17 @@ class KernelModel:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KernelModel | None:
     """Learns from at most about MAX_TRAIN rows that are not held out, chosen by a hash of the id, evenly by language.
 
-    None if no row has a language. Ties between languages fall to the first in alphabetical order.
+    Rows that repeat an id count once. None if no row has a language. Ties between languages fall to the first in alphabetical order.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return None
     quota = min(TRAIN_PER_LANG, max(1, MAX_TRAIN // len(counts)))
     share = F.create_map(*[F.lit(v) for lang, c in counts.items() for v in (lang, min(1.0, quota / c))])
     u = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    # a repeated row counts once, so that a much repeated id cannot swell the sample
+    chosen = rows.filter(u < share[F.col("lang")]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
 
     def sample(batches):
         for b in batches:
@@ -97,7 +101,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 packed = np.packbits(spectrum(buf, off), axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array([r.tobytes() for r in packed], pa.binary()), b.column(2).slice(a, e - a)], ["doc_id", "bits", "lang"])
 
-    got = rows.filter(u < share[F.col("lang")]).mapInArrow(sample, "doc_id long, bits binary, lang string").collect()  # bounded: about MAX_TRAIN rows of DIM bits
+    got = chosen.mapInArrow(sample, "doc_id long, bits binary, lang string").collect()  # bounded: about MAX_TRAIN rows of DIM bits
     got.sort(key=lambda r: (int(mix64(np.array([r["doc_id"]], np.int64).view(np.uint64))[0]), r["doc_id"]))
     langs = sorted(counts)
     y = np.array([langs.index(r["lang"]) for r in got])
@@ -127,8 +131,12 @@ def predict_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 pred, score = np.full(e - a, UNKNOWN, object), np.zeros(e - a)
                 solid = np.array([bool(t) and _ANY_LETTER.search(t) is not None for t in texts.slice(a, e - a).to_pylist()])
                 if model is not None and solid.any():
-                    best, s = model.score(spectrum(buf, off))
-                    pred[solid], score[solid] = np.array(model.langs, object)[best][solid], s[solid]
+                    for r in range(0, e - a, STEP_ROWS):
+                        z = slice(r, min(r + STEP_ROWS, e - a))
+                        cut = off[r : z.stop + 1]
+                        best, s = model.score(spectrum(buf[cut[0] : cut[-1]], cut - cut[0]))
+                        pred[z], score[z] = np.array(model.langs, object)[best], s
+                    pred[~solid], score[~solid] = UNKNOWN, 0
                 yield pa.RecordBatch.from_arrays([ids.slice(a, e - a), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     out = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -105,7 +105,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
             yield pdf[names].assign(sequence_id=which + (np.int64(g) << 32), offset=offset)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)).cast("int"))
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     return dealt.repartition(groups, "__group").mapInPandas(run, schema)
 
 

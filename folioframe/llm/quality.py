@@ -38,7 +38,7 @@ _CLASS["lower"][97:123] = True
 _VOWEL = np.zeros(256, bool)
 for _c in b"aeiouyAEIOUY":
     _VOWEL[_c] = True
-_VOWEL[0xC3] = True
+_VOWEL[0xC3:] = True  # a word of letters beyond ASCII is not known to lack vowels
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -108,19 +108,27 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, x array<double>")
 
 
+def inverse_lower(lower: np.ndarray) -> np.ndarray:
+    """Inverse of a lower triangular matrix by forward substitution."""
+    out = np.eye(len(lower))
+    for i in range(len(lower)):
+        out[i] = (out[i] - lower[i, :i] @ out[:i]) / lower[i, i]
+    return out
+
+
 @dataclass(frozen=True)
 class Discriminant:
-    """Fitted classes: means, lower Cholesky factors, log determinants, log priors. None: one class was never seen."""
+    """Fitted classes: means, inverse lower Cholesky factors (solved for once), log determinants, log priors."""
 
     mean: np.ndarray
-    chol: np.ndarray
+    whiten: np.ndarray
     logdet: np.ndarray
     prior: np.ndarray
 
     def score(self, x: np.ndarray) -> np.ndarray:
         logp = []
         for c in (0, 1):
-            z = np.linalg.solve(self.chol[c], (x - self.mean[c]).T)
+            z = self.whiten[c] @ (x - self.mean[c]).T
             logp.append(self.prior[c] - 0.5 * (np.square(z).sum(0) + self.logdet[c]))
         return 1 / (1 + np.exp(np.clip(logp[0] - logp[1], -50, 50)))
 
@@ -159,7 +167,7 @@ def fit(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
     pooled = np.diag(np.maximum(np.einsum("c,cii->i", n, cov) / n.sum(), 1e-4))
     cov = (1 - shrinkage) * cov + shrinkage * pooled + 1e-6 * np.eye(d)
     chol = np.linalg.cholesky(cov)
-    return Discriminant(mean, chol, 2 * np.log(np.einsum("cii->ci", chol)).sum(1), np.log(n / n.sum()))
+    return Discriminant(mean, np.stack([inverse_lower(c) for c in chol]), 2 * np.log(np.einsum("cii->ci", chol)).sum(1), np.log(n / n.sum()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

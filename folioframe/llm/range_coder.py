@@ -14,7 +14,9 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TOKR2\n"
+MAGIC, PAIR = b"TOKR2\n", b"TOKR2+"
+#: Different ids that one table of odds can hold.
+MAX_IDS = (1 << 17) - 1
 #: The coder's state has 48 bits and moves by words of 16.
 TOP, BOT, MASK, WORD = np.uint64(1 << 32), np.uint64(1 << 30), np.uint64((1 << 48) - 1), np.uint64(16)
 #: Bits of the odds between orders, and bits that choose a context's cell.
@@ -169,9 +171,15 @@ def block_length(n: int) -> int:
     return min(MAX_BLOCK, max(MIN_BLOCK, 1 << (max(1, want) - 1).bit_length()))
 
 
-def encode_ids(ids: np.ndarray) -> bytes:
-    """A self-contained stream: ids by falling frequency, then blocks, each with its length and CRC-32."""
+def encode_ids(ids: np.ndarray, max_ids: int = MAX_IDS) -> bytes:
+    """A self-contained stream: ids by falling frequency, then blocks, each with its length and CRC-32.
+
+    Of more different ids than one table of odds can hold, each half becomes a stream of its own.
+    """
     ids = np.asarray(ids, np.uint32)
+    if len(ids) and len(np.unique(ids)) > max_ids:
+        halves = [encode_ids(x, max_ids) for x in np.array_split(ids, 2)]
+        return PAIR + struct.pack("<Q", len(halves[0])) + b"".join(halves)
     count = np.bincount(ids)
     names = np.flatnonzero(count)
     order = np.lexsort((names, -count[names]))
@@ -201,7 +209,18 @@ def encode_ids(ids: np.ndarray) -> bytes:
 
 
 def decode_ids(data: bytes) -> np.ndarray:
-    """The ids of a stream; ValueError if a block does not have its checksum."""
+    """The ids of a stream; ValueError if it is cut short or a block does not have its checksum."""
+    try:
+        if data[: len(PAIR)] == PAIR:
+            at = len(PAIR) + 8
+            mid = at + struct.unpack_from("<Q", data, len(PAIR))[0]
+            return np.concatenate([decode_ids(data[at:mid]), decode_ids(data[mid:])])
+        return _decode(data)
+    except (IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
+        raise ValueError("damaged token stream") from e
+
+
+def _decode(data: bytes) -> np.ndarray:
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token stream")
     at = len(MAGIC)

@@ -7,7 +7,8 @@
    many a linked pair must share, so most chance pairs end here; the rest are verified on the whole sets.
 4. Signatures of many sets cost too much to use. A set that can afford to leave out all of its frequent signatures does
    so and loses nothing. Sets that cannot (large families of near copies, mostly) are gathered into families by the
-   frequent signatures they share, and compared in blocks of bounded size by products of incidence matrices.
+   frequent signatures they share. There they are compared with the family's hub, and those that are not linked to it
+   with all others, in blocks of bounded size by products of incidence matrices.
 5. Verified links are joined up into components.
 """
 
@@ -30,6 +31,8 @@ SHINGLE = 5
 FREQUENT = 8
 #: Signatures per reducing task, and elements per block of a family.
 PART_SIGNATURES, BLOCK_ELEMENTS = 1_000_000, 200_000
+#: Hubs' sets up to this size in all are broadcast; beyond it they are joined.
+MAX_HUB_BYTES = 16 << 20
 #: Bytes of text per vectorised step, and entries that a task holds before it passes them on.
 STEP, HELD = 1 << 20, 400_000
 
@@ -185,11 +188,11 @@ def _rows(kind, a, b, n, x, y):
 
 def _set_rows(batches):
     for b in batches:
-        for a, e, buf, off in text_steps(b.column(1), STEP):
+        for _, _, buf, off in text_steps(b.column(0), STEP):
             h, soff = shingle_sets(buf, off)
             one, _ = set_digests(h, soff)
             blobs = pa.array([h[s:t].tobytes() for s, t in zip(soff[:-1].tolist(), soff[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array(one), blobs], ["doc_id", "id", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(one), blobs], ["id", "hashes"])
 
 
 def _verify(batches):
@@ -231,33 +234,51 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right
 
 def _family_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links between the two blocks of one pair (or within its one block)."""
-    pdf = pdf.sort_values("doc_id")
+    pdf = pdf.sort_values("id")
     sets = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
     mine, first, second = pdf["block"].to_numpy(), pdf["first"].iloc[0], pdf["second"].iloc[0]
-    a, b = block_links(pdf["doc_id"].to_numpy(), sets, np.flatnonzero(mine == first), np.flatnonzero(mine == second))
+    a, b = block_links(pdf["id"].to_numpy(), sets, np.flatnonzero(mine == first), np.flatnonzero(mine == second))
     return pd.DataFrame({"a": a, "b": b})
 
 
+def _star(poor: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """poor with `star`: whether a set is linked to its family's hub, the set of about median size; and these links."""
+    middle = poor.groupBy("family").agg(F.percentile_approx("n", 0.5).alias("middle"))
+    hub = durable(poor.select("family", "id", "n").join(middle, "family").groupBy("family").agg(F.min(F.struct(F.abs(F.col("n") - F.col("middle")).alias("off"), "id"))["id"].alias("hub")))
+    hubs = durable(poor.join(hub.select(F.col("hub").alias("id")), "id", "left_semi").select("family", F.col("id").alias("b"), F.col("hashes").alias("hub_set"), F.col("n").alias("hub_n")))
+    small = (hubs.agg(F.sum(F.length("hub_set"))).first()[0] or 0) <= MAX_HUB_BYTES
+    near = poor.join(F.broadcast(hubs) if small else hubs, "family").filter((F.col("n") * 4 >= F.col("hub_n") * 3) & (F.col("hub_n") * 4 >= F.col("n") * 3))
+    links = durable(near.select(F.col("id").alias("a"), F.col("hashes").alias("a_set"), "b", "hub_set").mapInArrow(_verify, "a long, b long"))
+    return poor.join(links.select(F.col("a").alias("id"), F.lit(True).alias("star")), "id", "left").withColumn("star", F.coalesce("star", F.lit(False))), links
+
+
 def _family_links(poor: DataFrame) -> DataFrame:
-    """a, b: links among the sets (doc_id, hashes, n, family) of each family, in blocks of about BLOCK_ELEMENTS."""
-    stratum = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.15))).cast("int")
-    poor = poor.withColumn("stratum", stratum)
+    """a, b: links among the sets (id, hashes, n, family) of each family that join up its components.
+
+    Every set is compared with its family's hub first. Sets linked to the hub are of one component, so they need not be
+    compared with each other; all other pairs are, in blocks of about BLOCK_ELEMENTS.
+    """
+    poor, stars = _star(poor)
+    stratum = F.struct("star", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.15))).cast("int").alias("size"))
+    poor = durable(poor.withColumn("stratum", stratum))
     sizes = poor.groupBy("family", "stratum").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"), F.min("n").alias("least"), F.max("n").alias("most"))
-    placed = poor.join(sizes.select("family", "stratum", "blocks"), ["family", "stratum"]).withColumn("block", F.struct("stratum", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("k")))
+    placed = poor.join(sizes.select("family", "stratum", "blocks"), ["family", "stratum"]).withColumn("block", F.struct("stratum", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("k")))
     x, y = sizes.alias("x"), sizes.alias("y")
-    near = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.stratum") <= F.col("y.stratum")) & (F.col("x.stratum") + 4 > F.col("y.stratum")) & (F.col("x.most") * 4 >= F.col("y.least") * 3))
+    open_ = ~(F.col("x.stratum.star") & F.col("y.stratum.star"))
+    alike = (F.col("x.most") * 4 >= F.col("y.least") * 3) & (F.col("y.most") * 4 >= F.col("x.least") * 3)
+    near = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.stratum") <= F.col("y.stratum")) & open_ & alike)
     blocks = lambda side, name: F.transform(F.sequence(F.lit(0), F.col(f"{side}.blocks") - 1), lambda k: F.struct(F.col(f"{side}.stratum").alias("stratum"), k.alias("k")))
     pairs = near.select(F.col("x.family").alias("family"), F.explode(blocks("x", "first")).alias("first"), blocks("y", "second").alias("others")).select("family", "first", F.explode("others").alias("second"))
     pairs = pairs.filter((F.col("first.stratum") < F.col("second.stratum")) | (F.col("first.k") <= F.col("second.k")))
     ends = pairs.withColumn("block", F.explode(F.array_distinct(F.array("first", "second"))))
-    dealt = placed.join(ends, ["family", "block"]).select(F.to_json("block").alias("block"), F.to_json("first").alias("first"), F.to_json("second").alias("second"), "family", "doc_id", "hashes")
-    return dealt.groupBy("family", "first", "second").applyInPandas(_family_block, "a long, b long")
+    dealt = placed.join(ends, ["family", "block"]).select(F.to_json("block").alias("block"), F.to_json("first").alias("first"), F.to_json("second").alias("second"), "family", "id", "hashes")
+    return stars.union(dealt.groupBy("family", "first", "second").applyInPandas(_family_block, "a long, b long"))
 
 
-def _short_links(docs: DataFrame, short: DataFrame) -> list[DataFrame]:
+def _short_links(texts: DataFrame, short: DataFrame) -> list[DataFrame]:
     """Links of sets that the pigeonhole cannot serve (a few in a billion) with all sets, a bounded block at a time."""
     out = []
-    rows = short.orderBy("doc_id").toLocalIterator()
+    rows = short.orderBy("id").toLocalIterator()
     block: list = []
     size = 0
 
@@ -269,8 +290,9 @@ def _short_links(docs: DataFrame, short: DataFrame) -> list[DataFrame]:
                     index.setdefault(h, []).append(k)
             known = np.array(sorted(index), np.uint64)
             for b in batches:
-                for a, e, buf, off in text_steps(b.column(1), STEP):
+                for _, _, buf, off in text_steps(b.column(0), STEP):
                     h, soff = shingle_sets(buf, off)
+                    one, _ = set_digests(h, soff)
                     hit = np.flatnonzero(np.isin(h, known))
                     row = np.searchsorted(soff, hit, "right") - 1
                     inter: dict[tuple[int, int], int] = {}
@@ -278,9 +300,9 @@ def _short_links(docs: DataFrame, short: DataFrame) -> list[DataFrame]:
                         for k in index[x]:
                             inter[r, k] = inter.get((r, k), 0) + 1
                     ok = [(r, k) for (r, k), i in inter.items() if linked(np.int64(i), soff[r + 1] - soff[r], len(block[k]["hashes"]) // 8)]
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a).take(pa.array([r for r, _ in ok], pa.int64())), pa.array([block[k]["doc_id"] for _, k in ok], pa.int64())], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(one[[r for r, _ in ok]] if ok else [], pa.int64()), pa.array([block[k]["id"] for _, k in ok], pa.int64())], ["a", "b"])
 
-        return docs.mapInArrow(run, "a long, b long")
+        return texts.mapInArrow(run, "a long, b long")
 
     for r in rows:
         block.append(r)
@@ -297,8 +319,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id of every row: the smallest id reachable over links of similarity 3/4 or more.
 
     Null and empty texts, and texts of separators only, have no shingles and are alone. A text of one to four words is
-    one shingle. Rows that repeat an id or a text are one node of the graph; a row with a null id has the component of
-    its text's other rows (null if there are none). Only id and text are read, so other columns cannot clash.
+    one shingle. Equal sets are one node of the graph, and rows that repeat an id with different texts are different
+    nodes. A row with a null id links like any other; it has its component's smallest id (null if all ids there are).
+    Only id and text are read, so other columns cannot clash.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keys = durable(texts.mapInArrow(_keys, "doc_id long, n long, d1 long, d2 long"))
@@ -323,36 +346,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = members.join(members.groupBy("sig").agg(F.min("id").alias("hub")), "sig").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     families = durable(components(stars))
 
-    # whole sets, of one row for each class that is in question
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(families.select("node")).union(found.filter(F.col("kind") == _SHORT).select("a")).distinct()
+    # whole sets, of one row for each class that is in question; rows without an id are looked at as well
+    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(families.select("node")).union(found.filter(F.col("kind") == _SHORT).select("a")).distinct())
     reps = durable(classes.filter("rep IS NOT NULL").join(wanted, classes["d1"] == wanted["id"], "left_semi").select("rep"))
     few = reps.count() <= MAX_BROADCAST_IDS
-    some = texts.join(F.broadcast(reps) if few else reps, texts["doc_id"] == reps["rep"], "left_semi")
-    sets = durable(some.mapInArrow(_set_rows, "doc_id long, id long, hashes binary").dropDuplicates(["doc_id", "id"]))
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("doc_id").alias(f"{s}_doc"), F.col("hashes").alias(f"{s}_set"))
-    checked = pairs.join(side("a"), "a").join(side("b"), "b").select("a_doc", "a_set", "b_doc", "b_set").mapInArrow(_verify, "a long, b long")
+    some = texts.join(F.broadcast(reps) if few else reps, texts["doc_id"] == reps["rep"], "left_semi").select("text")
+    if not classes.filter("rep IS NULL").isEmpty():
+        some = some.union(texts.filter("doc_id IS NULL").select("text"))
+    sets = durable(some.mapInArrow(_set_rows, "id long, hashes binary").join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("hashes").alias(f"{s}_set"))
+    checked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "a_set", "b", "b_set").mapInArrow(_verify, "a long, b long")
     relatives = sets.join(families.select(F.col("node").alias("id"), F.col("label").alias("family")), "id").withColumn("n", (F.length("hashes") / 8).cast("long"))
-    links = checked.union(_family_links(relatives))
+    links = checked.union(_family_links(durable(relatives)))
     short = durable(found.filter(F.col("kind") == _SHORT).select(F.col("a").alias("id")).distinct())
-    if not short.isEmpty():
-        # their rows are among the wanted; links to any row of the corpus come from a scan
-        for more in _short_links(texts, durable(sets.join(short, "id", "left_semi"))):
+    if not short.isEmpty():  # links of these to any row of the corpus come from a scan
+        for more in _short_links(texts.select("text"), durable(sets.join(short, "id", "left_semi"))):
             links = links.union(more)
-    # links name rows; a class is named by its smallest row
-    named = links.filter("a IS NOT NULL AND b IS NOT NULL")
-    if not short.isEmpty():
-        key = keys.join(classes, ["n", "d1", "d2"]).select("doc_id", "rep").dropDuplicates(["doc_id"])
-        for s in ("a", "b"):
-            named = named.join(key.select(F.col("doc_id").alias(s), F.col("rep").alias(f"rep_{s}")), s).drop(s).withColumnRenamed(f"rep_{s}", s)
-    label = components(named.select("a", "b"))
-    joined = classes.join(label, classes["rep"] == label["node"], "left").select("n", "d1", "d2", F.coalesce("label", "rep").alias("component"))
-    out = keys.join(joined, ["n", "d1", "d2"], "left")
+    # the graph's nodes are the classes, whether or not any row of theirs has an id
+    label = durable(components(links))
+    named = classes.join(label, classes["d1"] == label["node"], "left").select("n", "d1", "d2", "rep", F.coalesce("label", "d1").alias("label"))
+    lowest = named.groupBy("label").agg(F.min("rep").alias("component"))
+    out = keys.join(named.join(lowest, "label").select("n", "d1", "d2", "component"), ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one row of each component: that of the smallest id."""
+    """docs, all columns, with one row of each component: that of the smallest id.
+
+    Rows that repeat an id go together, if none of them is to stay; a row without an id stays.
+    """
     from .exact_dedup import drop_ids
 
     found = durable(near_duplicates(docs, id_col, text_col))
-    return drop_ids(docs, found.filter("doc_id <> component_id").select("doc_id").distinct(), id_col)
+    go = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("doc_id") != F.coalesce("component_id", "doc_id")).alias("go"))
+    return drop_ids(docs, go.filter("go").select("doc_id"), id_col)

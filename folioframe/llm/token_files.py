@@ -17,11 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Shared
-from .common import durable, parallel_parts, text_steps
+from .common import STEP_BYTES, parallel_parts, shared_folder, text_steps
 from .range_coder import decode_ids, encode_ids
 
 HEAD = b"TOKFILE1"
 END_ID = 2
+#: Text of an even id range; a file holds at most twice that and one document.
+FILE_BYTES = 16 << 20
+#: Files whose starts (a name and a number each) are broadcast; beyond it they are joined.
+MAX_BROADCAST_FILES = 100_000
 
 
 def file_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, missing: np.ndarray | None = None) -> bytes:
@@ -46,55 +50,57 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return np.cumsum(ids), lengths, decode_ids(data[at + size + 4 :]), missing
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder, for this run's files, in the shared checkpoint folder."""
-    durable(spark.range(0))  # names a folder where none is set
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+def write_token_files(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_bytes_: int = FILE_BYTES) -> DataFrame:
+    """Writes part-<range>-<number>.tok files into folder and returns file, documents, ids for each (in document order).
 
-
-def write_token_files(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """Writes part-<number>.tok files into folder and returns file, documents, ids for each (in document order).
-
-    folder is a URI that every executor can write. Documents with equal ids keep together, ordered by their text's
-    hash; null ids come first. An empty table gives no files.
+    folder is a URI that every executor can write. There are as many id ranges as keep an even share of the text below
+    FILE_BYTES, and a range that holds more (a much repeated id, null ids) goes on in another file, so no task ever
+    holds more than a file's ids and one document. Documents with equal ids are ordered by their text's hash; null ids
+    come first. An empty table gives no files.
     """
     codec = Shared(docs.sparkSession, vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(parallel_parts(docs), "doc_id").withColumn("tie", F.xxhash64("text")).sortWithinPartitions("doc_id", "tie").select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    ranges = max(parallel_parts(docs), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes_))
+    dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def run(batches):
-        c, docs_, lengths, ids, missing, part = codec(), [], [], [], [], 0
+        from pyarrow import fs
+
+        c = codec()
+        system, path = fs.FileSystem.from_uri(folder)
+        held, size, number = [], 0, 0
+
+        def flush(part: int):
+            data = file_bytes(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            system.create_dir(path, recursive=True)
+            name = f"part-{part:08d}-{number:06d}.tok"
+            own = f"{path}/.{name}.{uuid.uuid4().hex}"
+            with system.open_output_stream(own) as out:
+                out.write(data)
+            system.move(own, f"{path}/{name}")
+            return pa.RecordBatch.from_pydict({"file": [name], "documents": [sum(len(x[0]) for x in held)], "ids": [sum(len(x[2]) for x in held)]})
+
+        part = 0
         for b in batches:
             part = b.column(0)[0].as_py() if len(b) else part
-            for a, e, buf, off in text_steps(b.column(2)):
+            for a, e, buf, off in text_steps(b.column(2), min(STEP_BYTES, file_bytes_)):
                 got = c.encode(buf, off)
-                # the end id behind every document
-                ends = got.off[1:]
-                ids.append(np.insert(got.ids, ends, end_id).astype(np.uint32))
-                lengths.append(np.diff(got.off) + 1)
                 col = b.column(1).slice(a, e - a)
-                docs_.append(col.fill_null(0).to_numpy())
-                missing.append(col.is_null().to_numpy(zero_copy_only=False))
-        if not docs_:
-            return
-        from pyarrow import fs
-
-        data = file_bytes(np.concatenate(docs_), np.concatenate(lengths), np.concatenate(ids), np.concatenate(missing))
-        system, path = fs.FileSystem.from_uri(folder)
-        system.create_dir(path, recursive=True)
-        name = f"part-{part:06d}.tok"
-        own = f"{path}/.{name}.{uuid.uuid4().hex}"
-        with system.open_output_stream(own) as out:
-            out.write(data)
-        system.move(own, f"{path}/{name}")
-        yield pa.RecordBatch.from_pydict({"file": [name], "documents": [sum(map(len, docs_))], "ids": [sum(map(len, ids))]})
+                # the end id behind every document
+                held.append((col.fill_null(0).to_numpy(), np.diff(got.off) + 1, np.insert(got.ids, got.off[1:], end_id).astype(np.uint32), col.is_null().to_numpy(zero_copy_only=False)))
+                size += len(buf)
+                if size >= 2 * file_bytes_:
+                    yield flush(part)
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield flush(part)
 
     return dealt.mapInArrow(run, "file string, documents long, ids long")
 
 
 def read_token_files(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
     """file, place, doc_id and start in the file of every document, with its ids, or their number and CRC-32 alone."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.tok").load(folder).select(F.regexp_extract("path", r"part-(\d+)\.tok$", 1).cast("int").alias("file"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.tok").load(folder).select(F.regexp_extract("path", r"(part-\d+-\d+\.tok)$", 1).alias("file"), "content")
 
     def run(batches):
         for b in batches:
@@ -103,7 +109,7 @@ def read_token_files(spark: SparkSession, folder: str, digest: bool = False) ->
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 for a in range(0, len(doc_ids), 2000):
                     z = min(a + 2000, len(doc_ids))
-                    cols = [pa.array(np.full(z - a, file, np.int32)), pa.array(np.arange(a, z)), pa.array(doc_ids[a:z], mask=missing[a:z]), pa.array(ends[a:z])]
+                    cols = [pa.array([file] * (z - a), pa.string()), pa.array(np.arange(a, z)), pa.array(doc_ids[a:z], mask=missing[a:z]), pa.array(ends[a:z])]
                     if digest:
                         crc = [zlib.crc32(ids[s:t].astype("<u4").tobytes()) for s, t in zip(ends[a:z].tolist(), ends[a + 1 : z + 1].tolist(), strict=True)]
                         cols += [pa.array(lengths[a:z]), pa.array(crc, pa.int64())]
@@ -114,7 +120,7 @@ def read_token_files(spark: SparkSession, folder: str, digest: bool = False) ->
                     yield pa.RecordBatch.from_arrays(cols, names)
 
     more = "n_tokens long, ids_crc32 long" if digest else "ids array<int>"
-    return files.mapInArrow(run, f"file int, place long, doc_id long, start long, {more}")
+    return files.mapInArrow(run, f"file string, place long, doc_id long, start long, {more}")
 
 
 def token_file_report(docs: DataFrame, vocabulary: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,10 +130,10 @@ def token_file_report(docs: DataFrame, vocabulary: str, folder: str | None = Non
     made = write_token_files(docs, vocabulary, folder, id_col, text_col).collect()  # a row per file
     if not made:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    before, at = {}, 0
+    before, at = [], 0
     for r in sorted(made, key=lambda r: r["file"]):
-        before[int(r["file"][5:-4])] = at
+        before.append((r["file"], at))
         at += r["ids"]
-    offsets = F.from_json(F.lit("{" + ",".join(f'"{k}":{v}' for k, v in before.items()) + "}"), "map<string,long>")
-    rows = read_token_files(spark, folder, digest=True)
-    return rows.select("doc_id", (F.col("start") + F.element_at(offsets, F.col("file").cast("string"))).alias("start"), "n_tokens", "ids_crc32")
+    starts = spark.createDataFrame(before, "file string, before long")
+    rows = read_token_files(spark, folder, digest=True).join(F.broadcast(starts) if len(before) <= MAX_BROADCAST_FILES else starts, "file")
+    return rows.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
