@@ -167,8 +167,8 @@ class _Model:
 
 
 def block_length(n: int) -> int:
-    want = -(-n // MAX_LANES)
-    return min(MAX_BLOCK, max(MIN_BLOCK, 1 << (max(1, want) - 1).bit_length()))
+    """Of a stream that needs no more than MAX_LANES blocks, about as long as fills all lanes; a step costs the same."""
+    return min(MAX_BLOCK, max(MIN_BLOCK, -(-n // (64 * MAX_LANES)) * 64))
 
 
 def encode_ids(ids: np.ndarray, max_ids: int = MAX_IDS) -> bytes:
@@ -177,11 +177,11 @@ def encode_ids(ids: np.ndarray, max_ids: int = MAX_IDS) -> bytes:
     Of more different ids than one table of odds can hold, each half becomes a stream of its own.
     """
     ids = np.asarray(ids, np.uint32)
-    if len(ids) and len(np.unique(ids)) > max_ids:
-        halves = [encode_ids(x, max_ids) for x in np.array_split(ids, 2)]
-        return PAIR + struct.pack("<Q", len(halves[0])) + b"".join(halves)
     count = np.bincount(ids)
     names = np.flatnonzero(count)
+    if len(names) > max_ids:
+        halves = [encode_ids(x, max_ids) for x in np.array_split(ids, 2)]
+        return PAIR + struct.pack("<Q", len(halves[0])) + b"".join(halves)
     order = np.lexsort((names, -count[names]))
     place = np.zeros(len(count), np.int64)
     place[names[order]] = np.arange(len(names))

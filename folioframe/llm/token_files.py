@@ -23,7 +23,7 @@ from .range_coder import decode_ids, encode_ids
 HEAD = b"TOKFILE1"
 END_ID = 2
 #: Text of an even id range; a file holds at most twice that and one document.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 32 << 20
 #: Files whose starts (a name and a number each) are broadcast; beyond it they are joined.
 MAX_BROADCAST_FILES = 100_000
 
