@@ -20,9 +20,9 @@ MAX_IDS = (1 << 17) - 1
 #: The coder's state has 48 bits and moves by words of 16.
 TOP, BOT, MASK, WORD = np.uint64(1 << 32), np.uint64(1 << 30), np.uint64((1 << 48) - 1), np.uint64(16)
 #: Bits of the odds between orders, and bits that choose a context's cell.
-ODDS, HASH_BITS = 12, 10
+ODDS, HASH_BITS = 12, 8
 #: Ids per block, between these; larger inputs have larger blocks, at most MAX_LANES of which are coded at once.
-MIN_BLOCK, MAX_BLOCK, MAX_LANES = 512, 16384, 2048
+MIN_BLOCK, MAX_BLOCK, MAX_LANES = 512, 16384, 4096
 
 
 class _Coder:
