@@ -90,3 +90,8 @@ def approximate_date(text: Column, year_month: int = 1) -> Column:
         .when(t.rlike(slash) & number.between(1, 12), F.make_date(F.regexp_extract(t, slash, 2).try_cast("int"), number, F.lit(1)))
         .when(t.rlike(r"^\d{4}$"), F.make_date(t.try_cast("int"), F.lit(year_month), F.lit(1)))
     )
+
+
+def duration_years(start: Column, end: Column) -> Column:
+    """Days between two dates over 365.25, never below 0; null if either is."""
+    return F.when(start.isNotNull() & end.isNotNull(), F.greatest(F.datediff(end, start) / F.lit(365.25).cast("double"), F.lit(0.0)))

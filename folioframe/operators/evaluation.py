@@ -60,3 +60,13 @@ def failure_buckets(scores: DataFrame, bounds: dict[str, float]) -> DataFrame:
     """bucket, failures, mean: rows whose score is under its bound, by score column."""
     parts = F.array(*[F.struct(F.lit(c).alias("bucket"), F.col(c).cast("double").alias("s"), (F.col(c) < b).alias("bad")) for c, b in bounds.items()])
     return scores.select(F.explode(parts).alias("x")).groupBy("x.bucket").agg(F.count_if("x.bad").alias("failures"), F.round(F.avg("x.s"), 6).alias("mean"))
+
+
+#: The least score a section may have, by section.
+LEAST = {"contact": 1.0, "experience": 0.9, "education": 0.9, "projects": 0.85, "skills": 0.85}
+
+
+def with_metadata(results: DataFrame, metadata: DataFrame, key: str = "stem") -> DataFrame:
+    """Results (doc_id, key, section, score) with their sample's archetype (null if there is none) and whether they failed."""
+    least = F.create_map(*[F.lit(x) for kv in LEAST.items() for x in kv])
+    return results.join(metadata, key, "left").select("doc_id", key, "section", "archetype", (F.col("score") < least[F.col("section")]).alias("failed"))

@@ -10,21 +10,39 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 CORE_SECTIONS = ("header", "summary", "skills", "experience", "education", "projects")
-#: Headings by section; a later entry of the same heading replaces an earlier one.
-HEADINGS = {
-    "header": ("general information", "personal information", "personal details", "contact", "contact information", "contact details"),
-    "summary": ("summary", "professional summary", "profile", "about me", "about", "objective", "career objective", "executive summary"),
-    "skills": ("skills", "technical skills", "core skills", "key skills", "technologies", "tech stack", "tools and technologies", "competencies"),
-    "experience": ("experience", "work experience", "professional experience", "employment", "employment history", "work history", "internships", "internship experience"),
-    "education": ("education", "academic background", "academics", "educational qualifications", "qualifications", "certifications"),
-    "projects": ("projects", "academic projects", "personal projects", "key projects"),
-    "certifications": ("certifications", "certificates", "licenses and certifications", "courses"),
-    "awards": ("awards", "achievements", "honors", "honors and awards", "accomplishments"),
-    "languages": ("languages", "languages known"),
-    "interests": ("interests", "hobbies", "activities", "hobbies and interests"),
-    "activities": ("activities", "extracurricular activities", "volunteering"),
-    "publications": ("publications", "research", "papers"),
-}
+#: Headings by rule: per section, words that may go before, words of which one must stand, and headings of their own.
+#: Two heads may be joined by "and" ("skills and tools"), which a "&" reads as.
+_RULES = {
+    "header": ("personal contact general", "information details", "contact"),
+    "summary": ("professional executive career personal resume self cover", "summary profile overview objective background introduction bio highlights goal", "about, about me, about myself, bio, biography, intro, goals, highlights, key highlights, personal statement, statement of purpose, who am i, value proposition, summary, profile, overview, objective, background, introduction"),
+    "skills": ("technical core key professional relevant additional tech software computer digital data coding programming engineering it development soft hard domain devops industry my", "skills competencies expertise proficiency proficiencies knowledge abilities capabilities strengths tools technologies frameworks languages platforms", "skill set, skillset, skill summary, skills summary, skill highlights, skill matrix, technical skill matrix, areas of expertise, area of expertise, areas of knowledge, areas of technical expertise, technology, tech stack, software, technical background, specializations, specialisation, technical specialization, technologies used, technologies known, libraries and frameworks, frameworks and libraries, cloud and devops, what i know, what i do, data science skills, languages frameworks and tools, languages tools and technologies"),
+    "experience": ("work professional relevant industry technical internship research teaching job career applied engineering software it development organizational practical employment", "experience history profile background", "experience, employment, internship, internships, positions, positions held, work, professional work, relevant work experience, professional work experience, industry work experience, experience and employment, work and internship, work and internship experience, training and experience, professional work profile"),
+    "education": ("educational academic scholastic formal", "background qualifications history credentials profile details record education experience achievements", "education, qualifications, degrees, degree, schooling, training, training and education, education and training, studies, study, academics, university, universities, college, colleges, schools, school, academic qualifications and achievements"),
+    "projects": ("personal academic notable side open source key technical relevant engineering research selected featured capstone major mini application live significant software", "projects", "projects, project work, project experience, project portfolio, portfolio, project highlights, project details, projects and portfolio"),
+    "certifications": ("professional technical industry digital", "certifications certificates accreditations licenses credentials", "certifications, certification, certified, certificates, certificate, licenses, license, licences, credentials, accreditations, accreditation, badges, online courses, mooc, moocs, courses and certifications, certifications and licenses, licenses and certifications, continuing education, professional development courses"),
+    "awards": ("academic professional industry notable key competitive merit", "awards achievements honors", "awards, honors, honours, achievements, achievement, competitions, accomplishments, accomplishment, recognition, recognitions, prizes, distinctions, merits, accolades, scholarships, scholarship, fellowships, fellowship, grants, grant, honor roll, dean s list, honors and awards, awards and honors, awards and achievements, achievements and awards, competitions and achievements, recognitions and achievements"),
+    "interests": ("personal outside other leisure recreational", "interests hobbies activities", "interests, hobbies, hobby, activities, extracurricular, extracurricular activities, extra curricular activities, co curricular, cocurricular, co curricular activities, leisure, passions, outside of work, fun facts, hobbies and interests, interests and hobbies, extracurricular and hobbies, sports and hobbies"),
+    "languages": ("language spoken foreign human natural communication linguistic", "languages skills proficiency knowledge", "languages, languages known, multilingual"),
+    "publications": ("research journal conference scientific academic", "publications papers articles", "publications, papers, articles, books, authored works, research work, research, papers published, published works, peer reviewed papers"),
+    "volunteer": ("volunteer community social civic", "work service experience activities involvement engagement", "volunteer, volunteering, non profit, nonprofit, outreach, service"),
+    "references": ("professional character", "references", "references, reference, referees, referee, available upon request, references available"),
+    "courses": ("relevant training academic key selected notable completed", "courses coursework", "courses, coursework, online courses, course highlights"),
+    "activities": ("campus student club leadership organizational social professional academic", "activities organizations memberships associations", "activities, positions of responsibility, clubs and organizations, clubs, organization, organizations, memberships, membership, affiliations, affiliation, associations, association"),
+}
+
+
+def _headings() -> dict[str, tuple[str, ...]]:
+    """Headings by section; a later entry of the same heading replaces an earlier one."""
+    out = {}
+    for section, (before, heads, own) in _RULES.items():
+        heads = heads.split()
+        made = [f"{b} {h}" for b in before.split() for h in heads] + (heads if section == "skills" else [])
+        made += [f"{a} and {b}" for a in heads for b in heads if a != b and section in ("skills", "awards")]
+        out[section] = tuple(dict.fromkeys([*made, *(x.strip() for x in own.split(","))]))
+    return out
+
+
+HEADINGS = _headings()
 #: Words whose presence marks a block, by kind.
 KEYWORDS = {
     "tech": "python java sql spark docker kubernetes react node aws azure linux git html css javascript typescript kafka redis postgresql mongodb tensorflow".split(),

@@ -2,58 +2,198 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Canonical name, category, weight, aliases. Later entries replace earlier ones of the same key.
-SKILLS = (
-    ("Python", "Languages", 1.0, ("python", "python3", "python 3", "py")),
-    ("Java", "Languages", 1.0, ("java", "core java")),
-    ("JavaScript", "Languages", 1.0, ("javascript", "js", "ecmascript")),
-    ("TypeScript", "Languages", 1.0, ("typescript", "ts")),
-    ("C++", "Languages", 0.9, ("c++", "cpp")),
-    ("C", "Languages", 0.8, ("c", "c language")),
-    ("Go", "Languages", 0.9, ("go", "golang")),
-    ("Rust", "Languages", 0.9, ("rust",)),
-    ("SQL", "Languages", 0.9, ("sql",)),
-    ("R", "Languages", 0.8, ("r",)),
-    ("React", "Frontend", 1.0, ("react", "reactjs", "react.js")),
-    ("Angular", "Frontend", 0.9, ("angular", "angularjs")),
-    ("Vue", "Frontend", 0.9, ("vue", "vuejs", "vue.js")),
-    ("HTML", "Frontend", 0.7, ("html", "html5")),
-    ("CSS", "Frontend", 0.7, ("css", "css3")),
-    ("Node.js", "Backend", 1.0, ("node", "nodejs", "node.js")),
-    ("Django", "Backend", 0.9, ("django",)),
-    ("Flask", "Backend", 0.8, ("flask",)),
-    ("Spring Boot", "Backend", 0.9, ("spring boot", "springboot", "spring")),
-    ("REST APIs", "Backend", 0.8, ("rest", "rest api", "rest apis", "restful apis")),
-    ("PostgreSQL", "Databases", 0.9, ("postgresql", "postgres")),
-    ("MySQL", "Databases", 0.8, ("mysql",)),
-    ("MongoDB", "Databases", 0.8, ("mongodb", "mongo")),
-    ("Redis", "Databases", 0.8, ("redis",)),
-    ("Apache Spark", "Data", 1.0, ("spark", "apache spark", "pyspark")),
-    ("Kafka", "Data", 0.9, ("kafka", "apache kafka")),
-    ("Airflow", "Data", 0.8, ("airflow", "apache airflow")),
-    ("Docker", "DevOps", 0.9, ("docker",)),
-    ("Kubernetes", "DevOps", 1.0, ("kubernetes", "k8s")),
-    ("AWS", "Cloud", 1.0, ("aws", "amazon web services")),
-    ("Azure", "Cloud", 0.9, ("azure", "microsoft azure")),
-    ("GCP", "Cloud", 0.9, ("gcp", "google cloud")),
-    ("Git", "Tools", 0.6, ("git",)),
-    ("Linux", "Tools", 0.7, ("linux", "unix")),
-    ("Machine Learning", "ML", 1.0, ("machine learning", "ml")),
-    ("Deep Learning", "ML", 1.0, ("deep learning", "dl")),
-    ("TensorFlow", "ML", 0.9, ("tensorflow",)),
-    ("PyTorch", "ML", 0.9, ("pytorch", "torch")),
-    ("scikit-learn", "ML", 0.9, ("scikitlearn", "sklearn", "scikit learn")),
-    ("WebSockets", "Backend", 0.7, ("websockets", "web sockets")),
-)
+#: Skills under their categories, with their weight and other names. A later line replaces an earlier one's names.
+_SKILLS = """Programming Languages
+Python|1.0|py, cpython
+Java|1.0|java ee, jvm, openjdk
+JavaScript|1.0|js, javascript es6, es6, es2015, ecmascript, vanilla js, vanilla javascript
+TypeScript|1.0|ts, typed javascript
+C++|1.0|c plus plus, cpp, c/c++, c c++, c and c++, modern c++, stl
+C|0.9|c language, ansi c
+C#|1.0|csharp, c sharp, c# .net, dotnet c#
+Go|1.0|golang, go language, go lang
+Rust|1.0|rust lang, rust language
+Ruby|0.9|ruby lang, mri ruby
+PHP|0.9|
+Swift|1.0|apple swift
+Kotlin|1.0|kotlin jvm, kotlin/jvm
+Scala|1.0|
+R|0.9|r language, r programming, r stats, rlang
+MATLAB|0.8|matlab/octave, octave
+Perl|0.7|
+Haskell|0.8|haskell lang
+Elixir|0.8|elixir lang
+Dart|0.9|dart lang
+Julia|0.8|
+Lua|0.7|
+Groovy|0.7|apache groovy
+Shell|0.8|bash, shell script, bash script, sh, zsh, shell scripting, bash scripting, unix shell, powershell
+SQL|1.0|sql queries, sql scripting, structured query language, tsql, pl/sql, plsql, pl sql, microsoft sql server, mssql, ms sql, sql server, ssms, azure sql, oracle db
+HTML|0.8|hypertext markup
+CSS|0.8|cascading style sheets
+Assembly|0.7|asm, x86 assembly, arm assembly
+Frontend
+React|1.0|reactjs, react.js, react js, react hooks, react dom
+Angular|1.0|angularjs, angular.js, angular 2+, angular cli
+Vue.js|1.0|vue, vuejs, vuex, pinia
+Next.js|1.0|nextjs, next js
+Nuxt.js|0.9|nuxt, nuxtjs
+Svelte|0.9|sveltejs, svelte.js, sveltekit
+Tailwind CSS|0.9|tailwind, tailwindcss, tailwind.css
+Bootstrap|0.8|twitter bootstrap
+Sass/SCSS|0.7|sass, scss, less
+Redux|0.9|redux toolkit, react redux, redux saga, redux thunk
+Webpack|0.7|
+Vite|0.8|vitejs, vite.js
+Three.js|0.8|threejs, webgl
+D3.js|0.8|d3, d3js, datadriven documents
+Backend
+Node.js|1.0|nodejs, node js, node, node.js server, express, expressjs, express.js, node+express, koa, koajs, fastify
+Django|1.0|django rest, django rest framework, drf
+Flask|1.0|flask api, flask rest, flask python
+FastAPI|1.0|fast api, fastapi python, fastapi rest
+Spring Boot|1.0|spring, spring mvc, spring framework, spring security, spring cloud, spring data
+ASP.NET|1.0|asp.net core, asp.net mvc, .net core, dotnet core, .net 6, .net 7, .net 8, blazor
+Laravel|0.9|laravel php
+Ruby on Rails|0.9|rails, ror, ruby rails
+NestJS|0.9|nest.js, nest js
+gRPC|0.9|protocol buffers, protobuf
+GraphQL|0.9|graph ql, graphql api, graphql server, apollo graphql, apollo server, hasura
+REST API|0.9|rest, restful, restful api, rest apis, restful web services, rest services, http api
+WebSocket|0.8|websockets, socket.io, socketio, ws
+Databases
+MySQL|1.0|mariadb, mysql workbench
+PostgreSQL|1.0|postgres, pg, psql, postgresdb
+MongoDB|1.0|mongo, mongodb atlas, mongoose
+Redis|1.0|redis cache, redis cluster, redis sentinel, redis pub/sub
+SQLite|0.7|
+Cassandra|0.9|apache cassandra, cassandra db
+DynamoDB|0.9|aws dynamodb, amazon dynamodb
+Elasticsearch|1.0|elastic search, elk stack, elastic stack, opensearch
+Firestore|0.8|cloud firestore, firebase firestore
+Neo4j|0.8|graph database, neo4j graph
+InfluxDB|0.7|
+Snowflake|0.9|snowflake db, snowflake data warehouse
+BigQuery|0.9|google bigquery, gcp bigquery
+Cloud & DevOps
+AWS|1.0|amazon web services, amazon aws, aws cloud, aws ec2, aws s3, aws lambda, aws ecs, aws eks, aws rds, aws cloudfront, aws sqs, aws sns, aws iam
+GCP|1.0|google cloud, google cloud platform, gcp cloud, google kubernetes engine, gke, cloud run, cloud functions
+Azure|1.0|microsoft azure, azure cloud, azure devops, azure kubernetes service, aks, azure functions
+Docker|1.0|docker container, docker compose, dockerfile, docker swarm, docker hub, containerd
+Kubernetes|1.0|k8s, k8, kube, kubectl, helm, kubernetes cluster, openshift, rancher, argo, argocd
+Terraform|1.0|terraform iac, hashicorp terraform, tf, terragrunt
+Ansible|0.9|ansible playbook, ansible roles
+Jenkins|0.9|jenkins ci, jenkins pipeline, jenkinsfile
+GitHub Actions|0.9|github action, gh actions, github workflow
+GitLab CI/CD|0.9|gitlab ci, gitlab pipeline, gitlab runner
+Prometheus|0.8|prometheus monitoring, promql
+Grafana|0.8|grafana dashboard, grafana monitoring
+Nginx|0.8|nginx server, nginx proxy, nginx load balancer
+Kafka|1.0|apache kafka, kafka streams, kafka connect, confluent kafka, event streaming
+RabbitMQ|0.8|rabbit mq, rabbitmq broker, amqp
+ML / AI
+TensorFlow|1.0|tf2, tf 2, tensorflow keras, tensorflow.js, tf lite
+PyTorch|1.0|pytorch lightning, torch, torchvision, torchaudio
+scikit-learn|1.0|sklearn, scikit learn, scikit_learn
+Keras|0.9|keras api, keras model
+Hugging Face|1.0|huggingface, transformers library, hf transformers, hugging face transformers, transformers
+LangChain|1.0|langchain python, langchain js
+Large Language Models|1.0|llm, llms, large language model
+Generative AI|1.0|genai, gen ai, generative artificial intelligence
+RAG (Retrieval-Augmented Generation)|1.0|rag, retrieval augmented generation, retrievalaugmented generation
+MCP|0.8|model context protocol
+OpenAI API|1.0|openai, gpt api, chatgpt api, openai gpt
+NLP|1.0|nlp python
+Computer Vision|1.0|cv, image processing, object detection, image classification, image recognition
+OpenCV|0.9|cv2, opencv python, opencv4
+NumPy|1.0|numpy arrays, np
+Pandas|1.0|pandas dataframe, pandas python, pd
+Matplotlib|0.8|matplotlib pyplot, pyplot, plt
+Seaborn|0.7|
+Plotly|0.8|plotly dash, plotly express
+Streamlit|0.9|streamlit app, streamlit python
+Jupyter|0.7|jupyter notebook, jupyter lab, ipython, colab
+Data Engineering
+Apache Spark|1.0|spark, pyspark, spark sql, spark streaming, databricks spark
+Hadoop|0.9|apache hadoop, hdfs, mapreduce, hive, pig, apache hive
+Airflow|1.0|apache airflow, airflow dag, airflow pipeline
+dbt|0.9|data build tool, dbt core, dbt cloud
+Flink|0.9|apache flink, flink streaming
+Power BI|0.9|powerbi, power bi desktop, microsoft power bi
+Tableau|0.9|tableau desktop, tableau server, tableau public
+Looker|0.8|looker studio, google looker
+Mobile
+React Native|1.0|reactnative, react native ios, react native android, expo, expo react native
+Flutter|1.0|flutter dart, flutter ios, flutter android
+Android|1.0|android sdk, android development, android studio, android native, jetpack compose
+iOS|1.0|ios development, ios sdk, xcode, swiftui, uikit
+Testing
+Jest|0.8|jest js, jest testing, jest unit tests
+Pytest|0.8|pytest python, py.test
+Selenium|0.8|selenium webdriver, selenium python, selenium java
+Cypress|0.8|cypress.io, cypress e2e
+JUnit|0.8|
+Tools & Platforms
+Git|1.0|git version control, git flow, gitflow, git cli
+GitHub|0.9|github.com, github pages, github enterprise
+Jira|0.7|atlassian jira, jira software
+Linux|1.0|ubuntu, centos, debian, fedora, rhel, linux server, unix, unix/linux
+Postman|0.7|postman api, postman testing
+VS Code|0.5|vscode, visual studio code
+Notion|0.4|
+Figma|0.8|figma design, figma ui
+Firebase|0.9|firebase realtime, firebase auth, google firebase
+Supabase|0.8|
+Stripe|0.7|stripe payments, stripe api
+Agile|0.7|agile methodology, agile scrum, scrum, kanban, lean agile, safe agile
+Microservices|0.9|micro services, microservice architecture, service oriented architecture, soa
+ML / AI
+Machine Learning|1.0|ml, machinelearning, machine learning ml, statistical learning, supervised learning, unsupervised learning
+Deep Learning|1.0|dl, deeplearning, deep learning dl, neural networks, ann, dnn
+Artificial Intelligence|1.0|ai, artificialintelligence, artificial intelligence ai, intelligent systems
+Data Science|1.0|datascience, data analytics, ds, data scientist
+Natural Language Processing|1.0|nlp, text mining, text analytics, text processing, natural language understanding, nlu
+"""
+#: Versions that are names of their own, with and without a space.
+VERSIONS = {
+    "python": "2 3", "java": "8 11 17", "typescript": "4", "ruby": "3", "php": "5 7 8", "swift": "5", "scala": "2 3", "perl": "5", "html": "5", "css": "3", "react": "16 17 18", "angular": "2 14 15 16 17",
+    "vue": "2 3", "next": "13 14", "bootstrap": "4 5", "webpack": "4 5", "django": "4", "spring boot": "3", "laravel": "10", "rails": "7", "mysql": "8", "postgresql": "15", "mongodb": "6", "sqlite": "3",
+    "elasticsearch": "8", "tensorflow": "2", "pytorch": "2", "apache spark": "3", "junit": "4 5",
+}
+
+
+def _key(text: str) -> str:
+    """The same form as skill_key, of a name."""
+    return " ".join(re.sub(r"[^\w\s+#./]", "", text.lower()).split())
+
+
+def _catalogue() -> tuple[tuple[str, str, float, tuple[str, ...]], ...]:
+    """Canonical name, category, weight and keys: the name itself, its other names, and their versions."""
+    out, category = [], ""
+    for line in _SKILLS.strip().splitlines():
+        if "|" not in line:
+            category = line
+            continue
+        name, weight, others = line.split("|")
+        keys = [_key(x) for x in (name, *others.split(",")) if x.strip()]
+        keys += [k + gap + v for k in keys for v in VERSIONS.get(k, "").split() for gap in ("", " ")]
+        out.append((name, category, float(weight), tuple(dict.fromkeys(keys))))
+    return tuple(out)
+
+
+SKILLS = _catalogue()
 #: Category by what an unknown skill contains, in order of precedence.
 GUESSES = (
-    ("Backend", ("rest", "api", "server", "backend")), ("Frontend", ("react", "css", "html", "frontend", "ui")), ("Databases", ("sql", "database", "db")),
-    ("Cloud", ("aws", "azure", "cloud")), ("ML", ("learning", "ai", "model")), ("Data", ("data", "etl", "spark")), ("DevOps", ("docker", "ci/cd", "deploy")), ("Mobile", ("android", "ios", "mobile")),
+    ("Backend", ("framework", "library", "sdk", "api", "rest")), ("Databases", ("database", "db", "sql", "nosql", "cache")), ("Cloud & DevOps", ("cloud", "aws", "gcp", "azure", "deploy")),
+    ("ML / AI", ("ml", "ai", "model", "deep", "neural", "learning")), ("Testing", ("test", "qa", "spec", "unit", "e2e")), ("Mobile", ("android", "ios", "mobile", "flutter", "native")),
 )
-LEVELS = (("Expert", "expert|advanced"), ("Proficient", "proficient|intermediate|experienced"), ("Beginner", "beginner|basic|novice"), ("Familiar", "familiar|learning|exposure"))
+#: Levels by the words that tell them.
+LEVELS = (("Expert", "expert|advanced|senior|lead|principal|staff"), ("Proficient", "proficient|intermediate|mid|professional"), ("Beginner", "basic|beginner|junior|elementary"), ("Familiar", "familiar|exposure|working knowledge"))
 
 
 def skill_key(c: Column) -> Column:

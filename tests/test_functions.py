@@ -54,7 +54,7 @@ def test_headings(spark):
 def test_skills(spark):
     raw = spark.createDataFrame([(1, 0, "Python 3"), (1, 1, "React (Advanced)"), (1, 2, "websocket"), (1, 3, "Languages: Go"), (1, 4, "weird thing")], "cand_id long, pos long, raw string")
     got = {r["raw"]: (r["canonical"], r["level"], r["known"]) for r in skills.normalize_skills(raw).collect()}
-    assert got == {"Python 3": ("Python", None, True), "React (Advanced)": ("React", "Expert", True), "websocket": ("WebSockets", None, True), "Languages: Go": ("Go", None, True), "weird thing": ("Weird Thing", None, False)}
+    assert got == {"Python 3": ("Python", None, True), "React (Advanced)": ("React", "Expert", True), "websocket": ("WebSocket", None, True), "Languages: Go": ("Go", None, True), "weird thing": ("Weird Thing", None, False)}
 
 
 def test_greedy_assignment_takes_each_found_value_once(spark):
@@ -102,7 +102,7 @@ def test_technologies_are_all_named(spark):
     ten = "Python, Java, React, Node, PostgreSQL, Kafka, Docker, AWS, Git, Machine Learning"
     values = [ten, "LLM and rag-pipelines on ESP 32 over MQTT with pandas", "R and C", "C++, C#, R&D, c, r", "pythonic .js", None, *entries.PROJECT_TECHNOLOGIES]
     got = column(spark, values, entries.technologies)
-    assert got[0] == ["Python", "React", "Node.js", "Java", "PostgreSQL", "Kafka", "Docker", "AWS", "Git", "Machine Learning"]
+    assert got[0] == ["Python", "React", "Node.js", "Java", "PostgreSQL", "AWS", "Docker", "Kafka", "Git", "Machine Learning"]
     assert got[1] == ["Large Language Models", "RAG (Retrieval-Augmented Generation)", "Pandas", "ESP32", "MQTT"]
-    assert got[2:6] == [["C", "R"], ["C++"], [], []]
+    assert got[2:6] == [["C", "R"], ["C++", "C#"], [], []]
     assert all(name in found for name, found in zip(entries.PROJECT_TECHNOLOGIES, got[6:], strict=True))
