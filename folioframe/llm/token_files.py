@@ -50,17 +50,24 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return np.cumsum(ids), lengths, decode_ids(data[at + size + 4 :]), missing
 
 
+def _text_bytes(rows: DataFrame) -> int:
+    """About how many bytes the texts have: from the files' sizes where the plan knows them, else by adding them up.
+    Files are bounded as they are written, so this decides on the number of tasks alone."""
+    known = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_bytes_: int = FILE_BYTES) -> DataFrame:
     """Writes part-<range>-<number>.tok files into folder and returns file, documents, ids for each (in document order).
 
-    folder is a URI that every executor can write. There are as many id ranges as keep an even share of the text below
-    FILE_BYTES, and a range that holds more (a much repeated id, null ids) goes on in another file, so no task ever
-    holds more than a file's ids and one document. Documents with equal ids are ordered by their text's hash; null ids
+    folder is a URI that every executor can write. There are as many id ranges as keep an even share of the text
+    at about FILE_BYTES, and a range that holds more than twice that (a much repeated id, null ids) goes on in another
+    file, so no task ever holds more than a file's ids and one document. Documents with equal ids are ordered by their text's hash; null ids
     come first. An empty table gives no files.
     """
     codec = Shared(docs.sparkSession, vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ranges = max(parallel_parts(docs), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes_))
+    ranges = max(parallel_parts(docs), _text_bytes(rows) // file_bytes_)
     dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def run(batches):
