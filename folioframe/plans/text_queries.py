@@ -166,7 +166,7 @@ _masks = {
     "partial": ("split_part(name, ' ', 1) || ' ' || left(split_part(name, ' ', 2), 1) || '.'", "left(u, 2) || repeat('*', greatest(length(u) - 2, 0)) || '@' || split_part(email, '@', 2)", "left(d, 2) || repeat('*', greatest(length(d) - 4, 0)) || right(d, 2)"),
 }
 _label = "CASE " + " ".join(f"WHEN contains(lower(url), '{d}') THEN '{n}'" for d, n in contacts.DOMAINS) + " ELSE 'Portfolio' END"
-_fill = f", {_hd}, {_norm}, {_match}, fl AS (SELECT doc_id, line_no, own, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'header') AS section FROM (SELECT *, CASE WHEN regexp_matches(line, '^\\s*[•▪●\\-–—*]\\s') THEN NULL ELSE section END AS own FROM ml))"
+FILL = f", {_hd}, {_norm}, {_match}, fl AS (SELECT doc_id, line_no, own, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'header') AS section FROM (SELECT *, CASE WHEN regexp_matches(line, '^\\s*[•▪●\\-–—*]\\s') THEN NULL ELSE section END AS own FROM ml))"
 ORACLES = {
     "line_quality_stats": f"WITH {_LINES} SELECT doc_id, count(*) AS line_count, CAST(sum(nw) AS BIGINT) AS word_count, round(avg(CAST({_BAD} AS INT)), 3) AS malformed_ratio, round(avg(CASE WHEN nw <= 2 THEN 1 ELSE 0 END), 3) AS short_line_ratio, round(1 - count(DISTINCT line) / count(*), 3) AS duplicate_ratio FROM l GROUP BY doc_id",
     "language_gate": "WITH " + _lang,
@@ -182,8 +182,8 @@ ORACLES = {
     "page_hosts": "SELECT lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, count(*) AS pages FROM pages GROUP BY 1",
     "heading_exact": oracle("resume_lines", f", {_hd}, {_norm}, {_match} SELECT doc_id, line_no, section FROM ml WHERE section IS NOT NULL"),
     "heading_fuzzy": oracle("resume_lines", f", {_norm}, fz(tokens, section) AS (VALUES {_fuzzy_values()}), tk AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split(norm, ' '), lambda w: length(w) > 2))) AS t FROM nl) SELECT doc_id, line_no, section FROM tk JOIN fz ON array_to_string(t, ' ') = tokens WHERE len(t) BETWEEN 1 AND 4"),
-    "section_forward_fill": oracle("resume_lines", _fill + " SELECT doc_id, line_no, section FROM fl WHERE own IS NULL"),
-    "section_sizes": oracle("resume_lines", _fill + " SELECT section, count(*) AS lines, count(DISTINCT doc_id) AS documents FROM fl WHERE own IS NULL GROUP BY section"),
+    "section_forward_fill": oracle("resume_lines", FILL + " SELECT doc_id, line_no, section FROM fl WHERE own IS NULL"),
+    "section_sizes": oracle("resume_lines", FILL + " SELECT section, count(*) AS lines, count(DISTINCT doc_id) AS documents FROM fl WHERE own IS NULL GROUP BY section"),
     "block_features": oracle("resume_lines", f", {_feat} SELECT * FROM ft"),
     "section_signature": oracle("resume_lines", f", {_feat}, {_sig} SELECT doc_id, CAST(skills_score AS DOUBLE) AS skills_score, CAST(experience_score AS DOUBLE) AS experience_score, CAST(education_score AS DOUBLE) AS education_score, CAST(projects_score AS DOUBLE) AS projects_score, CASE WHEN m[1] >= 0.25 THEN m[3] END AS best_section, CAST(m[1] AS DOUBLE) AS best_score FROM b"),
 }

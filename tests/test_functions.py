@@ -88,7 +88,7 @@ def test_greedy_assignment_reads_all_jobs(spark):
 
 
 def test_section_summary_reads_the_whole_section(spark):
-    got = {r["doc_id"]: r["summary"] for r in entry_queries.section_summary_whole(spark, SF).collect()}
+    got = {r["doc_id"]: r["summary"] for r in entry_queries.section_summary(spark, SF).collect()}
     want, inside = collections.defaultdict(list), {}
     for r in view(spark, SF, "resume_lines").orderBy("doc_id", "line_no").collect():
         if r["line"] in HEADINGS[:9]:  # the last two are no headings as they stand
