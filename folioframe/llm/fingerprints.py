@@ -16,8 +16,9 @@ from .common import durable
 from .exact_dedup import MAX_BROADCAST_IDS
 
 WIDTH = 4
-#: Ranges of document ids in which neighbours are found: at most MAX_RANGES boundaries are ever held in a plan.
-RANGE_ROWS, MAX_RANGES = 2000, 4096
+#: Ranges of document ids in which neighbours are found: RANGE_ROWS rows each, up to MAX_RANGES of them, whose boundaries
+#: stand in the plan. In larger tables each is cut again, into ranges of CUT_ROWS rows, whose boundaries are a table.
+RANGE_ROWS, MAX_RANGES, CUT_ROWS = 2000, 4096, 32000
 
 
 def canonical(text: Column) -> Column:
@@ -69,32 +70,48 @@ def _extend(made: DataFrame, mixed: DataFrame, *pairs: tuple[str, str]) -> DataF
     return made
 
 
-def _ranges(rows: DataFrame) -> Column:
-    """Number of the id range of each row, from boundaries that hold about RANGE_ROWS rows each (binary search)."""
+def _search(bounds: Column, size: int) -> Column:
+    """How many of the first values of bounds (ascending, of length size, a power of 2 less 1 or more) are not above doc_id."""
+    steps = F.array(*[F.lit(size >> k) for k in range(1, size.bit_length())])
+    return F.coalesce(F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at)), F.lit(0))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with the number of their id range in __range (long), ascending with the ids. A range holds about RANGE_ROWS
+    rows, in tables of over MAX_RANGES such ranges about CUT_ROWS, at any size of the table."""
     n = rows.count()
     parts = min(MAX_RANGES, max(1, -(-n // RANGE_ROWS)))
     cuts = sorted(set(rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (8 * parts)))) if parts > 1 and n else []
     size = 1 << max(1, len(cuts) + 1).bit_length()
     bounds = F.split(F.lit(",".join([*(str(int(c)) for c in cuts), *[str(2**63 - 1)] * (size - len(cuts))])), ",").cast("array<long>")
-    steps = F.array(*[F.lit(size >> k) for k in range(1, size.bit_length())])
-    return F.coalesce(F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at)), F.lit(0))
+    coarse = _search(bounds, size).cast("long")
+    again = -(-n // (parts * CUT_ROWS))
+    if again < 2:
+        return rows.withColumn("__range", coarse)
+    room = 1 << again.bit_length()
+    shares = F.array(*[F.lit(i / again) for i in range(1, again)])
+    fine = rows.select(coarse.alias("__range"), "doc_id").groupBy("__range").agg(F.percentile_approx("doc_id", shares, 8 * again).alias("cuts"))
+    fine = durable(fine.select("__range", F.concat("cuts", F.array_repeat(F.lit(2**63 - 1), room - again + 1)).alias("__cuts")))
+    # a row for each coarse range, with n / CUT_ROWS boundaries altogether
+    fine = F.broadcast(fine) if parts * room <= MAX_BROADCAST_IDS else fine
+    return rows.withColumn("__range", coarse).join(fine, "__range", "left").withColumn("__range", F.col("__range") * room + _search(F.col("__cuts"), room)).drop("__cuts")
 
 
 def with_next(rows: DataFrame, *carry: str) -> DataFrame:
     """rows (doc_id, text, ...) with next_<c> of each carried column: its value in the row that follows in ascending
     doc_id, and in the first row after the last. Rows that repeat an id follow each other by a hash of their text;
     null ids come first. One shuffle of the rows by id range; a range's first row is also dealt to the range before."""
-    placed = rows.withColumn("__range", _ranges(rows.select("doc_id")))
-    firsts = sorted((r["__range"], r["first"], r["null"]) for r in placed.groupBy("__range").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null")).collect())  # at most MAX_RANGES rows
-    if not firsts:
-        return placed.select(*rows.columns, *[F.lit(None).cast(rows.schema[c].dataType).alias(f"next_{c}") for c in carry])
-    before = {f[0]: firsts[i - 1][0] for i, f in enumerate(firsts)}
-    table = F.from_json(F.lit("{" + ",".join(f'"{r}":[{before[r]},{f if f is not None and not null else "null"}]' for r, f, null in firsts) + "}"), "map<string,array<long>>")
-    own = F.element_at(table, F.col("__range").cast("string"))
-    first = F.get(own, F.lit(1)).eqNullSafe(F.col("doc_id"))
-    here = F.struct(F.col("__range").cast("long").alias("range"), F.lit(False).alias("halo"))
-    there = F.struct(F.get(own, F.lit(0)).alias("range"), F.lit(True).alias("halo"))
-    dealt = placed.withColumn("__at", F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here)))).withColumn("__tie", F.xxhash64("text"))
+    placed = _placed(rows)
+    firsts = placed.groupBy("__range").agg(F.min("doc_id").alias("__first"), F.max(F.col("doc_id").isNull()).alias("__null"))
+    firsts = durable(firsts.select("__range", F.when(~F.col("__null"), F.col("__first")).alias("__first")))  # a row per range
+    ranges, last = firsts.agg(F.count(F.lit(1)), F.max("__range")).first()
+    before = F.coalesce(F.lag("__range").over(Window.orderBy("__range")), F.lit(last))
+    table = firsts.withColumn("__before", before)
+    dealt = placed.join(F.broadcast(table) if ranges <= MAX_BROADCAST_IDS else table, "__range")
+    here = F.struct(F.col("__range").alias("range"), F.lit(False).alias("halo"))
+    there = F.struct(F.col("__before").alias("range"), F.lit(True).alias("halo"))
+    first = F.col("__first").eqNullSafe(F.col("doc_id"))
+    dealt = dealt.withColumn("__at", F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here)))).withColumn("__tie", F.xxhash64("text")).drop("__range", "__first", "__before")
     order = Window.partitionBy(F.col("__at.range")).orderBy(F.col("__at.halo"), F.col("doc_id").asc_nulls_first(), "__tie")
     led = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carry])
     return led.filter(~F.col("__at.halo")).select(*rows.columns, *[f"next_{c}" for c in carry])

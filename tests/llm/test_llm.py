@@ -143,11 +143,39 @@ def test_fingerprints(spark, none):
     assert len({r["fingerprint"] for r in fingerprints.fingerprints(docs).collect()}) == len({form(x or "") for _, x in base})
 
 
-def test_fingerprints_across_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("most,cut", [(4096, 32000), (3, 5), (1, 9), (64, 1)])
+def test_fingerprints_across_ranges(spark, most, cut, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    monkeypatch.setattr(fingerprints, "MAX_RANGES", most)
+    monkeypatch.setattr(fingerprints, "CUT_ROWS", cut)
     docs = spark.createDataFrame([(i * i, f"text {i} " * 3) for i in range(100)], "doc_id long, text string")
     rows = fingerprints.with_next(docs, "doc_id").orderBy("doc_id").collect()
     assert [r["next_doc_id"] for r in rows] == [i * i for i in range(1, 100)] + [0]
+    if cut < 32000:  # the second level is there, and even
+        sizes = [r["count"] for r in fingerprints._placed(docs).groupBy("__range").count().collect()]
+        assert len(sizes) > most and max(sizes) <= 2 * max(7, cut)
+
+
+def test_neighbours_of_repeated_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 4)
+    monkeypatch.setattr(fingerprints, "MAX_RANGES", 2)
+    monkeypatch.setattr(fingerprints, "CUT_ROWS", 3)
+    ids = [None] * 3 + [5] * 9 + list(range(6, 30)) + [2**63 - 1, -(2**63)]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    rows = fingerprints.with_next(docs, "text").collect()
+    assert len(rows) == len(ids)
+    # one cycle through all rows, whose ids ascend from the missing ones on
+    after, at, seen = {r["text"]: r["next_text"] for r in rows}, None, []
+    at = rows[0]["text"]
+    for _ in ids:
+        seen.append(at)
+        at = after[at]
+    assert at == seen[0] and len(set(seen)) == len(ids)
+    own = {r["text"]: r["doc_id"] for r in rows}
+    keys = [-(2**64) if own[x] is None else own[x] for x in seen]
+    k = keys.index(min(keys)) if keys[-1] != min(keys) else next(j for j in range(len(keys)) if keys[j - 1] != keys[j] and keys[j] == min(keys))
+    turned = keys[k:] + keys[:k]
+    assert turned == sorted(turned)
 
 
 def test_mixed_digests_are_extended(spark):
