@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -51,31 +52,28 @@ def normalize_date(token: Column) -> Column:
 
 
 def date_range(text: Column) -> Column:
-    """struct(form, start, end, is_current, remaining) of the first range or date in a text; form null if there is none."""
-
-    def tidy(pattern: str) -> Column:
-        before, after = F.split(text, f"(?i){pattern}", 2)[0], F.get(F.split(text, f"(?i){pattern}", 2), F.lit(1))
-        joined = F.concat_ws(" ", F.regexp_replace(F.trim(before), "[,-]+$", ""), F.regexp_replace(F.trim(after), "^[,-]+", ""))
-        return F.regexp_replace(F.trim(F.regexp_replace(joined, r"\s+", " ")), "[,-]+$", "")
-
-    def one(name: str, pattern: str) -> Column:
-        g = lambda k: F.regexp_extract(text, f"(?i){pattern}", k)
-        none = F.lit(None).cast("string")
-        if name == "months":
-            start, end, current = normalize_date(F.concat_ws(" ", g(1), g(3))), normalize_date(F.concat_ws(" ", g(2), g(3))), F.lit(False)
-        elif name in ("till", "since"):
-            start, end, current = normalize_date(g(1)), none, F.lit(True)
-        elif name.startswith("one_"):
-            start, end, current = normalize_date(g(1)), none, F.lit(False)
-        else:
-            current = g(2).rlike(f"(?i)^{PRESENT}")
-            start = normalize_date(g(1))
-            last = F.concat(F.substring(F.regexp_extract(start, r"20\d{2}", 0), 1, 2), g(2)) if name == "short_year" else normalize_date(g(2))
-            end = F.when(~current, last)
-        return F.struct(F.lit(name).alias("form"), start.alias("start"), end.alias("end"), current.alias("is_current"), tidy(pattern).alias("remaining"))
-
-    empty = F.struct(*[F.lit(None).cast("string").alias(c) for c in ("form", "start", "end")], F.lit(None).cast("boolean").alias("is_current"), F.trim(text).alias("remaining"))
-    return reduce(lambda out, r: F.when(text.rlike(f"(?i){r[1]}"), one(*r)).otherwise(out), reversed(RANGES), empty)
+    """struct(form, start, end, is_current, remaining) of the first range or date in a text; form null if there is none.
+
+    The winning form's groups are taken first and read once, so the expression stays small however many forms there are.
+    """
+
+    def found(name: str, pattern: str) -> Column:
+        group = lambda k: F.regexp_extract(text, f"(?i){pattern}", k) if k <= re.compile(pattern).groups else F.lit("")
+        return F.struct(F.lit(name).alias("form"), *[group(k).alias(f"g{k}") for k in (1, 2, 3)], F.split(text, f"(?i){pattern}", 2).alias("around"))
+
+    def read(r: Column) -> Column:
+        form = r["form"]
+        months, alone = form == "months", form.startswith("one_")
+        with_year = lambda month: F.when(months, F.concat_ws(" ", month, r["g3"])).otherwise(month)
+        start = normalize_date(with_year(r["g1"]))
+        current = F.when(form.isin("till", "since"), True).when(months | alone, False).otherwise(r["g2"].rlike(f"(?i)^{PRESENT}"))
+        last = F.when(form == "short_year", F.concat(F.substring(F.regexp_extract(r["g1"], r"20\d{2}", 0), 1, 2), r["g2"])).otherwise(normalize_date(with_year(r["g2"])))
+        joined = F.concat_ws(" ", F.regexp_replace(F.trim(r["around"][0]), "[,-]+$", ""), F.regexp_replace(F.trim(F.get(r["around"], F.lit(1))), "^[,-]+", ""))
+        remaining = F.regexp_replace(F.trim(F.regexp_replace(joined, r"\s+", " ")), "[,-]+$", "")
+        return F.struct(form.alias("form"), F.when(form.isNotNull(), start).alias("start"), F.when(~current & ~alone, last).alias("end"), F.when(form.isNotNull(), current).alias("is_current"), F.when(form.isNotNull(), remaining).otherwise(F.trim(text)).alias("remaining"))
+
+    first = reduce(lambda out, r: F.when(text.rlike(f"(?i){r[1]}"), found(*r)).otherwise(out), reversed(RANGES), F.lit(None))
+    return F.transform(F.array(first), read)[0]
 
 
 def approximate_date(text: Column, year_month: int = 1) -> Column:
