@@ -76,15 +76,23 @@ def simple_list(lines: Column) -> Column:
     return F.aggregate(F.filter(F.transform(items, strip), lambda x: x != ""), F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.array_append(acc, x)))
 
 
+_quoted = lambda words: "|".join(re.sub(r"([^\w\s])", r"\\\1", w.lower()) for w in words)
+
+
+def project_names(text: Column) -> Column:
+    """The project technologies that a text names, in their order."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*[F.when(low.rlike(rf"(?<!\w)(?:{_quoted((name, *keys))})(?!\w)"), name) for name, keys in PROJECT_TECHNOLOGIES.items()]))
+
+
 def technologies(text: Column) -> Column:
     """All technologies that a text names as whole words: those of projects in their order, then other known skills in
     theirs. Names of one letter count as capitals that are not part of a sign like C++ or R&D."""
     text = F.coalesce(text, F.lit(""))
     low = F.lower(text)
-    quoted = lambda words: "|".join(re.sub(r"([^\w\s])", r"\\\1", w.lower()) for w in words)
-    named = {name: low.rlike(rf"(?<!\w)(?:{quoted((name, *keys))})(?!\w)") for name, keys in PROJECT_TECHNOLOGIES.items()}
+    named = {name: low.rlike(rf"(?<!\w)(?:{_quoted((name, *keys))})(?!\w)") for name, keys in PROJECT_TECHNOLOGIES.items()}
     for name, _, _, keys in SKILLS:
-        hit = [low.rlike(rf"(?<![\w.])(?:{quoted(words)})(?!\w)") for words in [[k for k in keys if len(k) > 1]] if words]
+        hit = [low.rlike(rf"(?<![\w.])(?:{_quoted(words)})(?!\w)") for words in [[k for k in keys if len(k) > 1]] if words]
         hit += [text.rlike(rf"(?<![\w.&+#'’-]){k.upper()}(?![\w&+#'’-])") for k in keys if len(k) == 1]
         named[name] = reduce(lambda a, b: a | b, hit, named.get(name, F.lit(False)))
     return F.array_compact(F.array(*[F.when(hit, name) for name, hit in named.items()]))

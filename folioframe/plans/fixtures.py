@@ -17,6 +17,8 @@ RANGES = ("Jan 2020 – Present", "Jan-Mar 2021", "2019-21", "Jan''19 - Feb''20"
 GRADES = ("8.4/10", "3.6/4", "87%", "A+", "First Class", "7.9", "3.2", "450/500", "CGPA: 9", ".", "", "Pass", "b-", "GPA: 3.95", "101")
 BULLETS = ("Built pipelines that cut cost by 30% across five teams and regions", "Responsible for reports", "Reduced latency from 40 ms to 12 ms for search", "worked on things", "Designed APIs used by 2 million users every single day", "• Led a team of 6", "Improved tests", "Migrated 12 services to containers without any downtime for customers", "helped", "attended meetings with the client team on Mondays and Fridays")
 URLS = ("https://linkedin.com/in/ana-silva", "github.com/dev42", "", "http://bad host", "https://example.org/portfolio", "https://www.kaggle.com/x", "https://gitlab.com/me", "https://linkedin.com/in/ana-silva", "not-a-url")
+EDUCATION = ("B.Tech in Computer Science", "Indian Institute of Technology", "CGPA: 8.4/10", "2016 - 2020", "Delhi Public School", "12th, CBSE 2014", "Pune", "92 %", "M.Sc Physics 2021", "University of Pune, Master of Arts", "8.1 CGPA", "Class of champions", "Aug 2012 – May 2014")
+PROJECTS = ("Travel Planner - Python, React", "Chess Engine 2021 - 2022", "• Built an engine that plays 2 million games a day.", "Tech Stack: MQTT, pandas", "Live: https://chess.example.org", "• Weather Board", "Python, React, Node", "Jan 2023 - Mar 2023", "runs in a cupboard and hums all day.", "• reads github.com/ana/board every hour", "Home Lab")
 LABELS = ("LinkedIn", "GitHub", "Portfolio", "LinkedIn", "Portfolio", "Kaggle", "GitHub")
 MAILS = ("gmial.com", "gmail.com", "outlok.com", "example.org", "yahoo.co", "hotmail.com", "acme.io")
 
@@ -35,6 +37,8 @@ VIEWS = {
     "resume_lines": f"""SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS line_no,
         CASE WHEN o_orderkey % 4 = 0 THEN {_pick(HEADINGS, 'o_orderkey')} WHEN o_orderkey % 7 = 0 THEN concat('• ', {_pick(BULLETS, 'o_orderkey')})
         ELSE concat({_pick(TITLES, 'o_orderkey')}, ' at ', {_pick(COMPANIES, 'o_orderkey')}, ' 2019 - 2021 with python and sql') END AS line FROM orders""",
+    "education_lines": f"""SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS line_no, {_pick(EDUCATION, 'o_orderkey')} AS line FROM orders""",
+    "project_lines": f"""SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS line_no, {_pick(PROJECTS, 'o_orderkey')} AS line FROM orders""",
     "range_texts": f"""SELECT o_orderkey AS doc_id, concat('Role, ', {_pick(RANGES, 'o_orderkey')}) AS raw FROM orders""",
     "bullets": f"""SELECT o_custkey AS cand_id, o_orderkey AS bullet_no, {_pick(BULLETS, 'o_orderkey')} AS bullet FROM orders""",
     "links": f"""SELECT o_custkey AS doc_id, o_orderkey AS pos, {_pick(LABELS, 'o_orderkey')} AS label, {_pick(URLS, 'o_orderkey')} AS url FROM orders""",
