@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioframe.functions.dates import date_range
-from folioframe.operators import parsers, sections
+from folioframe.operators import locate, parsers, sections
 from folioframe.plans import parser_queries
 from folioframe.plans.fixtures import view
 
@@ -125,6 +125,57 @@ def test_implied_skills(spark, known, bullets, want):
     assert df.select(parsers.implied_skills(F.col("k"), F.col("b")).alias("s")).first()["s"] == want
 
 
+def best(spark, groups):
+    """Section and score of each group of lines, by the signature operator, which has its own SQL."""
+    rows = [(k, n, x) for k, ls in enumerate(groups) for n, x in enumerate(ls)]
+    made = locate.signatures(spark.createDataFrame(rows, "k long, line_no long, line string"), "k").collect() if rows else []
+    return {r["k"]: (r["best_section"], r["best_score"] or 0.0) for r in made}
+
+
+def test_section_split_by_states(spark):
+    x = [r.asDict() for r in parser_queries._placed(spark, SF).orderBy("doc_id", "line_no").collect()]
+    alone = best(spark, [[r["line"]] for r in x])
+    now, first, held = {}, {}, {}
+    for k, r in enumerate(x):
+        d = r["doc_id"]
+        zone = r["page"] == 0 and r["top"] <= 0.18 * r["height"]
+        if r["section"]:
+            now[d] = r["section"]
+        elif d not in now and not zone and alone[k][1] >= 0.55:
+            now[d] = alone[k][0]
+        else:
+            held.setdefault((d, now.get(d, "header")), []).append((r["line_no"], r["line"]))
+    small = [k for k, ls in held.items() if len(ls) < 4 and k[1] != "header"]
+    again = best(spark, [[line for _, line in held[k]] for k in small])
+    first = {k: again[i][0] for i, k in enumerate(small) if again[i][1] >= 0.52}
+    want = {(k[0], n): first.get(k, k[1]) for k, ls in held.items() for n, _ in ls}
+    got = {(r["doc_id"], r["line_no"]): r["section"] for r in parser_queries.section_split_states(spark, SF).collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
+def test_section_split_by_blocks(spark):
+    blocks = {}
+    for r in parser_queries._placed(spark, SF).orderBy("doc_id", "line_no").collect():
+        blocks.setdefault((r["doc_id"], r["page"], r["block"]), []).append(r)
+    scores = best(spark, [[r["line"] for r in ls] for ls in blocks.values()])
+    now, seen, want = {}, set(), {}
+    for k, ((d, page, block), ls) in enumerate(blocks.items()):
+        section, score = scores[k]
+        if ls[0]["section"]:
+            now[d] = ls[0]["section"]
+            seen.add(d)
+            ls, out = ls[1:], now[d]
+        elif d not in seen and page == 0 and block <= 2 and ls[0]["top"] <= 0.18 * ls[0]["height"]:
+            out = "header"
+        else:
+            if section and score >= (0.48 if now.get(d, "header") == "header" else 0.6):
+                now[d] = section
+            out = now.get(d, "header")
+        want |= {(d, r["line_no"]): out for r in ls}
+    got = {(r["doc_id"], r["line_no"]): r["section"] for r in parser_queries.section_split_blocks(spark, SF).collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
 def test_parser_queries_run(spark):
     for name, query in parser_queries.QUERIES.items():
         assert query(spark, SF).count() > 0, name
