@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 AS_OF = "2024-06-30"
 _pick = lambda names, n: f"split_part('{'|'.join(names)}', '|', CAST({n} % {len(names)} AS INT) + 1)"
@@ -67,6 +68,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
+def skill_sides(x: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
+    """All skills as truth and as found, where every third is known to the first alone and every so many to the second."""
+    own = lambda n, side: x.withColumn("raw", F.when(F.col("pos") % n == 0, F.concat(F.lit(f"{side} "), "raw")).otherwise(F.col("raw")))
+    return own(3, "true"), own(every, "found")
+
+
 def oracle(names: str, sql: str) -> str:
     """sql for DuckDB after the views it names."""
     return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names.split()) + " " + sql

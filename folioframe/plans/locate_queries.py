@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, locate, sections
-from .fixtures import oracle, view
+from .fixtures import oracle, skill_sides, view
 from .text_queries import _hd, _match, _norm
 
 
@@ -35,8 +35,7 @@ def entry_groups(spark, sf_dir):
 
 
 def skill_recall(spark, sf_dir):
-    x = view(spark, sf_dir, "raw_skills")
-    f = evaluation.set_f1(x.filter("pos % 3 <> 0"), x.filter("pos % 5 <> 0"), "cand_id", "raw")
+    f = evaluation.set_f1(*skill_sides(view(spark, sf_dir, "raw_skills"), 5), "cand_id", "raw")
     return f.select("cand_id", "recall")
 
 
@@ -52,5 +51,5 @@ ORACLES = {
      x AS (SELECT doc_id, field, line_no, lower(trim(value)) AS a, lower(trim(line)) AS b FROM v JOIN resume_lines USING (doc_id)), y AS (SELECT doc_id, field, line_no, round(CASE WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b)) / greatest(length(a), length(b)) ELSE 2 * len(list_intersect({_tok('a')}, {_tok('b')})) / (len({_tok('a')}) + len({_tok('b')})) END, 6) AS s FROM x)
      SELECT doc_id, field, arg_max(line_no, (s, -line_no)) AS line_no, max(s) AS likeness FROM y GROUP BY 1, 2"""),
     "entry_groups": oracle("resume_lines", "SELECT doc_id, line_no, CAST(sum(CASE WHEN line_no > 1 AND contains(line, ' at ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS entry FROM resume_lines"),
-    "skill_recall": oracle("raw_skills", ", t AS (SELECT DISTINCT cand_id, lower(trim(raw)) AS v FROM raw_skills WHERE pos % 3 <> 0), f AS (SELECT DISTINCT cand_id, lower(trim(raw)) AS v FROM raw_skills WHERE pos % 5 <> 0), g AS (SELECT coalesce(t.cand_id, f.cand_id) AS cand_id, count(t.v) AS nt, count(*) FILTER (WHERE t.v IS NOT NULL AND f.v IS NOT NULL) AS b FROM t FULL JOIN f ON t.cand_id = f.cand_id AND t.v = f.v GROUP BY 1) SELECT cand_id, CASE WHEN nt > 0 THEN round(b / nt, 6) ELSE 0 END AS recall FROM g"),
+    "skill_recall": oracle("raw_skills", ", t AS (SELECT DISTINCT cand_id, lower(trim(CASE WHEN pos % 3 = 0 THEN 'true ' || raw ELSE raw END)) AS v FROM raw_skills), f AS (SELECT DISTINCT cand_id, lower(trim(CASE WHEN pos % 5 = 0 THEN 'found ' || raw ELSE raw END)) AS v FROM raw_skills), g AS (SELECT coalesce(t.cand_id, f.cand_id) AS cand_id, count(t.v) AS nt, count(*) FILTER (WHERE t.v IS NOT NULL AND f.v IS NOT NULL) AS b FROM t FULL JOIN f ON t.cand_id = f.cand_id AND t.v = f.v GROUP BY 1) SELECT cand_id, CASE WHEN nt > 0 THEN round(b / nt, 6) ELSE 0 END AS recall FROM g"),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import career, consensus, evaluation, geometry, skills, validation
-from .fixtures import AS_OF, oracle, view
+from .fixtures import AS_OF, oracle, skill_sides, view
 
 WIDTH, HEIGHT = 600.0, 800.0
 
@@ -131,18 +131,17 @@ def dice_similarity(spark, sf_dir):
 
 
 def skill_f1(spark, sf_dir):
-    x = view(spark, sf_dir, "raw_skills")
-    return evaluation.set_f1(x.filter("pos % 3 <> 0"), x.filter("pos % 4 <> 0"), "cand_id", "raw")
+    return evaluation.set_f1(*skill_sides(view(spark, sf_dir, "raw_skills"), 4), "cand_id", "raw")
 
 
 def structured_entry_score(spark, sf_dir):
     j = view(spark, sf_dir, "jobs")
-    return evaluation.keyed_score(j, j.filter("job_no % 3 <> 0").withColumn("title", F.when(F.col("job_no") % 2 == 0, F.concat(F.lit("Senior "), "title")).otherwise(F.col("title"))), "cand_id", "company", "title", "job_no")
+    return evaluation.keyed_score(j, j.withColumn("company", F.when(F.col("job_no") % 3 == 0, F.concat("company", F.lit(" Holdings"))).otherwise(F.col("company"))).withColumn("title", F.when(F.col("job_no") % 2 == 0, F.concat(F.lit("Senior "), "title")).otherwise(F.col("title"))), "cand_id", "company", "title", "job_no")
 
 
 def greedy_assignment(spark, sf_dir):
     j = view(spark, sf_dir, "jobs")
-    return evaluation.greedy_assignment(j, j.filter("job_no % 2 = 0").withColumn("title", F.concat_ws(" ", "title", F.lit("team"))), "cand_id", "job_no", "title")
+    return evaluation.greedy_assignment(j, j.withColumn("title", F.when(F.col("job_no") % 2 == 0, F.concat_ws(" ", "title", F.lit("team"))).otherwise("volunteer")), "cand_id", "job_no", "title")
 
 
 def truth_pack_check(spark, sf_dir):
@@ -267,8 +266,8 @@ ORACLES = {
     "confidence_overall": oracle("strategies", _sc + f""", a AS (SELECT doc_id, round(avg(global_score), 6) AS fc, round(avg(personal_score), 6) AS cp, round(avg(global_score) * {_D(.7)} + (1 - CASE WHEN avg(global_score) > 0 THEN least(stddev_pop(global_score) / avg(global_score), 1) ELSE 1 END) * {_D(.3)}, 4) AS ag FROM f GROUP BY 1),
      o AS (SELECT doc_id, round(fc * {_D(.6)} + ag * {_D(.25)} + cp * {_D(.15)}, 4) AS overall FROM a) SELECT doc_id, overall, CASE WHEN overall >= 0.85 THEN 'A' WHEN overall >= 0.7 THEN 'B' WHEN overall >= 0.5 THEN 'C' WHEN overall >= 0.3 THEN 'D' ELSE 'F' END AS grade FROM o"""),
     "dice_similarity": oracle("truth_pairs", f"SELECT doc_id, round({_dice(_tok('truth'), _tok('found'))}, 6) AS similarity FROM truth_pairs"),
-    "skill_f1": oracle("raw_skills", ", t AS (SELECT DISTINCT cand_id, lower(trim(raw)) AS v FROM raw_skills WHERE pos % 3 <> 0), f AS (SELECT DISTINCT cand_id, lower(trim(raw)) AS v FROM raw_skills WHERE pos % 4 <> 0), g AS (SELECT coalesce(t.cand_id, f.cand_id) AS cand_id, count(t.v) AS nt, count(f.v) AS nf, count(*) FILTER (WHERE t.v IS NOT NULL AND f.v IS NOT NULL) AS b FROM t FULL JOIN f ON t.cand_id = f.cand_id AND t.v = f.v GROUP BY 1) SELECT cand_id, CASE WHEN nf > 0 THEN round(b / nf, 6) ELSE 0 END AS precision, CASE WHEN nt > 0 THEN round(b / nt, 6) ELSE 0 END AS recall, round(2 * b / (nt + nf), 6) AS f1 FROM g"),
-    "structured_entry_score": oracle("jobs", f", f AS (SELECT cand_id, company, arg_max(CASE WHEN job_no % 2 = 0 THEN 'Senior ' || title ELSE title END, job_no) AS g FROM jobs WHERE job_no % 3 <> 0 GROUP BY 1, 2) SELECT cand_id, round(avg(CASE WHEN g IS NULL THEN 0 ELSE {_dice(_tok('title'), _tok('g'))} END), 6) AS score FROM jobs LEFT JOIN f USING (cand_id, company) GROUP BY 1"),
+    "skill_f1": oracle("raw_skills", ", t AS (SELECT DISTINCT cand_id, lower(trim(CASE WHEN pos % 3 = 0 THEN 'true ' || raw ELSE raw END)) AS v FROM raw_skills), f AS (SELECT DISTINCT cand_id, lower(trim(CASE WHEN pos % 4 = 0 THEN 'found ' || raw ELSE raw END)) AS v FROM raw_skills), g AS (SELECT coalesce(t.cand_id, f.cand_id) AS cand_id, count(t.v) AS nt, count(f.v) AS nf, count(*) FILTER (WHERE t.v IS NOT NULL AND f.v IS NOT NULL) AS b FROM t FULL JOIN f ON t.cand_id = f.cand_id AND t.v = f.v GROUP BY 1) SELECT cand_id, CASE WHEN nf > 0 THEN round(b / nf, 6) ELSE 0 END AS precision, CASE WHEN nt > 0 THEN round(b / nt, 6) ELSE 0 END AS recall, round(2 * b / (nt + nf), 6) AS f1 FROM g"),
+    "structured_entry_score": oracle("jobs", f", f AS (SELECT cand_id, CASE WHEN job_no % 3 = 0 THEN company || ' Holdings' ELSE company END AS company, arg_max(CASE WHEN job_no % 2 = 0 THEN 'Senior ' || title ELSE title END, job_no) AS g FROM jobs GROUP BY 1, 2) SELECT cand_id, round(avg(CASE WHEN g IS NULL THEN 0 ELSE {_dice(_tok('title'), _tok('g'))} END), 6) AS score FROM jobs LEFT JOIN f USING (cand_id, company) GROUP BY 1"),
     "truth_pack_check": "WITH l AS (SELECT DISTINCT doc_id + 5 AS doc_id FROM labels) SELECT doc_id, 'right' AS missing_in FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l) UNION ALL SELECT doc_id, 'left' FROM l WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
     "failure_buckets": oracle("strategies", _sc + " " + " UNION ALL ".join(f"SELECT '{c}' AS bucket, count(*) FILTER (WHERE {c} < {b}) AS failures, round(avg({c}), 6) AS mean FROM f" for c, b in (("personal_score", 0.75), ("skills_score", 0.6), ("experience_score", 0.9), ("education_score", 0.9)))),
     "column_gap": oracle("words_geom", _gap + " SELECT doc_id, page, gap FROM gg"),

@@ -75,7 +75,7 @@ def test_greedy_assignment_reads_all_jobs(spark):
         titles[r["cand_id"]].append(r["title"])
     want = {}
     for k, own in titles.items():
-        left, score = {i: {*x.lower().split(), "team"} for i, x in enumerate(own) if i % 2}, []
+        left, score = {i: {*x.lower().split(), "team"} if i % 2 else {"volunteer"} for i, x in enumerate(own)}, []
         for words in (set(x.lower().split()) for x in own):
             like = {i: 2 * len(words & f) / (len(words) + len(f)) for i, f in left.items()}
             best = min(like, key=lambda i: (-like[i], i), default=None)
