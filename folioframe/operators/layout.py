@@ -67,20 +67,26 @@ def box_from_top(t: Column, b: Column, origin: Column, height: Column) -> tuple[
     return F.least(one, two), F.greatest(one, two)
 
 
+#: What a reader's counts are worth, in 3,000ths each, and up to which count.
+READER_POINTS = {"lines": (14, 60), "blocks": (12, 20), "sections": (144, 5), "headings": (45, 8), "urls": (60, 2), "table_skills": (45, 4)}
+
+
 def reader_scores(candidates: DataFrame) -> DataFrame:
-    """candidates with coverage and score: what a reader found on a document, each count up to its cap."""
-    pages = F.greatest("pages", F.lit(1))
-    cover = F.when(F.col("pages") > 0, F.col("pages_with_lines") / pages).otherwise(0.0)
-    fonts = F.when(F.col("lines") > 0, F.col("font_lines") / F.col("lines")).otherwise(0.0)
-    capped = lambda c, most, w: F.least(F.col(c) / float(most), F.lit(1.0)) * w
-    score = (
-        capped("lines", 60, 0.28) + capped("blocks", 20, 0.08) + capped("sections", 5, 0.24) + capped("headings", 8, 0.12) + cover * 0.10
-        + capped("urls", 2, 0.04) + capped("table_skills", 4, 0.06) + F.col("two_column_pages") / pages * 0.05 + fonts * 0.03
-    )
-    score = score + F.when((F.col("source") == "docling") & (F.col("table_skills") > 0), 0.04).otherwise(0.0)
+    """candidates with coverage and score: what a reader found on a document, each count up to its cap.
+
+    Shares (of pages with lines and with two columns, of lines with a font) are added over their common denominator, in
+    whole numbers, so that halves are rounded up alike everywhere.
+    """
+    pages, lines = F.greatest("pages", F.lit(1)), F.greatest("lines", F.lit(1))
+    cover = F.when(F.col("pages") > 0, F.col("pages_with_lines")).otherwise(0)
+    fonts = F.when(F.col("lines") > 0, F.col("font_lines")).otherwise(0)
     plain = F.col("source") == "pdfplumber"
-    score = score + F.when(plain & (F.col("two_column_pages") > 0), 0.03).otherwise(0.0) + F.when(plain & (fonts >= 0.75), 0.02).otherwise(0.0)
-    return candidates.withColumn("coverage", F.round(cover, 3)).withColumn("score", F.round(score, 3))
+    points = sum((F.least(F.col(c), F.lit(most)) * w for c, (w, most) in READER_POINTS.items()), F.lit(0))
+    points = points + F.when((F.col("source") == "docling") & (F.col("table_skills") > 0), 120).otherwise(0)
+    points = points + F.when(plain & (F.col("two_column_pages") > 0), 90).otherwise(0) + F.when(plain & (F.col("lines") > 0) & (fonts * 4 >= lines * 3), 60).otherwise(0)
+    both = points * pages * lines + (cover * 300 + F.col("two_column_pages") * 150) * lines + fonts * 90 * pages
+    score = F.floor((both * 2 + pages * lines * 3) / (pages * lines * 6)) / F.lit(1000.0)
+    return candidates.withColumn("coverage", F.round(cover / pages, 3)).withColumn("score", score)
 
 
 def best_reader(scored: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -67,16 +67,23 @@ def repair_education(entries: DataFrame, key: str = "cand_id", order: str = "pos
 
 
 def repair_list(items: DataFrame, key: str = "cand_id", order: str = "pos") -> DataFrame:
-    """key, order, item: items that start in lower case or with and, or, with, affiliated, achieving go on the one before;
-    of equal results (in any case) the first stays."""
-    x = items.select(key, order, tidy(F.col("item")).alias("item")).filter("item IS NOT NULL")
-    first = F.substring("item", 1, 1)
-    goes_on = (first != F.upper(first)) | F.lower("item").rlike("^(and|or|with|affiliated|achieving) ")
-    line = Window.partitionBy(key).orderBy(order)
-    x = x.withColumn("g", F.sum(F.when(goes_on, 0).otherwise(1)).over(line)).withColumn("g", F.greatest("g", F.lit(1)))
-    whole = x.groupBy(key, "g").agg(F.min(order).alias(order), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "item"))), lambda s: s["item"]), " ").alias("item"))
-    n = F.row_number().over(Window.partitionBy(key, F.lower("item")).orderBy(order))
-    return whole.withColumn("n", n).filter("n = 1").select(key, order, "item")
+    """key, order, item: items that start in lower case or with and, or, with, affiliated, achieving go on the one before,
+    if there is one; items already there (in any case) are left out; so, at the end, are those that another one holds."""
+    x = items.select(key, F.struct(F.col(order).alias("o"), tidy(F.col("item")).alias("item")).alias("x")).filter("x.item IS NOT NULL")
+    per = x.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"))  # one person's list
+    first = lambda c: F.substring(c, 1, 1)
+    goes_on = lambda c: (first(c) != F.upper(first(c))) | F.lower(c).rlike("^(and|or|with|affiliated|achieving) ")
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["o"].alias("o"), F.concat(last["item"], F.lit(" "), s["item"]).alias("item"))
+        joined = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), longer)
+        known = F.exists(acc, lambda k: F.lower(k["item"]) == F.lower(s["item"]))
+        return F.when((F.size(acc) > 0) & goes_on(s["item"]), joined).when(known, acc).otherwise(F.array_append(acc, s))
+
+    whole = per.select(key, F.aggregate("xs", F.array().cast(per.schema["xs"].dataType), step).alias("xs"))
+    held = lambda s: F.exists("xs", lambda k: (F.lower(k["item"]) != F.lower(s["item"])) & F.contains(F.lower(k["item"]), F.lower(s["item"])))
+    return whole.select(key, F.explode(F.filter("xs", lambda s: ~held(s))).alias("s")).select(key, F.col("s.o").alias(order), F.col("s.item").alias("item"))
 
 
 def compare_form(c: Column) -> Column:

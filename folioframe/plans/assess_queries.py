@@ -20,7 +20,7 @@ STORY = ("Built a sensor with esp 32 and mqtt for five farms", "", "It uses pand
 WEB = ("https://github.com/x/y", "", "github.com/x", "http://a.example/p", "ftp://b", "HTTPS://LinkedIn.com/in/z")
 SKILL = ("Python", "python", "GPA: 8.2", "Jan 2020", "Bachelor of Arts", "3.5", "Hill College club", "Docker", "  SQL ", "", "• Go", "2014 - 2018", "Apache Spark", "University tools", "Pandas", "CGPA 9")
 ITEM = ("Chess club", "and reading", "Hiking, the hills", "hiking hills", "First prize", "", "with honours", "Go", "FIRST PRIZE", "Chess", "an open source group", "Devloping games")
-NAME = ("Ana Silva", "Ben", "Chloe 2 Novak", "Dev Rao Email:", "", "Elena van der Berg Lindqvist Okafor", "Farid  Rao | Phone")
+NAME = ("Ana Silva", "Ben", "Chloe 2 Novak", "Dev Rao Email:", "", "Elena van der Berg Lindqvist Okafor", "Farid  Rao - Phone")
 HEADLINE = ("Data Engineer", "", "Pune, India", "see https://x.example", "Builder of things — fast", "mail me@x.org")
 CRUSHED = ("Createapipelineusing pandas", "DevlopinganAI agent , , for 40k users", "builtWith 3ms delay,", "", "records 500k by ESP32 andReact", "using Lang Chain and Py MuPDF", "PrototypedofpowerbankBoard 2Units", "trainedOn F1 data", "BUILT IT")
 HEAD_LINES = ("Ana Silva", "ana@mail.example.org", "Phone: 555", "", "Engineer of things", "www.a.example", "+1 555 010 0199", "Ana Silva", "see https://b.example")
@@ -39,7 +39,7 @@ VIEWS |= {
     "profile_counts": f"SELECT c_custkey AS cand_id, {_pick(NAME, 'c_custkey')} AS name, CASE WHEN c_custkey % 2 = 0 THEN 'a@b.org' END AS email, '' AS phone, c_custkey % 3 AS links, c_custkey % 2 AS degrees, c_custkey % 4 AS jobs, c_custkey % 5 AS projects, c_custkey % 9 AS skills, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 2 END AS awards, 1 AS interests FROM customer",
     "people": f"""SELECT c_custkey AS cand_id, {_pick(NAME, 'c_custkey')} AS name, CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN 'ana@mail.example.org' WHEN c_custkey % 4 = 2 THEN 'a@b.org' ELSE 'me at x' END AS email,
         CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN '+1 555 010 0199' ELSE '555 0199' END AS phone, CASE WHEN c_custkey % 2 = 0 THEN 'Pune, India' ELSE '' END AS location, {_pick(HEADLINE, 'c_custkey')} AS headline FROM customer""",
-    "shown_sections": "SELECT c_custkey AS cand_id, s AS section FROM customer CROSS JOIN (" + " UNION ALL ".join(f"SELECT '{s}' AS s, {i} AS o" for i, s in enumerate(SECTIONS)) + ") z WHERE (c_custkey + o) % 3 <> 0",
+    "shown_sections": "SELECT c_custkey AS cand_id, CASE WHEN (c_custkey + o) % 3 = 0 THEN 'other' ELSE s END AS section FROM customer CROSS JOIN (" + " UNION ALL ".join(f"SELECT '{s}' AS s, {i} AS o" for i, s in enumerate(SECTIONS)) + ") z",
 }
 
 
@@ -202,9 +202,6 @@ ORACLES = {
      g AS (SELECT *, f IS NULL AND coalesce(regexp_matches(d, '\\b(computer science|engineering|data science|civil|commerce|science)\\b', 'i'), false) AS t FROM e),
      h AS (SELECT cand_id, pos, start, i AS institution, CASE WHEN t THEN NULL ELSE d END AS degree, CASE WHEN t THEN d ELSE f END AS field_of_study FROM g)
      SELECT cand_id, pos, institution, degree, field_of_study FROM (SELECT *, row_number() OVER (PARTITION BY cand_id, lower(coalesce(institution, '')), lower(coalesce(degree, '')), lower(start) ORDER BY pos) AS n FROM h WHERE institution IS NOT NULL OR degree IS NOT NULL) WHERE n = 1"""),
-    "repair_list": oracle("list_items", f""", a AS (SELECT cand_id, pos, {_tidy('item')} AS item FROM list_items), b AS (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY pos) AS k FROM a WHERE item IS NOT NULL),
-     c AS (SELECT *, max(CASE WHEN k = 1 OR NOT regexp_matches(item, '^([a-z]|And |Or |With |Affiliated |Achieving )') THEN k END) OVER (PARTITION BY cand_id ORDER BY pos) AS g FROM b),
-     d AS (SELECT cand_id, g, min(pos) AS pos, string_agg(item, ' ' ORDER BY pos) AS item FROM c GROUP BY cand_id, g) SELECT cand_id, min(pos) AS pos, arg_min(item, pos) AS item FROM d GROUP BY cand_id, lower(item)"""),
     "repair_personal": oracle("people", f"""SELECT cand_id, nullif(trim(regexp_replace(regexp_replace({_tidy('name')}, '\\b(email|e-?mail|phone|mobile|linkedin|github|portfolio|website|contact|address)\\s*:?\\s*$', '', 'i'), '\\s+', ' ', 'g'), ' |:-'), '') AS name,
      CASE WHEN lower({_tidy('headline')}) = lower(coalesce({_tidy('location')}, '')) OR headline LIKE '%http%://%' OR headline LIKE '%@%' THEN NULL ELSE {_tidy('headline')} END AS headline FROM people"""),
     "crushed_text": oracle("crushed_items", """, e AS (SELECT * FROM (VALUES ('Createapipelineusing pandas', 'Create a pipeline using pandas'), ('DevlopinganAI agent , , for 40k users', 'Developing an AI agent, for 40k users'), ('builtWith 3ms delay,', 'Built With 3ms delay'),
@@ -226,3 +223,10 @@ ORACLES["sentence_dedupe"] = f"""WITH RECURSIVE t AS (SELECT cand_id, pos, trim(
   SELECT r.cand_id, r.k + 1, CASE WHEN len(list_filter(r.forms, lambda x: contains(x, f.n) OR contains(f.n, x))) > 0 THEN r.forms ELSE list_append(r.forms, f.n) END,
    CASE WHEN len(list_filter(r.forms, lambda x: contains(x, f.n) OR contains(f.n, x))) > 0 THEN r.kept ELSE list_append(r.kept, f.t) END FROM r JOIN f ON f.cand_id = r.cand_id AND f.k = r.k + 1)
  SELECT cand_id, array_to_string(arg_max(kept, k), '; ') AS items FROM r GROUP BY cand_id"""
+_on = "(regexp_matches(f.item, '^[a-z]') OR regexp_matches(lower(f.item), '^(and|or|with|affiliated|achieving) '))"
+ORACLES["repair_list"] = f"""WITH RECURSIVE t AS (SELECT cand_id, pos, {_tidy('item')} AS item FROM ({_views_sql})), f AS (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY pos) AS k FROM t WHERE item IS NOT NULL),
+ r AS (SELECT cand_id, k, [item] AS items, [pos] AS ps FROM f WHERE k = 1 UNION ALL
+  SELECT r.cand_id, r.k + 1, CASE WHEN {_on} THEN list_append(r.items[1:len(r.items) - 1], concat(r.items[len(r.items)], ' ', f.item)) WHEN list_contains(list_transform(r.items, lambda x: lower(x)), lower(f.item)) THEN r.items ELSE list_append(r.items, f.item) END,
+   CASE WHEN {_on} OR list_contains(list_transform(r.items, lambda x: lower(x)), lower(f.item)) THEN r.ps ELSE list_append(r.ps, f.pos) END FROM r JOIN f ON f.cand_id = r.cand_id AND f.k = r.k + 1),
+ w AS (SELECT cand_id, arg_max(items, k) AS items, arg_max(ps, k) AS ps FROM r GROUP BY cand_id), u AS (SELECT cand_id, unnest(items) AS item, unnest(ps) AS pos FROM w)
+ SELECT cand_id, pos, item FROM u WHERE NOT EXISTS (SELECT 1 FROM u o WHERE o.cand_id = u.cand_id AND lower(o.item) <> lower(u.item) AND contains(lower(o.item), lower(u.item)))"""

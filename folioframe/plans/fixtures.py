@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2024-06-30"
-_pick = lambda names, n: f"split_part('{'|'.join(names)}', '|', CAST({n} % {len(names)} AS INT) + 1)"
+_pick = lambda names, n: f"split_part('{'|'.join(names)}', '|', CAST(({n}) % {len(names)} AS INT) + 1)"
 
 FIRST = ("Ana", "Ben", "Chloe", "Dev", "Elena", "Farid", "Grace")
 LAST = ("Silva", "Okafor", "Novak", "Rao", "Lindqvist")
 COMPANIES = ("Northwind Labs", "Google India", "Oracle Systems", "Contoso Ltd", "Fabrikam", "Intel Group", "Initech", "Zoho Corp", "Hooli Technologies")
 TITLES = ("Software Engineer", "Senior Engineer", "Data Analyst", "Engineering Manager", "Intern", "Principal Architect", "Associate Consultant", "Developer", "Director of Data", "Machine Learning Engineer", "Backend Developer")
-RAW_SKILLS = ("python 3", "React (Advanced)", "k8s", "Languages: Go", "scikit-learn", "websocket", "PostgreSQL", "C++", "docker (basic)", "apache spark", "SAP ABAP", "rest api", "team work", "Machine Learning", "aws", "postgre sql", "node.js", "ETL design", "HTML5", "pyspark")
+RAW_SKILLS = ("python 3", "React (Advanced)", "k8s", "Languages: Go", "scikit-learn", "websocket", "PostgreSQL", "C++", "docker (basic)", "apache spark", "SAP ABAP", "rest api", "team work", "Machine Learning", "aws", "postgre sql", "node.js", "ETL design", "HTML5", "pyspark", "Machine Learnings", "JavaScripts", "my postgresql")
 HEADINGS = ("WORK EXPERIENCE:", "1. Education", "TechnicalSkills", "Éducation", "certifications", "activities", "Projects -", "about me", "Honors & Awards", "work experience history", "skills core")
 RANGES = ("Jan 2020 – Present", "Jan-Mar 2021", "2019-21", "Jan''19 - Feb''20", "03/2020 to 05/2021", "Engineer since 2020", "from May 2019 to Present", "2020 till date", "Class of 1998", "Sept 2018 to June 2019, Pune", "Acme 2016 - 2018", "12/2021", "no date here")
 GRADES = ("8.4/10", "3.6/4", "87%", "A+", "First Class", "7.9", "3.2", "450/500", "CGPA: 9", ".", "", "Pass", "b-", "GPA: 3.95", "101")

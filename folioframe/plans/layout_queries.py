@@ -27,8 +27,8 @@ VIEWS |= {
         FROM orders CROSS JOIN (SELECT 'docling' AS s, 0 AS o, 0 AS p UNION ALL SELECT 'docling', 0, 1 UNION ALL SELECT 'pdfplumber', 1, 0 UNION ALL SELECT 'pdfplumber', 1, 1 UNION ALL SELECT 'pdfplumber', 1, 2) z""",
     "sized_lines": f"""SELECT l_suppkey AS doc_id, CAST(l_linenumber AS BIGINT) AS page, l_orderkey AS line_no, {_pick(LINES, 'l_orderkey + l_partkey')} AS text, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE CAST(8 + l_quantity % 7 AS DOUBLE) END AS size, l_returnflag = 'R' AS bold FROM lineitem""",
     "written_dates": f"SELECT o_orderkey AS doc_id, {_pick(DATES, 'o_orderkey')} AS raw, CAST(o_orderdate AS DATE) AS start_date, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 - 50 AS INT) END AS end_date FROM orders",
-    "eval_rows": f"SELECT o_orderkey AS doc_id, concat('sample_', CAST(o_orderkey % 400 AS STRING)) AS stem, CAST(o_orderkey * 7 % 101 AS DOUBLE) / 100 AS score, {_pick(('skills', 'education', 'experience', 'projects', 'contact'), 'o_orderkey')} AS section FROM orders",
-    "eval_meta": f"SELECT concat('sample_', CAST(c_custkey AS STRING)) AS stem, {_pick(('two_column', 'plain', 'scanned'), 'c_custkey')} AS archetype FROM customer WHERE c_custkey % 3 <> 0",
+    "eval_rows": f"SELECT o_orderkey AS doc_id, concat('sample_', CAST(o_orderkey % 2000 AS STRING)) AS stem, CAST(o_orderkey * 7 % 101 AS DOUBLE) / 100 AS score, {_pick(('skills', 'education', 'experience', 'projects', 'contact'), 'o_orderkey')} AS section FROM orders",
+    "eval_meta": f"SELECT concat('sample_', CAST(c_custkey AS STRING)) AS stem, {_pick(('two_column', 'plain', 'scanned'), 'c_custkey')} AS archetype FROM customer",
 }
 
 
@@ -93,10 +93,12 @@ QUERIES = {f.__name__: f for f in (words_to_lines, box_relations, box_origin, re
 _d = lambda x: f"CAST({x} AS DOUBLE)"
 _cover = f"CASE WHEN pages > 0 THEN pages_with_lines / {_d('pages')} ELSE {_d(0)} END"
 _fonts = f"CASE WHEN lines > 0 THEN font_lines / {_d('lines')} ELSE {_d(0)} END"
-_score = " + ".join(f"least({c} / {_d(m)}, {_d(1)}) * {_d(w)}" for c, m, w in (("lines", 60, 0.28), ("blocks", 20, 0.08), ("sections", 5, 0.24), ("headings", 8, 0.12)))
-_score += f" + {_cover} * {_d(0.1)} + least(urls / {_d(2)}, {_d(1)}) * {_d(0.04)} + least(table_skills / {_d(4)}, {_d(1)}) * {_d(0.06)} + two_column_pages / {_d('greatest(pages, 1)')} * {_d(0.05)} + {_fonts} * {_d(0.03)}"
-_score += f" + CASE WHEN source = 'docling' AND table_skills > 0 THEN {_d(0.04)} ELSE {_d(0)} END + CASE WHEN source = 'pdfplumber' AND two_column_pages > 0 THEN {_d(0.03)} ELSE {_d(0)} END + CASE WHEN source = 'pdfplumber' AND {_fonts} >= {_d(0.75)} THEN {_d(0.02)} ELSE {_d(0)} END"
-_best = f", sc AS (SELECT *, round({_score}, 3) AS score FROM readers), be AS (SELECT doc_id, source, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sections DESC, headings DESC, lines DESC, blocks DESC, ord) AS n FROM sc) WHERE n = 1)"
+_points = " + ".join(f"least({c}, {most}) * {w}" for c, (w, most) in layout.READER_POINTS.items())
+_points += " + CASE WHEN source = 'docling' AND table_skills > 0 THEN 120 ELSE 0 END + CASE WHEN source = 'pdfplumber' AND two_column_pages > 0 THEN 90 ELSE 0 END + CASE WHEN source = 'pdfplumber' AND lines > 0 AND font_lines * 4 >= lines * 3 THEN 60 ELSE 0 END"
+_p, _l = "greatest(pages, 1)", "greatest(lines, 1)"
+_parts = f"(({_points}) * {_p} * {_l} + (CASE WHEN pages > 0 THEN pages_with_lines ELSE 0 END * 300 + two_column_pages * 150) * {_l} + CASE WHEN lines > 0 THEN font_lines ELSE 0 END * 90 * {_p})"
+_score = f"(({_parts} * 2 + {_p} * {_l} * 3) // ({_p} * {_l} * 6)) / {_d(1000)}"
+_best = f", sc AS (SELECT *, {_score} AS score FROM readers), be AS (SELECT doc_id, source, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sections DESC, headings DESC, lines DESC, blocks DESC, ord) AS n FROM sc) WHERE n = 1)"
 _merged = lambda v: f"""{_best}, it AS (SELECT f.doc_id, f.value, row_number() OVER (PARTITION BY f.doc_id ORDER BY f.source <> b.source, f.ord, f.pos) AS k FROM found_urls f JOIN be b USING (doc_id)),
  fi AS (SELECT doc_id, min(k) AS k, arg_min(value, k) AS value FROM it GROUP BY doc_id, {v}) SELECT doc_id, string_agg(value, '; ' ORDER BY k) AS values FROM fi GROUP BY doc_id"""
 _median = "median(size) OVER (PARTITION BY doc_id, page)"
@@ -112,7 +114,7 @@ ORACLES = {
      page_a = page_b AND greatest(least(ax0, ax1), least(bx0, bx1)) <= least(greatest(ax0, ax1), greatest(bx0, bx1)) AND greatest(least(ay0, ay1), least(by0, by1)) <= least(greatest(ay0, ay1), greatest(by0, by1)) AS meets FROM boxes"""),
     "box_origin": oracle("boxes", """, f AS (SELECT pair, ay0, ay1, origin ILIKE '%bottom%' OR ((origin IS NULL OR origin = '') AND ay0 > ay1) AS low FROM boxes)
      SELECT pair, CASE WHEN low THEN 800 - greatest(ay0, ay1) ELSE least(ay0, ay1) END AS top, CASE WHEN low THEN 800 - least(ay0, ay1) ELSE greatest(ay0, ay1) END AS bottom FROM f"""),
-    "reader_scores": oracle("readers", f"SELECT doc_id, source, round({_cover}, 3) AS coverage, round({_score}, 3) AS score FROM readers"),
+    "reader_scores": oracle("readers", f"SELECT doc_id, source, round({_cover}, 3) AS coverage, {_score} AS score FROM readers"),
     "best_reader": oracle("readers", f"{_best} SELECT * FROM be"),
     "merge_reader_urls": oracle("readers found_urls", _merged("value")),
     "merge_reader_skills": oracle("readers found_urls", _merged("lower(value)")),

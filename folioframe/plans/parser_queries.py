@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import entries, locate, parsers, sections
+from .education_queries import GROUPS_ORACLE
 from .fixtures import oracle, view
 
 
@@ -46,6 +47,7 @@ QUERIES = {f.__name__: f for f in (education_groups, experience_entries, project
 _named = ", ".join(f"CASE WHEN regexp_matches(text, '{pattern.replace('(?!script)', '')}') THEN '{name}' END" for name, pattern in parsers.BULLET_TECH.items())
 _flat = "regexp_replace(lower(trim({})), '[.\\-_\\s]+', '', 'g')"
 ORACLES = {
+    "education_groups": GROUPS_ORACLE,
     "implied_skills": oracle("raw_skills resume_lines", f""", k AS (SELECT cand_id, list(raw ORDER BY pos) AS known FROM raw_skills GROUP BY 1), t AS (SELECT doc_id AS cand_id, lower(string_agg(line, ' ' ORDER BY line_no)) AS text FROM resume_lines GROUP BY 1),
      f AS (SELECT cand_id, known, list_transform(known, lambda s: lower(trim(s))) AS has, list_transform(known, lambda s: {_flat.format('s')}) AS short, list_filter([{_named}], lambda s: s IS NOT NULL) AS found FROM k JOIN t USING (cand_id))
      SELECT cand_id, array_to_string(list_concat(known, list_filter(found, lambda s: NOT list_contains(has, lower(s)) AND NOT list_contains(short, {_flat.format('s')}))), ',') AS skills FROM f"""),

@@ -5,12 +5,12 @@ import math
 import duckdb
 import pytest
 
-from folioframe.plans import assess_queries, career_queries, entry_queries, layout_queries, locate_queries, parser_queries, profile_queries, table_queries, text_queries
+from __spark_entry__ import PLANS
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "int": "INTEGER"}
-QUERIES = {n: (f, m.ORACLES.get(n)) for m in (assess_queries, layout_queries, career_queries, text_queries, entry_queries, locate_queries, parser_queries, profile_queries, table_queries) for n, f in m.QUERIES.items()}
+QUERIES = {n: (f, m.ORACLES.get(n)) for m in PLANS for n, f in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
