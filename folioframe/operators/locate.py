@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.contacts import EMAIL, URL
 from ..functions.text import dice, tokens, words
-from .sections import block_features, clean_heading, section_scores
+from .sections import clean_heading
+from .signatures import block_features, section_scores
 
 #: Words that mark an institution, and cities known without their state.
 INSTITUTIONS = "university|college|institute|school|academy"

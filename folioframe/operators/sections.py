@@ -1,4 +1,4 @@
-"""Section headings: dictionary, exact and fuzzy matches, splitting of lines into sections, signatures of blocks."""
+"""Section headings: dictionary, exact and fuzzy matches, splitting of lines into sections."""
 
 from __future__ import annotations
 
@@ -43,15 +43,6 @@ def _headings() -> dict[str, tuple[str, ...]]:
 
 
 HEADINGS = _headings()
-#: Words whose presence marks a block, by kind.
-KEYWORDS = {
-    "tech": "python java sql spark docker kubernetes react node aws azure linux git html css javascript typescript kafka redis postgresql mongodb tensorflow".split(),
-    "role": "engineer developer intern manager analyst consultant architect lead designer scientist administrator specialist".split(),
-    "org": "inc ltd llc technologies solutions labs systems pvt corporation company group".split(),
-    "degree": "bachelor master phd diploma b.tech m.tech degree university college school institute cgpa gpa".split(),
-    "project": "built developed implemented designed created application app website system platform model".split(),
-    "award": "award winner prize medal scholarship hackathon ranked finalist honor".split(),
-}
 
 
 def fold(c: Column) -> Column:
@@ -113,37 +104,3 @@ def fill_sections(marked: DataFrame, key: str = "doc_id", order: str = "line_no"
     bullet = F.col("line").rlike(r"^\s*[•▪●\-–—*]\s")
     own = F.when(~bullet, F.col("section"))
     return marked.withColumn("__own", own).withColumn("in_section", F.coalesce(F.last("__own", ignorenulls=True).over(before), F.lit("header"))).filter(F.col("__own").isNull()).drop("__own")
-
-
-def block_features(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per block of lines: counts that tell sections apart. Keywords count once each, as whole words."""
-    text = F.concat(F.lit(" "), F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ")), F.lit(" "))
-    ranges = r"(?:19|20)\d{2}\s*(?:-|–|to)\s*(?:(?:19|20)\d{2}|[Pp]resent)"
-    x = lines.groupBy(key).agg(
-        F.count(F.lit(1)).alias("line_count"), F.round(F.avg(F.length("line")), 3).alias("avg_len"),
-        F.count_if(F.col("line").rlike(r"^\s*[•▪●\-–—*]\s")).alias("bullets"), F.count_if(F.col("line").rlike(ranges)).alias("ranges"),
-        F.count_if(F.col("line").rlike(r"https?://|www\.")).alias("urls"), F.count_if(F.col("line").rlike(r"(?i)\b(?:c?gpa|percentage)\b")).alias("grades"), text.alias("__t"),
-    )
-    has = lambda w: F.col("__t").rlike(r"(?<![a-z0-9])" + w.replace(".", r"\.") + r"(?![a-z0-9])").cast("int")
-    return x.select(*[c for c in x.columns if c != "__t"], *[sum((has(w) for w in ws), F.lit(0)).alias(kind) for kind, ws in KEYWORDS.items()])
-
-
-def section_scores(features: DataFrame) -> DataFrame:
-    """features with a score of each section's signature, the best section, and its score; none under 0.25."""
-    f = F.col
-    on = lambda c, v: F.when(c, v).otherwise(0.0)
-    part = lambda c, by, top: F.least(f(c) / float(by), F.lit(top))
-    one = lambda c: F.least(F.round(c, 6), F.lit(1.0))
-    no_bullet, no_range = f("bullets") == 0, f("ranges") == 0
-    scores = {
-        "skills": on(f("tech") >= 2, 0.4 + part("tech", 20, 0.4)) + on(no_bullet & no_range & (f("tech") >= 3), 0.15) + on((f("avg_len") < 80) & no_bullet & (f("tech") >= 2), 0.1),
-        "experience": on(f("ranges") >= 1, 0.3) + on(f("role") >= 1, 0.2 + part("role", 5, 0.2)) + on(f("org") >= 1, 0.15) + on(f("bullets") >= 2, 0.2) + on((f("ranges") > 0) & (f("bullets") > 0), 0.15),
-        "education": on(f("degree") >= 1, 0.5) + on(f("grades") >= 1, 0.2) + on(f("degree") >= 2, 0.2 + part("degree", 8, 0.2)),
-        "projects": on(f("project") >= 2, 0.3 + part("project", 8, 0.3)) + on((f("tech") >= 1) & (f("bullets") >= 1) & no_range, 0.2) + on((f("urls") > 0) & (f("bullets") > 0), 0.15),
-        "awards": on(f("award") >= 1, 0.3 + part("award", 5, 0.3)) + on((f("bullets") > 0) & (f("award") > 0), 0.15),
-        "summary": on(no_bullet & no_range, F.when(f("avg_len") > 80, 0.55).when(f("avg_len") > 55, 0.45).when(f("avg_len") > 40, 0.30).otherwise(0.0)) + on(no_bullet & no_range & (f("line_count") <= 4) & (f("avg_len") > 50), 0.15),
-        "interests": on((f("avg_len") < 40) & (f("bullets") > 0) & no_range, 0.2) + on((f("bullets") >= 2) & (f("tech") == 0) & no_range, 0.1),
-    }
-    out = features.select("*", *[one(s).alias(f"{k}_score") for k, s in scores.items()])
-    best = F.array_max(F.array(*[F.struct(F.col(f"{k}_score").alias("score"), F.lit(-i).alias("ord"), F.lit(k).alias("name")) for i, k in enumerate(scores)]))
-    return out.withColumn("best_section", F.when(best["score"] >= 0.25, best["name"])).withColumn("best_score", best["score"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2024-06-30"
-_pick = lambda names, n: f"split_part('{'|'.join(names)}', '|', CAST(({n}) % {len(names)} AS INT) + 1)"
+_pick = lambda names, n: f"split_part('{'¦'.join(names)}', '¦', CAST(({n}) % {len(names)} AS INT) + 1)"
 
 FIRST = ("Ana", "Ben", "Chloe", "Dev", "Elena", "Farid", "Grace")
 LAST = ("Silva", "Okafor", "Novak", "Rao", "Lindqvist")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import contacts
 from ..functions.text import ENGLISH_WORDS
-from ..operators import quality, sections
+from ..operators import quality, sections, signatures
 from .fixtures import oracle, view
+from .signature_sql import COUNTS, signed
 
 
 def _docs(spark, sf_dir):
@@ -97,11 +98,11 @@ def section_sizes(spark, sf_dir):
 
 
 def block_features(spark, sf_dir):
-    return sections.block_features(view(spark, sf_dir, "resume_lines"))
+    return signatures.block_features(view(spark, sf_dir, "resume_lines"))
 
 
 def section_signature(spark, sf_dir):
-    return sections.section_scores(block_features(spark, sf_dir)).select("doc_id", "skills_score", "experience_score", "education_score", "projects_score", "best_section", "best_score")
+    return signatures.section_scores(block_features(spark, sf_dir)).select("doc_id", *[f"{k}_score" for k in signatures.KINDS], "best_section", "best_score")
 
 
 QUERIES = {f.__name__: f for f in (line_quality_stats, language_gate, candidate_score, select_candidate, input_quality_gate, corpus_tags, truth_status, email_extract, phone_extract, name_like, url_links, page_hosts, heading_exact, heading_fuzzy, section_forward_fill, section_sizes, block_features, section_signature)}
@@ -135,19 +136,8 @@ def _fuzzy_values():
     return ", ".join(f"('{k}', '{min(v)[2]}')" for k, v in best.items())
 
 
-_has = lambda w: "CAST(regexp_matches(t, '(^|[^a-z0-9])" + w.replace(".", r"\.") + "([^a-z0-9]|$)') AS INT)"
-_feat = r"""bf AS (SELECT doc_id, count(*) AS line_count, round(avg(length(line)), 3) AS avg_len, count(*) FILTER (WHERE regexp_matches(line, '^\s*[•▪●\-–—*]\s')) AS bullets,
- count(*) FILTER (WHERE regexp_matches(line, '(?:19|20)\d{2}\s*(?:-|–|to)\s*(?:(?:19|20)\d{2}|[Pp]resent)')) AS ranges, count(*) FILTER (WHERE regexp_matches(line, 'https?://|www\.')) AS urls, count(*) FILTER (WHERE regexp_matches(line, '(?i)\b(?:c?gpa|percentage)\b')) AS grades,
- ' ' || lower(string_agg(line, ' ' ORDER BY line_no)) || ' ' AS t FROM resume_lines GROUP BY doc_id), ft AS (SELECT * EXCLUDE (t), """ + ", ".join("CAST(" + " + ".join(map(_has, ws)) + f" AS INT) AS {k}" for k, ws in sections.KEYWORDS.items()) + " FROM bf)"
+_blocks = f"bl AS (SELECT doc_id, list(line ORDER BY line_no) AS lines FROM resume_lines GROUP BY doc_id), {signed('bl', 'sg')}"
 _D = lambda v: f"CAST({v} AS DOUBLE)"
-_sig = f"""s AS (SELECT *, least(round(CASE WHEN tech >= 2 THEN {_D(.4)} + least(tech / 20, {_D(.4)}) ELSE 0 END + CASE WHEN bullets = 0 AND ranges = 0 AND tech >= 3 THEN {_D(.15)} ELSE 0 END + CASE WHEN avg_len < 80 AND bullets = 0 AND tech >= 2 THEN {_D(.1)} ELSE 0 END, 6), 1) AS skills_score,
- least(round(CASE WHEN ranges >= 1 THEN {_D(.3)} ELSE 0 END + CASE WHEN role >= 1 THEN {_D(.2)} + least(role / 5, {_D(.2)}) ELSE 0 END + CASE WHEN org >= 1 THEN {_D(.15)} ELSE 0 END + CASE WHEN bullets >= 2 THEN {_D(.2)} ELSE 0 END + CASE WHEN ranges > 0 AND bullets > 0 THEN {_D(.15)} ELSE 0 END, 6), 1) AS experience_score,
- least(round(CASE WHEN degree >= 1 THEN {_D(.5)} ELSE 0 END + CASE WHEN grades >= 1 THEN {_D(.2)} ELSE 0 END + CASE WHEN degree >= 2 THEN {_D(.2)} + least(degree / 8, {_D(.2)}) ELSE 0 END, 6), 1) AS education_score,
- least(round(CASE WHEN project >= 2 THEN {_D(.3)} + least(project / 8, {_D(.3)}) ELSE 0 END + CASE WHEN tech >= 1 AND bullets >= 1 AND ranges = 0 THEN {_D(.2)} ELSE 0 END + CASE WHEN urls > 0 AND bullets > 0 THEN {_D(.15)} ELSE 0 END, 6), 1) AS projects_score,
- least(round(CASE WHEN award >= 1 THEN {_D(.3)} + least(award / 5, {_D(.3)}) ELSE 0 END + CASE WHEN bullets > 0 AND award > 0 THEN {_D(.15)} ELSE 0 END, 6), 1) AS awards_score,
- least(round(CASE WHEN bullets = 0 AND ranges = 0 THEN CASE WHEN avg_len > 80 THEN {_D(.55)} WHEN avg_len > 55 THEN {_D(.45)} WHEN avg_len > 40 THEN {_D(.3)} ELSE 0 END + CASE WHEN line_count <= 4 AND avg_len > 50 THEN {_D(.15)} ELSE 0 END ELSE 0 END, 6), 1) AS summary_score,
- least(round(CASE WHEN avg_len < 40 AND bullets > 0 AND ranges = 0 THEN {_D(.2)} ELSE 0 END + CASE WHEN bullets >= 2 AND tech = 0 AND ranges = 0 THEN {_D(.1)} ELSE 0 END, 6), 1) AS interests_score FROM ft),
- b AS (SELECT *, list_max([(skills_score, 0, 'skills'), (experience_score, -1, 'experience'), (education_score, -2, 'education'), (projects_score, -3, 'projects'), (awards_score, -4, 'awards'), (summary_score, -5, 'summary'), (interests_score, -6, 'interests')]) AS m FROM s)"""
 _lang = f"""x AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda u: trim(u)), lambda u: u <> ''), ' ') AS b FROM documents),
  y AS (SELECT doc_id, b, length(regexp_replace(b, '[^\\x{{0900}}-\\x{{097F}}\\x{{0600}}-\\x{{06FF}}\\x{{0400}}-\\x{{04FF}}\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}]', '', 'g')) AS f, length(regexp_replace(b, '\\P{{L}}', '', 'g')) AS a, length(regexp_replace(b, '[^A-Za-z]', '', 'g')) AS l, list_slice(regexp_extract_all(b, '[A-Za-z][A-Za-z0-9+#./&-]*'), 1, 250) AS w FROM x),
  z AS (SELECT *, CASE WHEN a > 0 THEN l / a ELSE 0 END AS lr, CASE WHEN a > 0 THEN f / a ELSE 0 END AS fr, len(list_filter(w, lambda q: lower(q) IN ({_words}))) AS h, len(w) AS n FROM y),
@@ -184,7 +174,7 @@ ORACLES = {
     "heading_fuzzy": oracle("resume_lines", f", {_norm}, fz(tokens, section) AS (VALUES {_fuzzy_values()}), tk AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split(norm, ' '), lambda w: length(w) > 2))) AS t FROM nl) SELECT doc_id, line_no, section FROM tk JOIN fz ON array_to_string(t, ' ') = tokens WHERE len(t) BETWEEN 1 AND 4"),
     "section_forward_fill": oracle("resume_lines", FILL + " SELECT doc_id, line_no, section FROM fl WHERE own IS NULL"),
     "section_sizes": oracle("resume_lines", FILL + " SELECT section, count(*) AS lines, count(DISTINCT doc_id) AS documents FROM fl WHERE own IS NULL GROUP BY section"),
-    "block_features": oracle("resume_lines", f", {_feat} SELECT * FROM ft"),
-    "section_signature": oracle("resume_lines", f", {_feat}, {_sig} SELECT doc_id, CAST(skills_score AS DOUBLE) AS skills_score, CAST(experience_score AS DOUBLE) AS experience_score, CAST(education_score AS DOUBLE) AS education_score, CAST(projects_score AS DOUBLE) AS projects_score, CASE WHEN m[1] >= 0.25 THEN m[3] END AS best_section, CAST(m[1] AS DOUBLE) AS best_score FROM b"),
+    "block_features": oracle("resume_lines", f", {_blocks} SELECT doc_id, {', '.join(COUNTS)} FROM sg"),
+    "section_signature": oracle("resume_lines", f", {_blocks} SELECT doc_id, {', '.join(f'{k}_score' for k in signatures.KINDS)}, best_section, best_score FROM sg"),
 }
 ORACLES |= {f"pii_mask_{h}": oracle("candidates", f", c AS (SELECT *, regexp_replace(phone, '[^0-9]', '', 'g') AS d, split_part(email, '@', 1) AS u FROM candidates) SELECT cand_id, {n} AS name, {e} AS email, {p} AS phone FROM c") for h, (n, e, p) in _masks.items()}

@@ -10,7 +10,7 @@ from folioframe.plans.fixtures import VIEWS
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem".split()
-PICK = re.compile(r"split_part\('((?:[^']|'')*)', '\|', CAST\(\([^']*?\) % \d+ AS INT\) \+ 1\) AS (\w+)")
+PICK = re.compile(r"split_part\('((?:[^']|'')*)', '¦', CAST\(\([^']*?\) % \d+ AS INT\) \+ 1\) AS (\w+)")
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +26,7 @@ def test_columns_hold_their_value_lists(duck, name):
     assert duck.execute(f"SELECT count(*) FROM ({VIEWS[name]})").fetchone()[0] > 0
     for listed, column in PICK.findall(VIEWS[name]):
         got = {r[0] for r in duck.execute(f"SELECT DISTINCT {column} FROM ({VIEWS[name]})").fetchall()}
-        assert got == set(listed.replace("''", "'").split("|")), column
+        assert got == set(listed.replace("''", "'").split("¦")), column
 
 
 @pytest.mark.parametrize("name", sorted(n for m in PLANS for n in m.ORACLES))
