@@ -139,7 +139,7 @@ def _said(text: Column) -> Column:
 
 def barred_records(lines: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
     """key, order, barred: the records of lines of three or more parts between bars."""
-    x = lines.select(key, order, F.filter(F.transform(F.split("line", r"\|"), F.trim), lambda p: p != "").alias("parts"), F.size(F.split("line", r"\|")).alias("bars"))
+    x = lines.select(key, order, F.filter(F.transform(F.split("line", r"\|"), lambda p: F.trim(p)), lambda p: p != "").alias("parts"), F.size(F.split("line", r"\|")).alias("bars"))
     x = x.filter((F.col("bars") > 2) & (F.size("parts") > 2)).select(key, order, F.posexplode("parts").alias("no", "part")).withColumn("dr", date_range(F.col("part")))
     rest = F.when(F.trim("dr.remaining") != "", F.trim("dr.remaining")).otherwise(F.col("part"))
     grade = F.trim(F.coalesce(_group(F.col("part"), NAMED_GRADE, 2), _group(F.col("part"), GRADE_FIRST, 1)))

@@ -153,7 +153,7 @@ def experience_entries(lines: DataFrame, key: str = "doc_id", order: str = "line
 def inline_items(text: Column) -> Column:
     """Items between bullet signs, else between commas and slashes."""
     parts = F.when(text.rlike(f"[{SIGNS}]"), F.split(text, f"[{SIGNS}]")).otherwise(F.split(text, "[,/]"))
-    return F.transform(F.filter(F.transform(parts, F.trim), lambda p: p != ""), lambda p: F.regexp_replace(p, r"^[•\-*]+|[•\-*]+$", ""))
+    return F.transform(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), lambda p: F.regexp_replace(p, r"^[•\-*]+|[•\-*]+$", ""))
 
 
 def address(text: Column) -> Column:
@@ -168,7 +168,7 @@ def _short(items: Column, most: int = 3) -> Column:
 
 def project_header(text: Column) -> Column:
     """struct(name, url, items) of a header "name | technologies | address"; name is null without a letter."""
-    parts = F.filter(F.transform(F.split(text, r"\s*\|\s*"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, r"\s*\|\s*"), lambda p: F.trim(p)), lambda p: p != "")
     bare = F.filter(F.transform(parts, lambda p: F.when(p.rlike(ADDRESS), F.regexp_replace(F.regexp_replace(p, ADDRESS, ""), "^[ ,:-]+|[ ,:-]+$", "")).otherwise(p)), lambda p: p != "")
     listed = lambda p: (F.size(inline_items(p)) >= 2) & F.forall(inline_items(p), lambda i: F.size(words(i)) <= 3)
     name = F.coalesce(F.get(F.filter(bare, lambda p: ~listed(p)), F.lit(0)), F.get(parts, F.lit(0)))

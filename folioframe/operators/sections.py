@@ -10,45 +10,93 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 CORE_SECTIONS = ("header", "summary", "skills", "experience", "education", "projects")
-#: Headings by rule: per section, words that may go before, words of which one must stand, and headings of their own.
-#: Two heads may be joined by "and" ("skills and tools"), which a "&" reads as.
-_RULES = {
-    "header": ("personal contact general", "information details", "contact"),
-    "summary": ("professional executive career personal resume self cover", "summary profile overview objective background introduction bio highlights goal", "about, about me, about myself, bio, biography, intro, goals, highlights, key highlights, personal statement, statement of purpose, who am i, value proposition, summary, profile, overview, objective, background, introduction"),
-    "skills": ("technical core key professional relevant additional tech software computer digital data coding programming engineering it development soft hard domain devops industry my", "skills competencies expertise proficiency proficiencies knowledge abilities capabilities strengths tools technologies frameworks languages platforms", "skill set, skillset, skill summary, skills summary, skill highlights, skill matrix, technical skill matrix, areas of expertise, area of expertise, areas of knowledge, areas of technical expertise, technology, tech stack, software, technical background, specializations, specialisation, technical specialization, technologies used, technologies known, libraries and frameworks, frameworks and libraries, cloud and devops, what i know, what i do, data science skills, languages frameworks and tools, languages tools and technologies"),
-    "experience": ("work professional relevant industry technical internship research teaching job career applied engineering software it development organizational practical employment", "experience history profile background", "experience, employment, internship, internships, positions, positions held, work, professional work, relevant work experience, professional work experience, industry work experience, experience and employment, work and internship, work and internship experience, training and experience, professional work profile"),
-    "education": ("educational academic scholastic formal", "background qualifications history credentials profile details record education experience achievements", "education, qualifications, degrees, degree, schooling, training, training and education, education and training, studies, study, academics, university, universities, college, colleges, schools, school, academic qualifications and achievements"),
-    "projects": ("personal academic notable side open source key technical relevant engineering research selected featured capstone major mini application live significant software", "projects", "projects, project work, project experience, project portfolio, portfolio, project highlights, project details, projects and portfolio"),
-    "certifications": ("professional technical industry digital", "certifications certificates accreditations licenses credentials", "certifications, certification, certified, certificates, certificate, licenses, license, licences, credentials, accreditations, accreditation, badges, online courses, mooc, moocs, courses and certifications, certifications and licenses, licenses and certifications, continuing education, professional development courses"),
-    "awards": ("academic professional industry notable key competitive merit", "awards achievements honors", "awards, honors, honours, achievements, achievement, competitions, accomplishments, accomplishment, recognition, recognitions, prizes, distinctions, merits, accolades, scholarships, scholarship, fellowships, fellowship, grants, grant, honor roll, dean s list, honors and awards, awards and honors, awards and achievements, achievements and awards, competitions and achievements, recognitions and achievements"),
-    "interests": ("personal outside other leisure recreational", "interests hobbies activities", "interests, hobbies, hobby, activities, extracurricular, extracurricular activities, extra curricular activities, co curricular, cocurricular, co curricular activities, leisure, passions, outside of work, fun facts, hobbies and interests, interests and hobbies, extracurricular and hobbies, sports and hobbies"),
-    "languages": ("language spoken foreign human natural communication linguistic", "languages skills proficiency knowledge", "languages, languages known, multilingual"),
-    "publications": ("research journal conference scientific academic", "publications papers articles", "publications, papers, articles, books, authored works, research work, research, papers published, published works, peer reviewed papers"),
-    "volunteer": ("volunteer community social civic", "work service experience activities involvement engagement", "volunteer, volunteering, non profit, nonprofit, outreach, service"),
-    "references": ("professional character", "references", "references, reference, referees, referee, available upon request, references available"),
-    "courses": ("relevant training academic key selected notable completed", "courses coursework", "courses, coursework, online courses, course highlights"),
-    "activities": ("campus student club leadership organizational social professional academic", "activities organizations memberships associations", "activities, positions of responsibility, clubs and organizations, clubs, organization, organizations, memberships, membership, affiliations, affiliation, associations, association"),
+_listed = lambda s: tuple(w.strip() for w in s.split("; "))
+#: The headings of each section; of a heading that two sections list, the later section counts.
+HEADINGS = {
+    "summary": _listed(
+        "summary; professional summary; executive summary; career summary; about me; about; profile; professional profile; career profile; career objective; objective; professional objective; career goal; "
+        "goals; overview; professional overview; background; personal statement; statement of purpose; bio; biography; introduction; intro; highlights; career highlights; key highlights; professional background; who am i; "
+        "about myself; cover summary; resume summary; self summary; professional bio; career overview; value proposition; professional introduction; candidate profile; executive profile; professional snapshot"
+    ),
+    "skills": _listed(
+        "skills; technical skills; core skills; key skills; professional skills; skill set; skillset; skill summary; areas of expertise; expertise; competencies; core competencies; technical competencies; technical expertise; technologies; "
+        "technology; tech stack; tools; tools & technologies; tools and technologies; programming languages; languages & tools; languages and tools; software; software skills; software proficiency; hard skills; soft skills; "
+        "technical knowledge; knowledge; proficiencies; proficiency; abilities; technical abilities; frameworks; frameworks & libraries; platforms; development skills; programming skills; coding skills; it skills; computer skills; "
+        "skills & technologies; skills and technologies; skills & tools; skills and tools; relevant skills; additional skills; key technical skills; areas of knowledge; technical proficiency; software tools; technical tools; "
+        "digital skills; data skills; skills summary; skill highlights; core technical skills; languages, frameworks & tools; tech skills; engineering skills; skills & expertise; skills and expertise; capabilities; "
+        "technical capabilities; core capabilities; key capabilities; specializations; specialisation; technical specialization; domain expertise; domain skills; technical strengths; core strengths; strengths; "
+        "technologies used; technologies known; tech expertise; language and tools; languages & frameworks; languages and frameworks; tools & frameworks; libraries and frameworks; cloud & devops; devops skills; data science skills; "
+        "development tools; my skills; what i know; what i do; technical background; technical knowledge base; programming knowledge; software development skills; languages & technologies; technologies & tools; "
+        "technical tools & frameworks; programming languages & tools; languages, tools & technologies; area of expertise; areas of technical expertise; technical area of expertise; key technical competencies; industry skills; "
+        "professional competencies; skill matrix; technical skill matrix; relevant technical skills; computer proficiency; technical toolkit; skills inventory; technology stack; technicalskills"
+    ),
+    "experience": _listed(
+        "experience; work experience; professional experience; employment; employment history; work history; career history; professional history; professional background; relevant experience; industry experience; technical experience; "
+        "internship; internships; internship experience; research experience; teaching experience; positions; positions held; job experience; professional activities; work; professional work; career experience; job history; "
+        "relevant work experience; experience & employment; professional work experience; industry work experience; applied experience; engineering experience; software experience; it experience; development experience; "
+        "organizational experience; work & internship experience; work and internship; training & experience; training and experience; practical experience; work profile; professional work profile; employment profile; "
+        "industry exposure; work engagements"
+    ),
+    "education": _listed(
+        "education; educational background; educational qualifications; academic background; academic qualifications; academic history; qualifications; degrees; degree; schooling; training; training & education; education & training; "
+        "academic credentials; credentials; academic profile; educational history; educational details; academic details; studies; study; academic record; educational record; university; universities; college; colleges; "
+        "schools; school; academic education; formal education; academic achievements; academic experience; scholastic details; scholastic background; academic qualifications and achievements; qualification; certification; "
+        "certifications; education profile; academicdetails"
+    ),
+    "projects": _listed(
+        "projects; personal projects; academic projects; project work; project experience; notable projects; side projects; open source projects; key projects; technical projects; relevant projects; project portfolio; portfolio; "
+        "engineering projects; research projects; selected projects; featured projects; capstone projects; major projects; mini projects; application projects; live projects; significant projects; project highlights; "
+        "project details; software projects; projects & portfolio; project; product builds; build log; selected build work; course projects; courseprojects"
+    ),
+    "certifications": _listed(
+        "certifications; certification; certified; licenses; license; licences; credentials; professional certifications; technical certifications; accreditations; accreditation; badges; online courses; mooc; moocs; "
+        "courses & certifications; certificates; certificate; professional certificates; industry certifications; certifications & licenses; certifications and licenses; digital certificates; continuing education; "
+        "professional development courses"
+    ),
+    "awards": _listed(
+        "awards; honors; honours; achievements; achievement; competitions & achievements; competitions and achievements; competitions; competitive achievements; accomplishments; accomplishment; recognition; recognitions; "
+        "awards & honors; honors & awards; awards and honors; prizes; distinctions; merits; accolades; scholarships; scholarship; fellowships; fellowship; grants; grant; academic awards; professional awards; industry awards; "
+        "notable achievements; key achievements; achievements & awards; awards & achievements; achievements and awards; honors and awards; awards and achievements; recognitions & achievements; honor roll; dean's list; merit awards; "
+        "milestones; recognition highlights"
+    ),
+    "interests": _listed(
+        "interests; hobbies; hobbies & interests; interests & hobbies; personal interests; activities; extracurricular; extracurricular activities; outside interests; leisure; recreational activities; passions; other interests; "
+        "personal activities; hobby; leisure activities; co-curricular activities; co curricular; cocurricular; personal hobbies; outside of work; fun facts; extra-curricular activities; extracurricular & hobbies; "
+        "sports & hobbies; other activities; hobbies and interests; beyond work; personal pursuits"
+    ),
+    "languages": _listed("languages; language skills; language proficiency; spoken languages; foreign languages; linguistic skills; human languages; language knowledge; communication languages; multilingual; natural languages; language"),
+    "publications": _listed(
+        "publications; research publications; papers; journal papers; conference papers; articles; research articles; research papers; books; authored works; research work; research; papers published; published works; "
+        "peer reviewed papers; scientific publications; academic publications"
+    ),
+    "volunteer": _listed(
+        "volunteer; volunteering; volunteer experience; volunteer work; community service; social work; non-profit; nonprofit; outreach; community involvement; service; civic involvement; community activities; volunteer activities; "
+        "social service; community engagement; social engagement"
+    ),
+    "references": _listed("references; reference; referees; referee; professional references; character references; available upon request; references available"),
+    "courses": _listed("courses; coursework; relevant courses; relevant coursework; online courses; training courses; academic courses; key courses; selected coursework; notable coursework; course highlights; completed courses"),
+    "activities": _listed(
+        "activities; campus activities; student activities; club activities; leadership activities; organizational activities; social activities; professional activities; academic activities; positions of responsibility; "
+        "clubs & organizations; clubs and organizations; student organizations; clubs; organization; organizations; memberships; membership; affiliations; affiliation; professional memberships; professional associations; "
+        "associations; association"
+    ),
+    "header": _listed("contact; contact information; contact details; personal; personal details; personal information; general information; profile details; candidate details"),
 }
 
 
-def _headings() -> dict[str, tuple[str, ...]]:
-    """Headings by section; a later entry of the same heading replaces an earlier one."""
-    out = {}
-    for section, (before, heads, own) in _RULES.items():
-        heads = heads.split()
-        made = [f"{b} {h}" for b in before.split() for h in heads] + (heads if section == "skills" else [])
-        made += [f"{a} and {b}" for a in heads for b in heads if a != b and section in ("skills", "awards")]
-        out[section] = tuple(dict.fromkeys([*made, *(x.strip() for x in own.split(","))]))
-    return out
+def _folded(heading: str) -> str:
+    return " ".join("".join(c if c.isalnum() or c in "_&+" else " " for c in heading.lower()).split())
 
 
-HEADINGS = _headings()
+def listed_headings() -> dict[str, str]:
+    """Section by heading, in comparison form."""
+    return {_folded(h): s for s, hs in HEADINGS.items() for h in hs}
 
 
 def fold(c: Column) -> Column:
-    """A heading's comparison form: no accents, lower case, letters and digits in single-spaced words."""
+    """A heading's comparison form: no accents, lower case, letters, digits and _ & + in single-spaced words."""
     plain = F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, "&", " and "), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9_&+]+", " "))
 
 
 def clean_heading(c: Column) -> Column:
@@ -57,8 +105,8 @@ def clean_heading(c: Column) -> Column:
 
 
 def heading_dictionary(spark: SparkSession) -> DataFrame:
-    """norm, section: one row per heading (the last section that lists it), and one for its form without spaces."""
-    last = {h: s for s, hs in HEADINGS.items() for h in hs}
+    """norm, section: one row per heading (the last section that lists it counts), and one for its form without spaces."""
+    last = listed_headings()
     compact = {h.replace(" ", ""): s for h, s in last.items()}
     rows = list((compact | last).items())
     return spark.createDataFrame(rows, "norm string, section string")
@@ -77,7 +125,7 @@ def match_headings(lines: DataFrame, dictionary: DataFrame, key: str = "doc_id")
 def fuzzy_dictionary(spark: SparkSession) -> DataFrame:
     """tokens (sorted, joined), section, score: every token subset that matches a heading by three quarters."""
     best: dict[str, tuple[float, int, str]] = {}
-    last = {h: s for s, hs in HEADINGS.items() for h in hs}
+    last = listed_headings()
     for rank, (h, s) in enumerate(last.items()):
         parts = sorted({t for t in h.split() if len(t) > 2})
         for k in range(1, min(4, len(parts)) + 1):

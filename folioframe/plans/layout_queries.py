@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import evaluation, layout
+from ..operators import evaluation, layout, sections
 from .fixtures import VIEWS, _pick, oracle, view
+from .text_queries import _hd, norm_of
 
 WORDS = ("Data", "Engineer", "at", "Northwind", ",", "SKILLS", "Python", ".", "2019", "EDUCATION", "built", "Work", ":")
 LINES = ("SKILLS", "Work Experience", "built things at Northwind", "EDUCATION AND MORE OF IT ALL", "Projects", "one", "", "Ana Silva", "A VERY LONG LINE OF CAPITALS INDEED")
@@ -65,15 +67,17 @@ def merge_reader_skills(spark, sf_dir):
     return layout.merge_found(best_reader(spark, sf_dir), view(spark, sf_dir, "found_urls"), fold=True)
 
 
+def _headed(spark, sf_dir):
+    return sections.match_headings(view(spark, sf_dir, "sized_lines").withColumn("line", F.col("text")), sections.heading_dictionary(spark))
+
+
 def likely_headings(spark, sf_dir):
-    return layout.likely_headings(view(spark, sf_dir, "sized_lines"), F.col("text").isin("SKILLS", "Work Experience", "Projects")).select("doc_id", "page", "line_no", "text", "likely")
+    return layout.likely_headings(_headed(spark, sf_dir), F.col("section").isNotNull()).select("doc_id", "page", "line_no", "text", "likely")
 
 
 def heading_evidence(spark, sf_dir):
-    from pyspark.sql import Window
-
-    lines = view(spark, sf_dir, "sized_lines").withColumn("median", F.coalesce(F.median("size").over(Window.partitionBy("doc_id", "page")), F.lit(10.0)))
-    return layout.heading_evidence(lines.filter(F.col("text").isin("SKILLS", "Work Experience", "Projects"))).select("doc_id", "page", "line_no", "text", "score")
+    lines = _headed(spark, sf_dir).withColumn("median", F.coalesce(F.median("size").over(Window.partitionBy("doc_id", "page")), F.lit(10.0)))
+    return layout.heading_evidence(lines.filter("section IS NOT NULL")).select("doc_id", "page", "line_no", "text", "section", "score")
 
 
 def date_normalize(spark, sf_dir):
@@ -103,6 +107,7 @@ _merged = lambda v: f"""{_best}, it AS (SELECT f.doc_id, f.value, row_number() O
  fi AS (SELECT doc_id, min(k) AS k, arg_min(value, k) AS value FROM it GROUP BY doc_id, {v}) SELECT doc_id, string_agg(value, '; ' ORDER BY k) AS values FROM fi GROUP BY doc_id"""
 _median = "median(size) OVER (PARTITION BY doc_id, page)"
 _count = "len(string_split_regex(trim(text), '\\s+'))"
+_headed_sql = f", {_hd}, ht AS (SELECT *, {norm_of('text')} AS norm FROM sized_lines), hl AS (SELECT ht.*, CASE WHEN len(string_split(ht.norm, ' ')) <= 7 THEN coalesce(a.section, b.section) END AS section FROM ht LEFT JOIN hd a ON ht.norm = a.norm LEFT JOIN hd b ON replace(ht.norm, ' ', '') = b.norm)"
 
 ORACLES = {
     "words_to_lines": f"""WITH RECURSIVE w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY top, x0, word_no) AS k FROM ({VIEWS['page_words']})),
@@ -118,8 +123,8 @@ ORACLES = {
     "best_reader": oracle("readers", f"{_best} SELECT * FROM be"),
     "merge_reader_urls": oracle("readers found_urls", _merged("value")),
     "merge_reader_skills": oracle("readers found_urls", _merged("lower(value)")),
-    "likely_headings": oracle("sized_lines", f"SELECT doc_id, page, line_no, text, trim(text) <> '' AND (coalesce(size >= {_median} * CAST(1.08 AS DOUBLE) AND {_count} <= 6, false) OR (NOT regexp_matches(text, '[a-z]') AND {_count} <= 5) OR text IN ('SKILLS', 'Work Experience', 'Projects')) AS likely FROM sized_lines"),
-    "heading_evidence": oracle("sized_lines", f", m AS (SELECT *, coalesce({_median}, 10) AS md FROM sized_lines) SELECT doc_id, page, line_no, text, (55 + CASE WHEN size >= md * CAST(1.05 AS DOUBLE) THEN 30 ELSE 0 END + CASE WHEN bold THEN 15 ELSE 0 END) / CAST(100 AS DOUBLE) AS score FROM m WHERE text IN ('SKILLS', 'Work Experience', 'Projects')"),
+    "likely_headings": oracle("sized_lines", f"{_headed_sql} SELECT doc_id, page, line_no, text, trim(text) <> '' AND (coalesce(size >= {_median} * CAST(1.08 AS DOUBLE) AND {_count} <= 6, false) OR (NOT regexp_matches(text, '[a-z]') AND {_count} <= 5) OR section IS NOT NULL) AS likely FROM hl"),
+    "heading_evidence": oracle("sized_lines", f"{_headed_sql}, m AS (SELECT *, coalesce({_median}, 10) AS md FROM hl) SELECT doc_id, page, line_no, text, section, (45 + CASE WHEN size >= md * CAST(1.05 AS DOUBLE) THEN 30 ELSE 0 END + CASE WHEN bold THEN 15 ELSE 0 END + CASE WHEN {_count} <= 4 THEN 10 ELSE 0 END) / CAST(100 AS DOUBLE) AS score FROM m WHERE section IS NOT NULL"),
     "date_normalize": oracle("written_dates", """SELECT doc_id, CASE WHEN regexp_matches(raw, '^[A-Za-z]{3,9} [0-9]{4}$') THEN upper(raw[1:1]) || lower(raw[2:3]) || ' ' || right(raw, 4)
      WHEN raw LIKE '__/____' THEN strftime(make_date(2000, CAST(left(raw, 2) AS INT), 1), '%b') || ' ' || right(raw, 4) ELSE raw END AS token FROM written_dates"""),
     "duration_years": oracle("written_dates", "SELECT doc_id, CASE WHEN end_date >= start_date THEN CAST(end_date - start_date AS DOUBLE) / CAST(365.25 AS DOUBLE) WHEN end_date < start_date THEN CAST(0 AS DOUBLE) END AS years FROM written_dates"),

@@ -111,10 +111,11 @@ QUERIES |= {f"pii_mask_{h}": _masked(h) for h in ("mask", "redact", "pseudonym",
 _LINES = r"ln AS (SELECT doc_id, trim(regexp_replace(u, '^\s+|\s+$', '', 'g')) AS line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS u FROM documents)), l AS (SELECT doc_id, line, len(list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '')) AS nw FROM ln WHERE line <> '')"
 _BAD = r"((length(line) >= 30 AND NOT contains(line, ' ')) OR (regexp_matches(line, '\p{L}') AND length(regexp_replace(line, '[\p{L}\p{N}\s.,:/&()\-+%#@]', '', 'g')) / length(line) > 0.12))"
 _words = ", ".join(f"'{w}'" for w in ENGLISH_WORDS)
-_flat = {h: s for s, hs in sections.HEADINGS.items() for h in hs}
+_flat = sections.listed_headings()
 _compact = {h.replace(" ", ""): s for h, s in _flat.items()} | _flat
 _hd = "hd(norm, section) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _compact.items()) + ")"
-_norm = r"""nl AS (SELECT *, trim(regexp_replace(replace(strip_accents(lower(regexp_replace(regexp_replace(line, '^[\s•▪●\-–—*#>]*(?:\d{1,2}[.)]\s*)?', ''), '[\s:.\-–—_|]+$', ''))), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS norm FROM resume_lines)"""
+norm_of = lambda c: rf"trim(regexp_replace(strip_accents(lower(regexp_replace(regexp_replace({c}, '^[\s•▪●\-–—*#>]*(?:\d{{1,2}}[.)]\s*)?', ''), '[\s:.\-–—_|]+$', ''))), '[^a-z0-9_&+]+', ' ', 'g'))"
+_norm = f"nl AS (SELECT *, {norm_of('line')} AS norm FROM resume_lines)"
 _match = """ml AS (SELECT nl.doc_id, nl.line_no, nl.line, CASE WHEN len(string_split(nl.norm, ' ')) <= 7 THEN coalesce(a.section, b.section) END AS section FROM nl LEFT JOIN hd a ON nl.norm = a.norm LEFT JOIN hd b ON replace(nl.norm, ' ', '') = b.norm)"""
 _core = ", ".join(f"'{c}'" for c in sections.CORE_SECTIONS)
 _cand = f""", {_hd}, {_norm}, {_match}, st AS (SELECT doc_id, count(*) AS n, sum(len(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> ''))) AS w, count(DISTINCT section) AS h, count(DISTINCT CASE WHEN section IN ({_core}) THEN section END) AS core,

@@ -9,7 +9,7 @@ from __spark_entry__ import PLANS
 from folioframe.plans.fixtures import VIEWS
 
 SF = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 PICK = re.compile(r"split_part\('((?:[^']|'')*)', '¦', CAST\(\([^']*?\) % \d+ AS INT\) \+ 1\) AS (\w+)")
 
 
@@ -32,6 +32,4 @@ def test_columns_hold_their_value_lists(duck, name):
 @pytest.mark.parametrize("name", sorted(n for m in PLANS for n in m.ORACLES))
 def test_sql_gives_rows(duck, name):
     sql = next(m.ORACLES[name] for m in PLANS if name in m.ORACLES)
-    for t in "events documents embeddings pages benchmark labels conversations".split():
-        duck.execute(f"CREATE VIEW IF NOT EXISTS {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    assert len(duck.execute(sql).fetchmany(3)) == 3
+    assert duck.execute(f"SELECT count(*) FROM ({sql})").fetchone()[0] > 2
