@@ -37,14 +37,19 @@ MAX_BROADCAST_BYTES, SALTS = 16 << 20, 64
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|iframe|textarea|title|svg|math|object|canvas|audio|video|select"
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements, roles, class or id words that are never part of an article.
+#: Elements and roles that are never part of an article.
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog button head fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: Words of class names or ids. The first set an element aside wherever they are part of a name; the next
+#: only beside their like and beside what merely says where a box stands; a name with one of the last says how another
+#: element is.
 ASIDE_WORDS = frozenset(
-    "nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent "
-    "gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs "
-    "comment comments disqus respond reply replies widget toolbar pagination pager masthead topbar copyright skip banner".split()
+    "nav navbar navigation menu footer sidebar aside ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal overlay newsletter "
+    "breadcrumb breadcrumbs comment comments disqus pagination pager masthead topbar toolbar".split()
 )
+ASIDE_ALONE = frozenset("ad promo promotion notice subscribe subscription signup login share sharing social related recommended recommendations respond reply replies widget copyright skip banner".split())
+PLACES = frozenset("area bar block blocks bottom box button buttons container content footer form group icons inner item items left link links list main media message outer page panel post posts right section site slot text top unit widget wrap wrapper".split())
+STATES = frozenset("has is no not with without".split())
 ASIDE_NAMES = frozenset("header site-header page-header global-header site-head site_header page_header".split())
 #: What an opening element closes first.
 CLOSES = {
@@ -60,25 +65,39 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">]
 _NAME = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """The element's first class (or its id), and whether its attributes set it aside."""
+@lru_cache(65536)
+def _set_aside(name: str, whole: bool) -> bool:
+    """Whether a class name or id sets its element aside; whole: only as a single word, or the name of a page's head."""
+    if name in ASIDE_NAMES or name in ASIDE_WORDS or name in ASIDE_ALONE:
+        return True
+    parts = set(re.split(r"[-_]+", name)) - {""}
+    if whole or parts & STATES:
+        return False
+    return bool(parts & ASIDE_WORDS) or bool(parts & ASIDE_ALONE) and parts <= ASIDE_ALONE | PLACES
+
+
+def _attributes(raw: str, tag: str) -> tuple[str, bool, bool]:
+    """The element's first class (or its id), whether its attributes set it aside, and whether its names do.
+
+    Articles and prose are set aside by single words alone, not by parts of names.
+    """
     if "=" not in raw and "hidden" not in raw.lower():
-        return "", False
-    name, aside = "", False
+        return "", False, False
+    name, aside, by_name, whole = "", False, False, tag in PROSE or tag in ("article", "main")
     for key, a, b, c in _NAME.findall(raw):
         key, value = key.lower(), html.unescape(a or b or c).lower()
         if key in ("class", "id"):
             names = value.split()
             if names and (key == "class" or not name):
                 name = names[0]
-            aside |= any(n in ASIDE_NAMES or not ASIDE_WORDS.isdisjoint(re.split(r"[-_]+", n)) for n in names)
+            by_name |= any(_set_aside(n, whole) for n in names)
         elif key == "role":
             aside |= value.strip() in ASIDE_ROLES
         elif key == "style":
             aside |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None
         else:
             aside |= key == "hidden" or value.strip() == "true"
-    return name, aside
+    return name, aside, by_name
 
 
 @lru_cache(65536)
@@ -95,11 +114,14 @@ def _mix(a: int, b: int) -> int:
 class Element:
     """An element of a page. token stands for its path, block for it or the nearest element around it that is not inline;
     text and links in prose are counted, in it alone (own) and under it
-    (size), and told apart by digest, unless set aside. stock tells template, inside what is part of the article."""
+    (size), and told apart by digest, unless set aside: by tag or attributes (apart), or by names (by_name), if it does not
+    hold all articles of the page. stock tells template, inside what is part of the article."""
 
-    __slots__ = ("aside", "block", "digest", "inside", "link", "lists", "named", "own", "parent", "prose", "scope", "size", "stock", "tag", "token")
+    __slots__ = ("apart", "articles", "aside", "block", "by_name", "digest", "inside", "link", "lists", "named", "own", "parent", "prose", "scope", "size", "stock", "tag", "token")
 
-    def __init__(self, tag: str, name: str, own: bool, parent: Element | None, depth: int):
+    def __init__(self, tag: str, name: str, own: bool, by_name: bool, parent: Element | None, depth: int):
+        self.apart = self.by_name = False
+        self.articles = 0
         self.tag, self.parent, self.own, self.size, self.digest, self.stock, self.inside = tag, parent, 0, 0, 0, False, False
         self.block = self if parent is None or tag not in INLINE else parent.block
         if parent is None:
@@ -107,7 +129,8 @@ class Element:
             return
         self.named = parent.named or tag in ("article", "main")
         own |= tag in ASIDE_TAGS or tag == "header" and not parent.named
-        self.aside = parent.aside or own and tag not in ("html", "body")
+        self.aside = False
+        self.apart, self.by_name = own and tag not in ("html", "body"), by_name and tag not in ("html", "body")
         self.link, self.prose = parent.link or tag == "a", parent.prose or tag in PROSE
         self.token = _mix(parent.token, _label(f"{tag}.{name}"))
         self.scope = depth if tag in SCOPES else parent.scope
@@ -121,7 +144,7 @@ def parse(page: str):
     Ends that close nothing are ignored, ends that close too much close what they cover, and open elements end with the
     page. Every element is kept, however deep, and each costs the same.
     """
-    root = Element("", "", False, None, -1)
+    root = Element("", "", False, False, None, -1)
     stack: list[Element] = []
     where: dict[str, list[int]] = defaultdict(list)  # depths of the open elements of a tag
     at = 0
@@ -159,8 +182,8 @@ def parse(page: str):
             if tag not in INLINE and tag != "img":
                 yield "break", top(), ""
             continue
-        name, own = _attributes(m[4])
-        stack.append(Element(tag, re.sub("[0-9]+", "#", name), own, top(), len(stack)))
+        name, own, by_name = _attributes(m[4], tag)
+        stack.append(Element(tag, re.sub("[0-9]+", "#", name), own, by_name, top(), len(stack)))
         where[tag].append(len(stack) - 1)
         yield "enter", stack[-1], ""
     if at < len(page):
@@ -171,6 +194,12 @@ def read(page: str) -> tuple[list[Element], list[tuple[str, Element, str]]]:
     """The elements of a page, each after the one around it, with its text's digest; and its events."""
     events = list(parse(page))
     elements = [e for kind, e, _ in events if kind == "enter"]
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.articles += e.articles + (e.named and not e.parent.named)
+    articles = elements[0].articles
+    for e in elements[1:]:
+        e.aside = e.parent.aside or e.apart or e.by_name and not (articles and e.articles == articles)
     for kind, e, text in events:
         if kind == "text" and not e.aside and (e.prose or not e.link) and (text := text.strip()):
             e.own += len(text)

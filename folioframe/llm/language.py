@@ -20,8 +20,8 @@ from .common import held_out, mix64, text_steps
 DIM = 1 << 13
 #: Bounds of the sample that the model is fitted on: rows in all, and rows a language; landmarks in all.
 MAX_TRAIN, TRAIN_PER_LANG, MAX_LANDMARKS = 4000, 400, 128
-#: Languages that are learned, the most frequent ones, and rows whose spectra are held at a time (16 KiB each and more).
-MAX_LANGS, STEP_ROWS = 400, 1024
+#: Rows whose spectra are held at a time (16 KiB each and more).
+STEP_ROWS = 1024
 RIDGE = 1e-2
 UNKNOWN = "und"
 
@@ -81,19 +81,22 @@ class KernelModel:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KernelModel | None:
-    """Learns from at most about MAX_TRAIN rows that are not held out, chosen by a hash of the id, evenly by language.
+    """Learns from at most about MAX_TRAIN rows that are not held out, chosen by a hash of the id, evenly by language; of more
+    languages than that, from about one row each. Every language is learned and has a landmark at least.
 
     Rows that repeat an id count once. None if no row has a language. Ties between languages fall to the first in alphabetical order.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return None
     quota = min(TRAIN_PER_LANG, max(1, MAX_TRAIN // len(counts)))
-    share = F.create_map(*[F.lit(v) for lang, c in counts.items() for v in (lang, min(1.0, quota / c))])
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, quota / c)) for lang, c in sorted(counts.items())], "lang string, share double")
     u = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    # a language of few rows gives its first one at least
+    first = rows.groupBy("lang").agg(F.min("doc_id").alias("first")).join(F.broadcast(shares), "lang")
     # a repeated row counts once, so that a much repeated id cannot swell the sample
-    chosen = rows.filter(u < share[F.col("lang")]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
+    chosen = rows.join(F.broadcast(first), "lang").filter((u < F.col("share")) | (F.col("doc_id") == F.col("first"))).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
 
     def sample(batches):
         for b in batches:
@@ -104,7 +107,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     got = chosen.mapInArrow(sample, "doc_id long, bits binary, lang string").collect()  # bounded: about MAX_TRAIN rows of DIM bits
     got.sort(key=lambda r: (int(mix64(np.array([r["doc_id"]], np.int64).view(np.uint64))[0]), r["doc_id"]))
     langs = sorted(counts)
-    y = np.array([langs.index(r["lang"]) for r in got])
+    place = {lang: i for i, lang in enumerate(langs)}
+    y = np.array([place[r["lang"]] for r in got])
     if not len(y):
         return None
     x = _unit(np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in got]))

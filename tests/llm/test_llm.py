@@ -671,3 +671,28 @@ def test_pipeline_stages(spark, tmp_path):
     rows = cp.STAGES[-1][1](spark, before, source).collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in before.collect()}
     json.dumps([r.asDict() for r in rows[:3]])
+
+
+def test_html_names_that_only_hold_a_word(spark):
+    """Names that say how another element is, or that merely begin or end like an advert's, set nothing aside."""
+    article = "<h1>Head</h1><p>Words of it.</p>"
+    kept = [
+        f'<body><div class="container has-sidebar"><article>{article}</article></div></body>', f'<body><main class="content no-comments">{article}</main></body>', f'<body><article class="post related-post">{article}</article></body>',
+        f'<body><div class="page-with-menu sidebar"><article>{article}</article><div class="sidebar">Side</div></div></body>', f'<body><article>{article}<div class="comment-list"><article class="comment">Nice</article></div></article></body>',
+        f'<body><article>{article}</article><div id="comments"><article>Nice</article></div></body>', f'<body><article>{article}<p class="advert">Buy</p><div class="social-share">Share</div><div class="related-posts">More</div></article></body>',
+    ]
+    assert extracted(spark, [(f"http://h{i}/", p) for i, p in enumerate(kept)]) == ["Head Words of it."] * len(kept)
+    odd_words = '<body><article><p class="ad-hoc">A committee</p><h2 class="share-price">Of shares</h2><div class="share-price">went up</div></article></body>'
+    assert extracted(spark, [("http://z/", odd_words)]) == ["A committee Of shares went up"]
+
+
+def test_more_languages_than_training_rows_a_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_TRAIN", 20)
+    rng = random.Random(4)
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for _ in range(60)]
+    docs = [(i, " ".join(rng.choices(words[i % 60], k=30)), f"l{i % 60}") for i in range(600)]
+    model = language.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 60 and model.landmarks.shape[1] >= 60
+    got = language.predict_language(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
+    truth = {i: lang for i, _, lang in docs}
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in got if r["held_out"]) > 0.9 * sum(r["held_out"] for r in got)
