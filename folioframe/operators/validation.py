@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import contacts
 from ..functions.text import grade, words
+from . import likeness
 
 #: Verbs that open strong bullets, phrases that open weak ones, what counts as a metric.
 ACTION_VERBS = "achieved architected automated built created delivered designed developed drove engineered implemented improved increased launched led managed migrated optimized reduced scaled shipped".split()
 WEAK_OPENINGS = ("responsible for", "worked on", "helped", "assisted", "involved in", "participated in", "duties included")
 METRICS = (r"(?i)\d+(?:\.\d+)?\s*%", r"(?i)[$€£₹]\s*\d", r"(?i)\b\d+(?:\.\d+)?\s*(?:x|k|m|million|billion|users|customers|requests)\b", r"(?i)(?:from|reduced?|cut|decreased?)\s+\d+\s*(?:hours?|minutes?|days?|ms)\s+to\s+\d+")
 #: Mail domains against which typing errors are looked for; weights of the sections' checks.
-MAIL_DOMAINS = ("gmail.com", "yahoo.com", "outlook.com", "hotmail.com", "icloud.com", "protonmail.com")
+MAIL_DOMAINS = ("gmail.com", "googlemail.com", "yahoo.com", "outlook.com", "hotmail.com", "icloud.com", "protonmail.com", "proton.me", "live.com", "rediffmail.com")
 SECTION_WEIGHTS = {"personal": 20, "skills": 20, "experience": 25, "education": 20, "links": 15}
 
 
@@ -53,10 +54,11 @@ def quality_report(p: DataFrame) -> DataFrame:
 
 
 def mail_suggestion(mails: DataFrame, column: str = "email") -> DataFrame:
-    """mails with the known domain that the address's domain misses by one or two letters, the nearest and first."""
-    host = F.lower(F.substring_index(column, "@", -1))
-    near = F.array_min(F.array(*[F.struct(F.levenshtein(host, F.lit(d)).alias("far"), F.lit(i).alias("ord"), F.lit(d).alias("domain")) for i, d in enumerate(MAIL_DOMAINS)]))
-    return mails.withColumn("suggested_domain", F.when(near["far"].between(1, 2), near["domain"]))
+    """mails with the known domain that is most like the address's own, where that is not known itself (see likeness)."""
+    known = mails.sparkSession.createDataFrame([(d,) for d in MAIL_DOMAINS], "name string")
+    x = mails.withColumn("__host", F.lower(F.substring_index(column, "@", -1)))
+    near = likeness.nearest(x.filter(F.contains(column, F.lit("@"))).select(F.col("__host").alias("value")), known)
+    return x.join(near.select(F.col("value").alias("__host"), F.col("nearest").alias("suggested_domain")), "__host", "left").drop("__host")
 
 
 def link_checks(links: DataFrame, key: str = "doc_id") -> DataFrame:

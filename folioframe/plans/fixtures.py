@@ -21,7 +21,7 @@ URLS = ("https://linkedin.com/in/ana-silva", "github.com/dev42", "", "http://bad
 EDUCATION = ("B.Tech in Computer Science", "Indian Institute of Technology", "CGPA: 8.4/10", "2016 - 2020", "Delhi Public School", "12th, CBSE 2014", "Pune", "92 %", "M.Sc Physics 2021", "University of Pune, Master of Arts", "8.1 CGPA", "Class of champions", "Aug 2012 – May 2014")
 PROJECTS = ("Travel Planner - Python, React", "Chess Engine 2021 - 2022", "• Built an engine that plays 2 million games a day.", "Tech Stack: MQTT, pandas", "Live: https://chess.example.org", "• Weather Board", "Python, React, Node", "Jan 2023 - Mar 2023", "runs in a cupboard and hums all day.", "• reads github.com/ana/board every hour", "Home Lab")
 LABELS = ("LinkedIn", "GitHub", "Portfolio", "LinkedIn", "Portfolio", "Kaggle", "GitHub")
-MAILS = ("gmial.com", "gmail.com", "outlok.com", "example.org", "yahoo.co", "hotmail.com", "acme.io")
+MAILS = ("gmial.com", "gmail.com", "outlok.com", "example.org", "yahoo.co", "hotmail.com", "acme.io", "g-mail.com", "protonmial.com", "live.co", "liv.com", "googlmail.com", "icloud.org", "hotmale.com", "rediff.com", "mail.com", "outlook.co.uk")
 
 VIEWS = {
     "candidates": f"""SELECT c_custkey AS cand_id, concat({_pick(FIRST, 'c_custkey')}, ' ', {_pick(LAST, 'c_custkey')}) AS name,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import get_close_matches
+
 from pyspark.sql import functions as F
 
 from ..operators import career, consensus, evaluation, geometry, skills, validation
-from .fixtures import AS_OF, oracle, skill_sides, view
+from .fixtures import AS_OF, MAILS, oracle, skill_sides, view
 
 WIDTH, HEIGHT = 600.0, 800.0
 
@@ -255,7 +257,8 @@ ORACLES = {
      x AS (SELECT *, CAST(greatest(0, least(100, 15 * n + 15 + 10 * p + 15 * sk + CASE WHEN j THEN CASE WHEN k % 2 = 0 THEN 15 ELSE 8 END ELSE 0 END + 10 * e - CASE WHEN k % 3 = 0 THEN 10 ELSE 0 END + 10 * l + 10 * su)) AS DOUBLE) AS a, round((10 * n + 10 + 8 * p + 5 + 5 * (k % 10 = 0)::INT + 7 * l + 8 * su + 12 * sk + 15 * j::INT + 12 * e + 8 * (k % 11 = 0)::INT) * 100 / 100, 1) AS c FROM y),
      w AS (SELECT *, round(CAST(a * CAST(0.35 AS DOUBLE) + c * CAST(0.35 AS DOUBLE) + s * CAST(0.30 AS DOUBLE) AS DECIMAL(18, 9)), 1)::DOUBLE AS o FROM x) SELECT k AS cand_id, a AS quality_ats, CAST(c AS DOUBLE) AS completeness, o AS overall, {_grade('a')} AS ats_grade, {_grade('o')} AS overall_grade FROM w"""),
     "link_validation": oracle("links", f", {_links} SELECT doc_id, pos, status FROM lc"),
-    "mail_domain_typo": oracle("candidates", "SELECT cand_id, CASE split_part(email, '@', 2) WHEN 'gmial.com' THEN 'gmail.com' WHEN 'outlok.com' THEN 'outlook.com' WHEN 'yahoo.co' THEN 'yahoo.com' END AS suggested_domain FROM candidates"),
+    # the textbook ratio of the standard library, over the domains that the view draws from
+    "mail_domain_typo": oracle("candidates", ", n(host, near) AS (VALUES " + ", ".join(f"('{m}', '{(get_close_matches(m, validation.MAIL_DOMAINS, 1, 0.82) or [''])[0]}')" for m in MAILS) + f") SELECT cand_id, CASE WHEN host NOT IN ({', '.join(repr(d) for d in validation.MAIL_DOMAINS)}) THEN nullif(near, '') END AS suggested_domain FROM candidates JOIN n ON split_part(email, '@', 2) = host"),
     "date_range_checks": oracle("jobs", f", {_dc} SELECT * FROM dc"),
     "skill_checks": oracle("raw_skills", f", {_skc} SELECT * FROM kc"),
     "personal_checks": oracle("candidates", f", {_pc} SELECT * FROM pc"),
