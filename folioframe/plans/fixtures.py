@@ -61,7 +61,7 @@ VIEWS = {
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = VIEWS[name]
+    sql = VIEWS[name].replace("{", "{{").replace("}", "}}")
     tables = [t for t in ("customer", "nation", "region", "orders", "lineitem", "part", "supplier") if f" {t}" in sql]
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
