@@ -3,7 +3,8 @@
 Entities are found by one pattern, in one pass over the texts. Each has a normal form that no way of writing it changes,
 and a replacement made from a key, its kind and that form alone: the same entity is replaced alike everywhere, however
 it is written (coreference), digits by digits, letters by letters of the same kind and script, given names by names of
-the same gender. A name is as many entities as it has words, so "Mr John Smith" and "Mr Smith" stay one person.
+the same gender. A name is as many entities as it has words, so "Mr John Smith" and "Mr Smith" stay one person, and so do
+"John Smith" and "Smith" alone in a text that names them with a title.
 Replacements are checked over the whole corpus by their normal forms: an entity whose replacement another entity has
 too, or which is itself an entity of the corpus, is replaced anew until all differ (distinctness).
 """
@@ -361,6 +362,36 @@ def attempts(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     raise ValueError(f"replacements still clash after {MAX_ROUNDS} rounds")
 
 
+def told_again(gaps: Column, found: Column, new: Column) -> Column:
+    """gaps, in which the words of the text's own titled names are replaced wherever they stand, titled or not.
+
+    A word counts as it is written behind its title, or in capitals, by itself (a possessive may follow). It is left
+    where the same text has it in lower case too, as a word that is not only a name. Words are marked first and then
+    replaced, so that no replacement is replaced again. new has each mention with its title and new words.
+    """
+    words = lambda m: F.slice(F.split(m, " "), 2, 99)
+    pair = lambda a, b: F.struct(a.alias("old"), b.alias("new"))
+    none = F.array().cast("array<struct<old:string,new:string>>")
+    own = F.flatten(F.zip_with(found, new, lambda x, s: F.when(x["kind"] == "name", F.zip_with(words(x["m"]), words(s), pair)).otherwise(none)))
+    edged = lambda w: F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}'’-])\Q"), w, F.lit(r"\E(?![\p{L}\p{M}\p{N}]|['’-]\p{L}\p{L})"))
+    text = F.array_join(gaps, "\n")
+
+    def replaced(pairs: Column) -> Column:
+        mark = lambda i: F.concat(F.lit(OPEN), i.cast("string"), F.lit(OPEN))
+        numbered = F.transform(pairs, lambda p, i: F.struct(p["old"].alias("old"), p["new"].alias("new"), mark(i).alias("mark")))
+
+        def gap(g: Column, table: Column) -> Column:
+            marked = F.aggregate(table, g, lambda t, p: F.regexp_replace(t, edged(p["old"]), p["mark"]))
+            return F.when(F.contains(g, F.lit(OPEN)), g).otherwise(let(marked, lambda m: F.aggregate(table, m, lambda t, p: F.replace(t, p["mark"], p["new"]))))
+
+        return let(numbered, lambda table: F.transform(gaps, lambda g: gap(g, table)))
+
+    loud = lambda p: pair(F.upper(p["old"]), F.upper(p["new"]))
+    both = lambda ps: F.array_distinct(F.concat(ps, F.transform(ps, loud)))
+    sure = lambda ps: F.filter(ps, lambda p: ~F.regexp_like(text, edged(F.lower(p["old"]))))
+    return let(sure(both(own)), replaced)
+
+
 def count_name(columns: list[str]) -> str:
     """Name of the count's column: n_entities, or the first free one of n_entities_2, n_entities_3, ..."""
     taken = {c.lower() for c in columns}
@@ -381,7 +412,10 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "t
 
     def filled(new: Column) -> Column:
         """The text: gaps, and between them each mention's new words behind its title."""
-        return F.when(F.col("found").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.zip_with("gaps", new, lambda gap, s: F.array(gap, F.coalesce(s, F.lit(""))))), ""))
+        joined = lambda gaps, s: F.array_join(F.flatten(F.zip_with(gaps, s, lambda gap, w: F.array(gap, F.coalesce(w, F.lit(""))))), "")
+        named = F.exists("found", lambda x: x["kind"] == "name")
+        text = let(new, lambda s: F.when(named, joined(told_again(F.col("gaps"), F.col("found"), s), s)).otherwise(joined(F.col("gaps"), s)))
+        return F.when(F.col("found").isNull(), F.col("text")).otherwise(text)
 
     def titled(x: Column, words: Column) -> Column:
         return F.when(x["kind"] == "name", F.concat_ws(" ", F.substring_index(x["m"], " ", 1), words)).otherwise(words)

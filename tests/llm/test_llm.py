@@ -514,6 +514,23 @@ def test_pii_one_entity_many_forms(spark):
     assert full.split()[1] in pii.GIVEN["latin"][1] and full.split()[-1] == short.split()[-1] == loud.split()[-1].capitalize() and "Smith" not in full
 
 
+@pytest.mark.parametrize("inline", [5000, -1])
+def test_pii_untitled_mentions(spark, inline, monkeypatch):
+    """A name that a title tells is replaced alike wherever its words stand in that text, and nowhere else."""
+    monkeypatch.setattr(pii, "MAX_INLINE", inline)
+    rows = [
+        (1, "Mr John Smith came. Later Smith left, and John Smith wrote: SMITH's book. Smithson and Smith-Jones and blacksmith stay. Mrs Oscar Rao, Oscar."),
+        (2, "John Smith alone, with a@b.example"), (3, "Mr Will Rose said that he will see a rose; Will Rose went."), (4, "Mr John Smith \ue000 0 Smith"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    m = re.fullmatch(r"Mr ([\w-]+) (\w+) came\. Later (\w+) left, and ([\w-]+) (\w+) wrote: (\w+)'s book\. Smithson and Smith-Jones and blacksmith stay\. Mrs ([\w-]+) (\w+), ([\w-]+)\.", got[1])
+    given, family = m[1], m[2]
+    assert (m[3], m[4], m[5], m[6]) == (family, given, family, family.upper()) and m[7] == m[9] and "Smith" not in {given, family}
+    assert got[2].startswith("John Smith alone")
+    assert re.fullmatch(r"Mr \S+ \S+ said that he will see a rose; Will Rose went\.", got[3])
+    assert got[4].endswith("Smith")
+
+
 def brute_mentions(text):
     """kind and mention, by trying every kind at every place in order."""
     import regex
