@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, grades
 from ..operators import career
+from . import assess_queries  # noqa: F401  (its views)
 from .fixtures import AS_OF, oracle, view
+from .sql_text import ranged
 
 _JOBS = f"""closed AS (SELECT cand_id, job_no, company, title, start_date, CASE WHEN is_current OR end_date IS NULL THEN DATE '{AS_OF}' ELSE end_date END AS end_date FROM jobs)"""
 
@@ -55,7 +57,12 @@ def domain_scores(spark, sf_dir):
 
 
 def primary_domain(spark, sf_dir):
-    return career.primary_domain(career.domain_scores(_job_texts(spark, sf_dir), "cand_id"), "cand_id")
+    texts = _job_texts(spark, sf_dir)
+    return career.primary_domain(career.domain_scores(texts, "cand_id"), texts, "cand_id")
+
+
+def notable_universities(spark, sf_dir):
+    return career.notable_universities(view(spark, sf_dir, "edu_entries")).select("cand_id", "institution").distinct()
 
 
 def date_range_extract(spark, sf_dir):
@@ -75,13 +82,13 @@ def grade_normalize(spark, sf_dir):
     return view(spark, sf_dir, "degrees").select("cand_id", grades.normalize_grade(F.col("grade")).alias("g")).select("cand_id", "g.*")
 
 
-QUERIES = {f.__name__: f for f in (experience_years_union, career_gaps, job_overlaps, career_level, current_position, notable_orgs, seniority_score, timeline_issues, domain_scores, primary_domain, date_range_extract, date_parse_career, has_date, grade_normalize)}
+QUERIES = {f.__name__: f for f in (experience_years_union, career_gaps, job_overlaps, career_level, current_position, notable_orgs, seniority_score, timeline_issues, domain_scores, primary_domain, notable_universities, date_range_extract, date_parse_career, has_date, grade_normalize)}
 
 _level_case = "CASE " + " ".join(f"WHEN regexp_matches(lower(title), '{p}') THEN '{n}'" for n, p in career.LEVELS) + " END"
 _years = """spans AS (SELECT cand_id, start_date AS s, end_date AS e, max(end_date) OVER (PARTITION BY cand_id ORDER BY start_date, end_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM closed WHERE end_date >= start_date),
  islands AS (SELECT cand_id, s, e, sum(CASE WHEN m IS NULL OR s > m THEN 1 ELSE 0 END) OVER (PARTITION BY cand_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM spans),
  years AS (SELECT cand_id, CAST(sum(d) AS BIGINT) AS days, round(CAST(sum(d) AS DOUBLE) / 365.25, 1) AS years FROM (SELECT cand_id, g, max(e) - min(s) AS d FROM islands GROUP BY cand_id, g) GROUP BY cand_id)"""
-_levels = f"""levels AS (SELECT y.cand_id, y.years, coalesce(t.lvl, CASE WHEN years >= 15 THEN 'Executive' WHEN years >= 10 THEN 'Principal' WHEN years >= 6 THEN 'Senior' WHEN years >= 3 THEN 'Mid-level' WHEN years >= 1 THEN 'Junior' ELSE 'Fresher' END) AS level
+_levels = f"""levels AS (SELECT y.cand_id, y.years, coalesce(t.lvl, CASE {' '.join(f"WHEN years >= {b} THEN '{n}'" for b, n in career.YEARS)} ELSE '{career.FRESHER}' END) AS level
  FROM years y LEFT JOIN (SELECT cand_id, arg_min(lvl, job_no) AS lvl FROM (SELECT cand_id, job_no, {_level_case} AS lvl FROM jobs) WHERE lvl IS NOT NULL GROUP BY cand_id) t USING (cand_id))"""
 _notable = " OR ".join(f"contains(lower(company), '{n}')" for n in career.NOTABLE)
 _overlap = """SELECT a.cand_id, a.job_no AS job_a, b.job_no AS job_b, CAST(least(a.end_date, b.end_date) - greatest(a.start_date, b.start_date) AS BIGINT) AS overlap_days FROM closed a JOIN closed b ON a.cand_id = b.cand_id AND a.job_no < b.job_no
@@ -89,12 +96,7 @@ _overlap = """SELECT a.cand_id, a.job_no AS job_a, b.job_no AS job_b, CAST(least
 _texts = "texts AS (SELECT cand_id, lower(string_agg(t, ' ' ORDER BY t)) AS t FROM (SELECT DISTINCT cand_id, t FROM (SELECT cand_id, raw AS t FROM raw_skills UNION ALL SELECT cand_id, title FROM jobs)) GROUP BY cand_id)"
 _domains = "doms AS (" + " UNION ALL ".join(f"SELECT cand_id, '{d}' AS domain, {i} AS o, round(({' + '.join(f'contains(t, {chr(39)}{w}{chr(39)})::INT' for w in ws)}) / {len(ws)}, 6) AS score FROM texts" for i, (d, ws) in enumerate(career.DOMAINS.items())) + ")"
 _MON = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-_range_case = """CASE WHEN raw LIKE '%Jan-Mar 2021%' THEN 'months' WHEN raw LIKE '%till date%' THEN 'till' WHEN raw LIKE '%from May%' THEN 'from' WHEN raw LIKE '%since%' THEN 'since'
- WHEN raw LIKE '%Jan 2020 – P%' OR raw LIKE '%Sept 2018%' THEN 'month_year' WHEN raw LIKE '%''19%' THEN 'month_short' WHEN raw LIKE '%03/2020%' THEN 'slash' WHEN raw LIKE '%2016 - 2018%' THEN 'years' WHEN raw LIKE '%2019-21%' THEN 'short_year' WHEN raw LIKE '%12/2021%' THEN 'one_slash' END"""
-_expected = """(VALUES ('months','Jan 2021','Mar 2021',false),('till','2020',NULL,true),('from','May 2019',NULL,true),('since','2020',NULL,true),('month_short','Jan 2019','Feb 2020',false),('slash','Mar 2020','May 2021',false),
- ('years','2016','2018',false),('short_year','2019','2021',false),('one_slash','Dec 2021',NULL,false)) v(form, s, e, c)"""
-_ranges_sql = f"""r AS (SELECT doc_id, raw, {_range_case} AS form FROM range_texts), x AS (SELECT r.doc_id, r.form, CASE WHEN raw LIKE '%Jan 2020 – P%' THEN 'Jan 2020' WHEN raw LIKE '%Sept 2018%' THEN 'Sep 2018' ELSE v.s END AS start_,
- CASE WHEN raw LIKE '%Sept 2018%' THEN 'Jun 2019' ELSE v.e END AS end_, CASE WHEN r.form = 'month_year' THEN raw LIKE '%Present%' ELSE v.c END AS cur FROM r LEFT JOIN {_expected} ON r.form = v.form)"""
+_ranges_sql = f"{ranged('range_texts', 'raw', 'x')}"
 _steps = lambda v, ladder, least: "CASE " + " ".join(f"WHEN {v} >= {a} THEN {b}" for a, b in ladder) + f" ELSE {least} END"
 _ten, _four = "least(greatest(v, 0), 10)", "least(greatest(v, 0), 4)"
 
@@ -106,7 +108,7 @@ ORACLES = {
     "current_position": oracle("jobs", "SELECT cand_id, arg_min(title, (NOT is_current, job_no)) AS title, arg_min(company, (NOT is_current, job_no)) AS company FROM jobs GROUP BY cand_id"),
     "notable_orgs": oracle("jobs", f"SELECT DISTINCT cand_id, company FROM jobs WHERE {_notable}"),
     "seniority_score": oracle("jobs", f""", {_JOBS}, {_years}, {_levels}, n AS (SELECT cand_id, bool_or(regexp_matches(lower(title), '{career.MANAGEMENT}')) AS m, count(DISTINCT CASE WHEN {_notable} THEN company END) AS k FROM jobs GROUP BY cand_id)
-     SELECT cand_id, m AS has_management, CAST(k AS BIGINT) AS notable_count, round(least(years / 20, CAST(0.5 AS DOUBLE)) + CASE level WHEN 'Junior' THEN CAST(0.05 AS DOUBLE) WHEN 'Mid-level' THEN 0.1 WHEN 'Senior' THEN 0.2 WHEN 'Principal' THEN 0.25 WHEN 'Executive' THEN 0.3 ELSE 0 END + least(k * CAST(0.05 AS DOUBLE), CAST(0.15 AS DOUBLE)) + CASE WHEN m THEN CAST(0.05 AS DOUBLE) ELSE 0 END, 3) AS seniority FROM levels JOIN n USING (cand_id)"""),
+     SELECT cand_id, m AS has_management, CAST(k AS BIGINT) AS notable_count, level IN ('{career.FRESHER}', '{career.JUNIOR}') AND years < 1 AS is_fresher, round(least(years / 20, CAST(0.5 AS DOUBLE)) + CASE level {' '.join(f"WHEN '{n}' THEN CAST({p} AS DOUBLE)" for n, p in career.LEVEL_POINTS.items())} END + least(k * CAST(0.05 AS DOUBLE), CAST(0.15 AS DOUBLE)) + CASE WHEN m THEN CAST(0.05 AS DOUBLE) ELSE 0 END, 3) AS seniority FROM levels JOIN n USING (cand_id)"""),
     "timeline_issues": oracle("jobs degrees", f""", {_JOBS}, j AS (SELECT *, CASE WHEN is_current THEN DATE '{AS_OF}' ELSE end_date END AS e FROM jobs), edu AS (SELECT cand_id, max(end_date) AS g FROM degrees GROUP BY cand_id), o AS ({_overlap})
      SELECT cand_id, 'end_before_start' AS rule, 'ERROR' AS severity, job_no FROM j WHERE e < start_date UNION ALL SELECT cand_id, 'start_too_early', 'ERROR', job_no FROM j WHERE year(start_date) < 1950
      UNION ALL SELECT cand_id, 'start_in_future', 'ERROR', job_no FROM j WHERE year(start_date) > 2026 UNION ALL SELECT cand_id, 'end_in_future', 'ERROR', job_no FROM j WHERE NOT is_current AND year(e) > 2026
@@ -114,10 +116,11 @@ ORACLES = {
      UNION ALL SELECT cand_id, 'before_graduation', 'WARNING', job_no FROM j JOIN edu USING (cand_id) WHERE e >= start_date AND start_date < g - 365 AND NOT contains(lower(title), 'intern')
      UNION ALL SELECT cand_id, 'overlap', 'INFO', job_a FROM o"""),
     "domain_scores": oracle("jobs raw_skills", f", {_texts}, {_domains} SELECT cand_id, domain, score FROM doms WHERE score > 0"),
-    "primary_domain": oracle("jobs raw_skills", f", {_texts}, {_domains} SELECT cand_id, arg_max(domain, (score, -o)) AS domain, max(score) AS score FROM doms WHERE score > 0 GROUP BY cand_id"),
-    "date_range_extract": oracle("range_texts", f', {_ranges_sql} SELECT doc_id, form, start_ AS start, end_ AS "end", cur AS is_current FROM x'),
-    "date_parse_career": oracle("range_texts", f""", {_ranges_sql} SELECT doc_id, CASE WHEN length(start_) = 4 THEN CAST(start_ || '-01-01' AS DATE) ELSE CAST(strptime('1 ' || start_, '%d %b %Y') AS DATE) END AS career_start,
-     CASE WHEN length(start_) = 4 THEN CAST(start_ || '-06-01' AS DATE) ELSE CAST(strptime('1 ' || start_, '%d %b %Y') AS DATE) END AS timeline_start FROM x"""),
+    "primary_domain": oracle("jobs raw_skills", f", {_texts}, {_domains}, b AS (SELECT cand_id, arg_max(domain, (score, -o)) AS domain, max(score) AS score FROM doms WHERE score > 0 GROUP BY cand_id) SELECT cand_id, coalesce(domain, '{career.GENERAL}') AS domain, coalesce(score, CAST(0 AS DOUBLE)) AS score FROM texts LEFT JOIN b USING (cand_id)"),
+    "notable_universities": oracle("edu_entries", "SELECT DISTINCT cand_id, institution FROM edu_entries WHERE regexp_matches(lower(institution), '\\b(" + "|".join(u for u in career.UNIVERSITIES if len(u) <= 4) + ")\\b') OR " + " OR ".join(f"contains(lower(institution), '{u}')" for u in career.UNIVERSITIES if len(u) > 4)),
+    "date_range_extract": oracle("range_texts", f', {_ranges_sql} SELECT doc_id, form, start, "end", cur AS is_current FROM x'),
+    "date_parse_career": oracle("range_texts", f""", {_ranges_sql} SELECT doc_id, CASE WHEN length(start) = 4 THEN CAST(start || '-01-01' AS DATE) ELSE CAST(strptime('1 ' || start, '%d %b %Y') AS DATE) END AS career_start,
+     CASE WHEN length(start) = 4 THEN CAST(start || '-06-01' AS DATE) ELSE CAST(strptime('1 ' || start, '%d %b %Y') AS DATE) END AS timeline_start FROM x"""),
     "has_date": oracle("range_texts", f"SELECT doc_id, regexp_matches(raw, '(?i){_MON},?\\s+\\d{{4}}|(?:0?[1-9]|1[0-2])/\\d{{4}}|{_MON}[''’`]\\d{{2}}|\\b20\\d{{2}}\\b') AS has_date, nullif(regexp_extract(raw, '(?:19|20)[0-9][0-9]'), '') AS year FROM range_texts"),
     "grade_normalize": oracle("degrees", f""", g AS (SELECT cand_id, grade, CASE WHEN grade LIKE '%/10' THEN 'cgpa_10' WHEN grade LIKE '%/4' THEN 'gpa_4' WHEN grade LIKE '%/500' OR grade LIKE '%!%' ESCAPE '!' THEN 'percentage' WHEN grade IN ('A+', 'b-') THEN 'letter' WHEN grade IN ('First Class', 'Pass') THEN 'class'
       WHEN grade IN ('3.2', 'GPA: 3.95') THEN 'gpa_4' WHEN grade IN ('7.9', 'CGPA: 9') THEN 'cgpa_10' ELSE 'unknown' END AS scale,
