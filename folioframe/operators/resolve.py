@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.contacts import looks_like_name
 from ..functions.text import strip, words
+from .education import GRADE_FIRST, NAMED_GRADE
+from .parsers import DEGREE, INSTITUTIONS, _holds
 from .sections import match_headings
 
 #: Words of education lines, how much better a block must be.
@@ -112,3 +114,34 @@ def resolve_names(header: DataFrame, dictionary: DataFrame, key: str = "doc_id",
     name = F.when(F.col("segment").isNotNull(), F.col("segment")).when((F.col("short") == 2) & looks_like_name(pair), pair).when(fits, first)
     how = F.when(F.col("segment").isNotNull(), "segment").when((F.col("short") == 2) & looks_like_name(pair), "pair").when(fits, "first")
     return per.select(key, name.alias("name"), how.alias("how"))
+
+
+#: The sections that make up a field, in order; others are fields by themselves. Header lines of no field.
+FIELDS = {"awards": ("awards", "publications", "references"), "interests": ("interests", "activities"), "education": ("education", "courses")}
+PERSONAL = ("male", "female", "dob", "date of birth")
+
+
+def inferred_education(header: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
+    """key, order, line: header lines, cleaned, that tell a degree, an institution or a grade, of documents with two or more
+    such lines. Lines with an address or a number, and names of up to four words, are none."""
+    line = strip(F.col("line"))
+    contact = line.rlike(SEGMENT[1][0]) | line.rlike(SEGMENT[2][0]) | line.rlike(SEGMENT[3][0])
+    x = header.filter((line != "") & ~contact).select(key, order, clean_segment(F.col("line")).alias("line"))
+    c = F.col("line")
+    told = c.rlike(DEGREE) | _holds(c, INSTITUTIONS) | c.rlike(NAMED_GRADE) | c.rlike(GRADE_FIRST) | c.rlike(r"[0-9]+(?:\.[0-9]+)?\s*%$")
+    x = x.filter((c != "") & ~F.lower(c).isin(*PERSONAL) & ~(looks_like_name(c) & (F.size(words(c)) <= 4)) & told)
+    return x.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key))).filter("__n > 1").drop("__n")
+
+
+def route(lines: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
+    """key, field, pos (from 1), line: the lines (section, line) of each field's sections, one section after the other. A
+    document without lines of education takes them from its header."""
+    of = {s: (f, i) for f, ss in FIELDS.items() for i, s in enumerate(ss)}
+    field, place = F.col("section"), F.lit(0)
+    for s, (f, i) in of.items():
+        field, place = F.when(F.col("section") == s, f).otherwise(field), F.when(F.col("section") == s, i).otherwise(place)
+    x = lines.select(key, order, "line", field.alias("field"), place.alias("__p"))
+    without = x.groupBy(key).agg(F.max(F.col("field") == "education").alias("has")).filter("NOT has").select(key)
+    inferred = inferred_education(x.filter("field = 'header'").join(without, key, "left_semi"), key, order)
+    rows = x.unionByName(inferred.select(key, order, "line", F.lit("education").alias("field"), F.lit(0).alias("__p")))
+    return rows.select(key, "field", F.row_number().over(Window.partitionBy(key, "field").orderBy("__p", order)).alias("pos"), "line")

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from ..functions import contacts
-from ..operators import resolve, sections
+from ..operators import education, parsers, resolve, sections
 from .fixtures import VIEWS, _pick, oracle, view
-from .sql_text import quoted
+from .sql_text import has, quoted
 from .text_queries import _hd, norm_of
 
 READ = ("EDUCATION", "Skills", "Experience", "B.Tech at Hill College, a school of many things", "Python and SQL", "Northwind Labs 2019 - 2021", "Class XII, Valley School", "University of Pune", "Degree", "a line of no great matter at all", "Work History", "GPA 8.1")
 HEADER = ("ANA", "silva", "Ana Silva | Engineer", "ana@x.example +1 555 010 0199", "Email: b@x.example", "Contact", "Data engineer of many things • Pune", "github.com/x/y", "Skills", "Oneil", "12 Hill Road", "Chloe van der Berg", "/phone Dev Rao", "", "Ben", "Professional Summary")
+SECTIONED = ("header", "header", "skills", "header", "experience", "awards", "publications", "header", "interests", "activities", "references", "header", "courses")
+LEARNT = ("Ana Silva", "B.Sc Physics 8.1 CGPA", "Hill College", "male", "ana@x.example B.Tech", "Percentage: 81%", "of many things", "", "Phone: B.E Civil", "91 %", "University of Pune", "GPA 7.2", "DOB", "MBA", "Ben Rao")
 _no = "row_number() OVER (PARTITION BY o_custkey, o ORDER BY o_orderkey)"
 VIEWS |= {
     "reader_lines": f"SELECT o_custkey AS doc_id, CASE WHEN o = 0 THEN 'words' ELSE 'layout' END AS source, CAST(o AS BIGINT) AS ord, CAST({_no} AS BIGINT) AS line_no, {_pick(READ, 'o_orderkey * (1 + 4 * o) + o_custkey')} AS line FROM orders CROSS JOIN (SELECT 0 AS o UNION ALL SELECT 1) z",
     "chosen_reader": "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'words' ELSE 'layout' END AS source FROM customer",
     "header_lines": f"SELECT o_custkey AS doc_id, o_orderkey AS line_no, {_pick(HEADER, 'o_orderkey * 3 + o_custkey')} AS line FROM orders",
+    "sectioned_lines": f"SELECT o_custkey AS doc_id, o_orderkey AS line_no, CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 7 = 0 THEN 'education' WHEN {_pick(SECTIONED, 'o_orderkey')} = 'courses' AND o_custkey % 3 <> 1 THEN 'header' ELSE {_pick(SECTIONED, 'o_orderkey')} END AS section, {_pick(LEARNT, 'o_orderkey * 7 + o_custkey')} AS line FROM orders",
     "printed_lines": f"SELECT o_custkey AS doc_id, o_orderkey AS line_no, {_pick(READ, 'o_orderkey * 5 + o_custkey')} AS line, (o_orderkey + o_custkey) % 19 = 0 AS is_bold, CASE WHEN o_orderkey % 17 = 0 THEN CAST(14 AS DOUBLE) WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(10 AS DOUBLE) END AS size, CAST(10 AS DOUBLE) AS font_median FROM orders",
 }
 
@@ -31,7 +34,11 @@ def name_resolution(spark, sf_dir):
     return resolve.resolve_names(view(spark, sf_dir, "header_lines"), sections.heading_dictionary(spark))
 
 
-QUERIES = {f.__name__: f for f in (rescued_lines, section_split_adaptive, name_resolution)}
+def routed_lines(spark, sf_dir):
+    return resolve.route(view(spark, sf_dir, "sectioned_lines"))
+
+
+QUERIES = {f.__name__: f for f in (rescued_lines, section_split_adaptive, name_resolution, routed_lines)}
 
 
 def _headed(source: str, column: str, out: str) -> str:
@@ -51,6 +58,10 @@ def _segment(t: str) -> str:
     return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'), ' |•·:-')"
 
 
+_contact = " OR ".join(has("trim(line)", resolve.SEGMENT[k][0]) for k in (1, 2, 3))
+_told = " OR ".join([has("c", p) for p in (parsers.DEGREE, education.NAMED_GRADE, education.GRADE_FIRST, r"[0-9]+(?:\.[0-9]+)?\s*%$")] + [f"contains(lower(c), '{w}')" for w in parsers.INSTITUTIONS])
+_field = "CASE " + " ".join(f"WHEN section = '{x}' THEN '{f}'" for f, xs in resolve.FIELDS.items() for x in xs) + " ELSE section END"
+_place = "CASE " + " ".join(f"WHEN section = '{x}' THEN {i}" for xs in resolve.FIELDS.values() for i, x in enumerate(xs)) + " ELSE 0 END"
 _split = lambda c: f"string_split_regex({c}, '\\s*[|•·]\\s*')"
 _cap = "array_to_string(list_transform(string_split(lower(concat(one, ' ', two)), ' '), lambda w: concat(upper(w[1:1]), w[2:])), ' ')"
 _target = "section = 'education'"
@@ -71,4 +82,7 @@ ORACLES = {
      g AS (SELECT doc_id, arg_min(found, k) FILTER (section IS NULL AND found IS NOT NULL) AS segment, count(*) FILTER (short AND k <= 2) AS n, arg_min(clean, k) AS one, max(CASE WHEN k = 2 THEN clean END) AS two FROM p GROUP BY doc_id), w AS (SELECT *, {_cap} AS pair, trim({_split('one')}[1]) AS f FROM g),
      v AS (SELECT *, CASE WHEN segment IS NOT NULL THEN 'segment' WHEN n = 2 AND {_like('pair')} THEN 'pair' WHEN {_size('f')} <= 5 AND f <> '' THEN 'first' END AS how FROM w)
      SELECT doc_id, CASE how WHEN 'segment' THEN segment WHEN 'pair' THEN pair WHEN 'first' THEN f END AS name, how FROM v"""),
+    "routed_lines": oracle("sectioned_lines", f""", x AS (SELECT doc_id, line_no, line, {_field} AS field, {_place} AS p FROM sectioned_lines), h AS (SELECT doc_id, line_no, {_segment('line')} AS c FROM x WHERE field = 'header' AND trim(line) <> '' AND NOT ({_contact}) AND doc_id NOT IN (SELECT doc_id FROM x WHERE field = 'education')),
+     i AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM h WHERE c <> '' AND lower(c) NOT IN ('male', 'female', 'dob', 'date of birth') AND NOT ({_like('c')} AND {_size('c')} <= 4) AND ({_told})),
+     u AS (SELECT doc_id, line_no, line, field, p FROM x UNION ALL SELECT doc_id, line_no, c, 'education', 0 FROM i WHERE n > 1) SELECT doc_id, field, CAST(row_number() OVER (PARTITION BY doc_id, field ORDER BY p, line_no) AS INT) AS pos, line FROM u"""),
 }
