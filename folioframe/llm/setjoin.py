@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix64, parallel_parts, text_steps
+from .common import durable, mix64, parallel_parts, release, text_steps
 from .components import components, forest
 from .exact_dedup import MAX_BROADCAST_IDS
 from .setjoin_core import band, linked, signatures
@@ -50,22 +50,44 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple
     return h[keep], np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(soff) - 1))]).astype(np.int64)
 
 
-def set_digests(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each set, whatever its order."""
+#: Rounds of new node digests, should two different sets have one; each has odds of n^2 / 2^65 for n sets.
+MAX_SALTS = 16
+
+
+def set_digests(h: np.ndarray, off: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set, whatever its order; the first, the node's, by a salt."""
     out = []
-    for salt in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165):
+    for salt in (0x1D8E4E27C47D124F ^ salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1, 0xEB44ACCAB455D165):
         total = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(mix64(h ^ np.uint64(salt)), out=total[1:])
         out.append(mix64(total[off[1:]] - total[off[:-1]] + np.diff(off).astype(np.uint64)).view(np.int64))
     return out[0], out[1]
 
 
-def _keys(batches):
-    for b in batches:
-        for a, e, buf, off in text_steps(b.column(1), STEP):
-            h, soff = shingle_sets(buf, off)
-            one, two = set_digests(h, soff)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array(np.diff(soff)), pa.array(one), pa.array(two)], ["doc_id", "n", "d1", "d2"])
+def _keys(salt: int):
+    def run(batches):
+        for b in batches:
+            for a, e, buf, off in text_steps(b.column(1), STEP):
+                h, soff = shingle_sets(buf, off)
+                one, two = set_digests(h, soff, salt)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array(np.diff(soff)), pa.array(one), pa.array(two)], ["doc_id", "n", "d1", "d2"])
+
+    return run
+
+
+def set_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """doc_id, n, d1, d2 of every row; n, d1, d2, rep of every distinct set; and the salt with which no two sets share d1.
+
+    Sets are told apart by both digests, while the graph's nodes are d1 alone, so d1 is made anew until it is unique.
+    """
+    for salt in range(MAX_SALTS):
+        keys = durable(texts.mapInArrow(_keys(salt), "doc_id long, n long, d1 long, d2 long"))
+        classes = durable(keys.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
+        if classes.groupBy("d1").count().filter("count > 1").isEmpty():
+            return keys, classes, salt
+        release(keys)
+        release(classes)
+    raise ValueError(f"node digests clash with {MAX_SALTS} salts")
 
 
 _ENTRY = np.dtype([("sig", "<u8"), ("id", "<i8"), ("need", "<i2"), ("flag", "<u2")])
@@ -95,7 +117,7 @@ def _entries(h: np.ndarray, off: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _ENTRY)
 
 
-def _index(parts: int):
+def _index(parts: int, salt: int = 0):
     """Packed entries by reducing part. Sets met before in the task are indexed once."""
 
     def run(batches):
@@ -103,7 +125,7 @@ def _index(parts: int):
         for b in batches:
             for _, _, buf, off in text_steps(b.column(0), STEP):
                 h, soff = shingle_sets(buf, off)
-                ids, _ = set_digests(h, soff)
+                ids, _ = set_digests(h, soff, salt)
                 fresh = np.array([i not in seen and not seen.add(i) for i in ids.tolist()])
                 if len(seen) > 100_000:
                     seen.clear()
@@ -186,13 +208,16 @@ def _rows(kind, a, b, n, x, y):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["kind", "a", "b", "n", "x", "y"])
 
 
-def _set_rows(batches):
-    for b in batches:
-        for _, _, buf, off in text_steps(b.column(0), STEP):
-            h, soff = shingle_sets(buf, off)
-            one, _ = set_digests(h, soff)
-            blobs = pa.array([h[s:t].tobytes() for s, t in zip(soff[:-1].tolist(), soff[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(one), blobs], ["id", "hashes"])
+def _set_rows(salt: int):
+    def run(batches):
+        for b in batches:
+            for _, _, buf, off in text_steps(b.column(0), STEP):
+                h, soff = shingle_sets(buf, off)
+                one, _ = set_digests(h, soff, salt)
+                blobs = pa.array([h[s:t].tobytes() for s, t in zip(soff[:-1].tolist(), soff[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(one), blobs], ["id", "hashes"])
+
+    return run
 
 
 def _verify(batches):
@@ -275,7 +300,7 @@ def _family_links(poor: DataFrame) -> DataFrame:
     return stars.union(dealt.groupBy("family", "first", "second").applyInPandas(_family_block, "a long, b long"))
 
 
-def _short_links(texts: DataFrame, short: DataFrame) -> list[DataFrame]:
+def _short_links(texts: DataFrame, short: DataFrame, salt: int = 0) -> list[DataFrame]:
     """Links of sets that the pigeonhole cannot serve (a few in a billion) with all sets, a bounded block at a time."""
     out = []
     rows = short.orderBy("id").toLocalIterator()
@@ -292,7 +317,7 @@ def _short_links(texts: DataFrame, short: DataFrame) -> list[DataFrame]:
             for b in batches:
                 for _, _, buf, off in text_steps(b.column(0), STEP):
                     h, soff = shingle_sets(buf, off)
-                    one, _ = set_digests(h, soff)
+                    one, _ = set_digests(h, soff, salt)
                     hit = np.flatnonzero(np.isin(h, known))
                     row = np.searchsorted(soff, hit, "right") - 1
                     inter: dict[tuple[int, int], int] = {}
@@ -324,12 +349,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Only id and text are read, so other columns cannot clash.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keys = durable(texts.mapInArrow(_keys, "doc_id long, n long, d1 long, d2 long"))
-    classes = durable(keys.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
+    keys, classes, salt = set_classes(texts)
     total = keys.agg(F.sum("n")).first()[0] or 0
     parts = max(parallel_parts(docs), -(-total // (2 * PART_SIGNATURES)))
     found = durable(
-        texts.select("text").mapInArrow(_index(parts), "part long, entries binary")
+        texts.select("text").mapInArrow(_index(parts, salt), "part long, entries binary")
         .repartition(parts, "part")
         .mapInArrow(_candidates, "kind int, a long, b long, n int, x int, y int")
     )
@@ -353,14 +377,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = texts.join(F.broadcast(reps) if few else reps, texts["doc_id"] == reps["rep"], "left_semi").select("text")
     if not classes.filter("rep IS NULL").isEmpty():
         some = some.union(texts.filter("doc_id IS NULL").select("text"))
-    sets = durable(some.mapInArrow(_set_rows, "id long, hashes binary").join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    sets = durable(some.mapInArrow(_set_rows(salt), "id long, hashes binary").join(wanted, "id", "left_semi").dropDuplicates(["id"]))
     side = lambda s: sets.select(F.col("id").alias(s), F.col("hashes").alias(f"{s}_set"))
     checked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "a_set", "b", "b_set").mapInArrow(_verify, "a long, b long")
     relatives = sets.join(families.select(F.col("node").alias("id"), F.col("label").alias("family")), "id").withColumn("n", (F.length("hashes") / 8).cast("long"))
     links = checked.union(_family_links(durable(relatives)))
     short = durable(found.filter(F.col("kind") == _SHORT).select(F.col("a").alias("id")).distinct())
     if not short.isEmpty():  # links of these to any row of the corpus come from a scan
-        for more in _short_links(texts.select("text"), durable(sets.join(short, "id", "left_semi"))):
+        for more in _short_links(texts.select("text"), durable(sets.join(short, "id", "left_semi")), salt):
             links = links.union(more)
     # the graph's nodes are the classes, whether or not any row of theirs has an id
     label = durable(components(links))

@@ -385,6 +385,25 @@ def test_set_join_equals_brute_force(spark, near_rows):
     assert kept == {c for _, c in brute_components(near_rows).values()}
 
 
+def test_set_join_with_clashing_nodes(spark, near_rows, monkeypatch):
+    """Digests of few bits clash; then they are made anew, with another salt, until none does, and no link is lost."""
+    real = setjoin.set_digests
+
+    def few(h, off, salt=0):
+        one, two = real(h, off, salt)
+        return (one % 7 if salt < 2 else one), two
+
+    monkeypatch.setattr(setjoin, "set_digests", few)
+    docs = spark.createDataFrame(near_rows, "doc_id long, text string").select("doc_id", "text")
+    monkeypatch.setattr(setjoin, "MAX_SALTS", 2)
+    with pytest.raises(ValueError, match="clash"):
+        setjoin.set_classes(docs)
+    monkeypatch.setattr(setjoin, "MAX_SALTS", 16)
+    assert setjoin.set_classes(docs)[2] == 2
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.near_duplicates(docs).collect()}
+    assert got == brute_components(near_rows)
+
+
 def test_set_join_on_odd_tables(spark, odd, none):
     rows = setjoin.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and {r["component_id"] for r in rows if r["doc_id"] in (1, 4, None)} == {1}
