@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_range
-from .parsers import DEGREE, GRADE_NAMES, INSTITUTIONS, SCHOOLS, _holds, education_groups, is_place
+from .parsers import DATED, DEGREE, GRADE_NAMES, INSTITUTIONS, SCHOOLS, _holds, education_groups, is_place
 
 #: A table's head, a row in brackets, a row of run-together text, lines that say nothing of the record.
 TABLE_HEAD = r"(?i)^(?:degree(?:/certificate)?|qualification|programme|course)\b.*\b(?:institute|institution|university|board|college|school)\b"
@@ -56,7 +56,7 @@ def table_rows(lines: DataFrame, key: str = "doc_id", order: str = "line_no") ->
     line = F.trim("line")
     x = lines.select(key, order, line.alias("line")).filter("line <> ''").withColumn("is_head", F.col("line").rlike(TABLE_HEAD))
     doc = Window.partitionBy(key)
-    x = x.withColumn("headed", F.max("is_head").over(doc)).filter("NOT is_head").withColumn("dated", date_range(F.col("line"))["form"].isNotNull())
+    x = x.withColumn("headed", F.max("is_head").over(doc)).filter("NOT is_head").withColumn("dated", F.col("line").rlike(DATED))
     opens = F.contains("line", F.lit("[")) | F.col("dated") | ~F.col("headed")
     x = x.withColumn("row", F.sum(F.when(opens, 1).otherwise(0)).over(doc.orderBy(order)))
     # lines before the first that opens a row are one row
@@ -79,7 +79,8 @@ def table_rows(lines: DataFrame, key: str = "doc_id", order: str = "line_no") ->
         start=F.trim(F.regexp_extract(row, CRUSHED_ROW, 1)), end=end, is_current=F.lower(end) == "present", gpa=_some(F.regexp_extract(row, CRUSHED_ROW, 5)),
     )
     got = F.when(F.col("headed") & row.rlike(BRACKETS), brackets).when(F.col("headed") & (text != "") & (~has | _studied(text)["degree"].isNotNull()), inline).when(~F.col("headed") & row.rlike(CRUSHED_ROW), crushed)
-    return rows.select(key, order, got.alias("r")).filter("r IS NOT NULL").select(key, order, "r.*")
+    # as a generated row, so that the filter is not moved down with a copy of the whole record
+    return rows.select(key, order, F.explode(F.array(got)).alias("r")).filter("r IS NOT NULL").select(key, order, "r.*")
 
 
 def _barred(cells: Column) -> Column:
@@ -151,15 +152,17 @@ def barred_records(lines: DataFrame, key: str = "doc_id", order: str = "line_no"
     return x.groupBy(key, order).agg(F.array_sort(F.collect_list(cell)).alias("cells")).select(key, order, _barred(F.col("cells")).alias("barred"))
 
 
-def group_records(groups: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
+def group_records(groups: DataFrame, key: str = "doc_id", order: str = "line_no", lines: DataFrame | None = None) -> DataFrame:
     """key, entry and the record of each group (entry) of education lines: a line fills what the record still lacks.
 
     Of a line, the first date range, the grade (in one of five forms) and then the rest are read: an institution before
     a degree, a degree with its field behind "in" or a dash, a place (nothing), or else the institution, then the degree.
     A bare number ends a degree's line as its grade only while there is none. A line of three or more parts between bars
-    that is a record by itself is the group's record. Groups without an institution and a degree have none.
+    that is a record by itself is the group's record. Groups without an institution and a degree have none. With the
+    lines that the groups come from, lines between bars are read from them, and the groups are made once.
     """
-    x = groups.filter(~F.col("line").rlike(SAYS_NOTHING)).join(barred_records(groups, key, order), [key, order], "left").withColumn("dr", date_range(F.col("line")))
+    bars = groups if lines is None else lines.select(key, order, F.trim("line").alias("line"))
+    x = groups.filter(~F.col("line").rlike(SAYS_NOTHING)).join(barred_records(bars, key, order), [key, order], "left").withColumn("dr", date_range(F.col("line")))
     rest = F.when(F.trim("dr.remaining") != "", F.trim("dr.remaining")).otherwise(F.col("line"))
     x = x.withColumn("rest", rest)
     rest = F.col("rest")
@@ -188,7 +191,7 @@ def group_records(groups: DataFrame, key: str = "doc_id", order: str = "line_no"
         )
 
     done = F.aggregate("xs", zero, step, lambda a: F.coalesce(a["barred"], _record(institution=a["institution"], degree=a["degree"], field_of_study=a["field"], start=a["dr"]["start"], end=a["dr"]["end"], is_current=a["dr"]["is_current"], gpa=a["gpa"])))
-    return per.select(key, "entry", done.alias("r")).select(key, "entry", "r.*").filter("institution IS NOT NULL OR degree IS NOT NULL")
+    return per.select(key, "entry", F.explode(F.array(done)).alias("r")).select(key, "entry", "r.*").filter("institution IS NOT NULL OR degree IS NOT NULL")
 
 
 def education_entries(lines: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
@@ -196,6 +199,6 @@ def education_entries(lines: DataFrame, key: str = "doc_id", order: str = "line_
     records of its groups of lines."""
     rows = table_rows(lines, key, order)
     tables = rows.withColumn("entry", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long") - 1).select(key, "entry", *RECORD)
-    others = group_records(education_groups(lines.join(rows.select(key).distinct(), key, "left_anti"), key, order), key, order)
+    others = group_records(education_groups(lines.join(rows.select(key).distinct(), key, "left_anti"), key, order), key, order, lines)
     numbered = F.row_number().over(Window.partitionBy(key).orderBy("entry")).cast("long") - 1
     return tables.unionByName(others.withColumn("entry", numbered).select(key, "entry", *RECORD))

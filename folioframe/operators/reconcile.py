@@ -37,7 +37,9 @@ def distinct_items(items: Column) -> Column:
 def _signed(entries: DataFrame, lines: Column) -> DataFrame:
     said = F.filter(lines, lambda x: F.coalesce(x, F.lit("")) != "")
     apart = entries.select(F.struct("*").alias("__entry"), said.alias("lines"))  # an entry may have columns named as counts are
-    return signatures.section_scores(signatures.features(apart)).select("__entry.*", *[f"{k}_score" for k in signatures.KINDS])
+    # as a generated row: a filter on scores would else be moved down with a copy of all that they are made of
+    scores = F.explode(F.array(F.struct(*[f"{k}_score" for k in signatures.KINDS])))
+    return signatures.section_scores(signatures.features(apart)).select("__entry", scores.alias("__s")).select("__entry.*", "__s.*")
 
 
 def _first_of(entries: DataFrame, key: str, order: list, same: list[str]) -> DataFrame:

@@ -32,7 +32,8 @@ def education_tables(spark, sf_dir):
 
 
 def education_records(spark, sf_dir):
-    return ed.group_records(parsers.education_groups(view(spark, sf_dir, "education_groups_lines")))
+    lines = view(spark, sf_dir, "education_groups_lines")
+    return ed.group_records(parsers.education_groups(lines), lines=lines)
 
 
 def education_entries(spark, sf_dir):
