@@ -732,3 +732,18 @@ def test_more_languages_than_training_rows_a_language(spark, monkeypatch):
     got = language.predict_language(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
     truth = {i: lang for i, _, lang in docs}
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in got if r["held_out"]) > 0.9 * sum(r["held_out"] for r in got)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_odd_tables(spark, odd, empty):
+    """Nulls, empty and long texts, repeated and missing ids, clashing columns: every stage keeps its columns and runs."""
+    import corpus_pipeline as cp
+
+    docs = (odd.limit(0) if empty else odd).withColumn("n_chars", F.length("text").cast("long"))
+    rows = docs.count()
+    for name, stage in cp.STAGES[:-1]:
+        after = stage(spark, docs, "/root/testdata/sf0.001")
+        assert after.columns == docs.columns, name
+        assert after.count() <= rows, name
+    pieces = cp.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect()
+    assert len({r["doc_id"] for r in pieces}) == len({r["doc_id"] for r in docs.select("doc_id").collect()})
