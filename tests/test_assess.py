@@ -18,3 +18,10 @@ def test_lists_that_are_missing_count_nothing(spark):
     items = spark.createDataFrame([(2, "Chess"), (2, "Go"), (3, None)], "cand_id long, item string")
     shown = spark.createDataFrame([(1, "awards"), (2, "awards")], "cand_id long, section string")
     assert scores(assess.list_confidence(people, items, shown, "awards")) == {1: 0.0, 2: 0.6, 3: 0.0}
+
+
+def test_skills_that_are_missing_count_nothing(spark):
+    people = spark.createDataFrame([(1,), (2,), (3,)], "cand_id long")
+    skills = spark.createDataFrame([(2, "Go"), (2, "• SQL"), (3, None)], "cand_id long, skill string")
+    shown = spark.createDataFrame([(1, "skills"), (2, "skills")], "cand_id long, section string")
+    assert scores(assess.skill_confidence(people, skills, shown)) == {1: 0.0, 2: 0.5, 3: 0.05}
