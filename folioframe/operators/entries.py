@@ -85,17 +85,53 @@ def project_names(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(low.rlike(rf"(?<!\w)(?:{_quoted((name, *keys))})(?!\w)"), name) for name, keys in PROJECT_TECHNOLOGIES.items()]))
 
 
+def _technology_keys() -> dict[str, tuple[tuple[str, ...], ...]]:
+    """Names in order, each with its keys as a project's technology, as a skill, and as a skill of one letter."""
+    out = {name: (tuple(w.lower() for w in (name, *keys)), (), ()) for name, keys in PROJECT_TECHNOLOGIES.items()}
+    for name, _, _, keys in SKILLS:
+        own = out.get(name, ((), (), ()))
+        out[name] = (own[0], own[1] + tuple(k for k in keys if len(k) > 1), own[2] + tuple(k for k in keys if len(k) == 1))
+    return out
+
+
+def _first_letters(words: list[str]) -> str:
+    """A pattern of the words, parted by first letters, so that few are tried at a place."""
+    return "|".join(f"{a}(?:{'|'.join(sorted(w[1:] for w in words if w[0] == a))})" for a in sorted({w[0] for w in words}))
+
+
+def _nth(at: Column, tests: list[Column], first: int) -> Column:
+    """tests[at - first], found by halves."""
+    half = len(tests) // 2
+    return F.when(at < first + half, _nth(at, tests[:half], first)).otherwise(_nth(at, tests[half:], first + half)) if half else tests[0]
+
+
 def technologies(text: Column) -> Column:
     """All technologies that a text names as whole words: those of projects in their order, then other known skills in
-    theirs. Names of one letter count as capitals that are not part of a sign like C++ or R&D."""
+    theirs. Names of one letter count as capitals that are not part of a sign like C++ or R&D.
+
+    Each run of letters, digits and _ of a key is a whole word of a text with that key. So one scan finds the words that
+    are a key's longest run, and only the names of the words found are looked for with their own patterns.
+    """
     text = F.coalesce(text, F.lit(""))
     low = F.lower(text)
-    named = {name: low.rlike(rf"(?<!\w)(?:{_quoted((name, *keys))})(?!\w)") for name, keys in PROJECT_TECHNOLOGIES.items()}
-    for name, _, _, keys in SKILLS:
-        hit = [low.rlike(rf"(?<![\w.])(?:{_quoted(words)})(?!\w)") for words in [[k for k in keys if len(k) > 1]] if words]
-        hit += [text.rlike(rf"(?<![\w.&+#'’-]){k.upper()}(?![\w&+#'’-])") for k in keys if len(k) == 1]
-        named[name] = reduce(lambda a, b: a | b, hit, named.get(name, F.lit(False)))
-    return F.array_compact(F.array(*[F.when(hit, name) for name, hit in named.items()]))
+    known = _technology_keys()
+    by_word: dict[str, list[int]] = {}
+    tests = []
+    for i, (project, skill, letters) in enumerate(known.values()):
+        for word in {*(max(re.findall(r"[a-z0-9_]+", k), key=len) for k in project + skill), *(k.upper() for k in letters)}:
+            by_word.setdefault(word, []).append(i)
+        forms = [low.rlike(rf"(?<!\w)(?:{_quoted(project)})(?!\w)")] if project else []
+        forms += [low.rlike(rf"(?<![\w.])(?:{_quoted(skill)})(?!\w)")] if skill else []
+        forms += [text.rlike(rf"(?<![\w.&+#'’-]){k.upper()}(?![\w&+#'’-])") for k in letters]
+        tests.append(reduce(lambda a, b: a | b, forms))
+    letters = "".join(sorted(w for w in by_word if w.isupper()))
+    words = F.regexp_extract_all(low, F.lit(rf"(?<!\w)(?:{_first_letters([w for w in by_word if not w.isupper()])})(?!\w)"), F.lit(0))
+    capitals = F.regexp_extract_all(text, F.lit(rf"(?<!\w)[{letters}](?!\w)"), F.lit(0))
+    places = F.create_map(*[x for w, at in by_word.items() for x in (F.lit(w), F.array(*[F.lit(i) for i in at]))])
+    maybe = F.array_sort(F.array_distinct(F.flatten(F.transform(F.concat(words, capitals), lambda w: F.element_at(places, w)))))
+    names = F.array(*[F.lit(name) for name in known])
+    named = F.filter(maybe, lambda at: _nth(at, tests, 0))
+    return F.transform(named, lambda at: F.element_at(names, at + 1))
 
 
 #: Words that ran together and what they read as, applied in this order, case apart.
