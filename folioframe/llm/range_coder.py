@@ -104,17 +104,17 @@ class Counts:
 
 class _Model:
     """Contexts of all lanes, order 1 in row 0 and order 2 in row 1 of every array. A cell holds a guess (a rank) and
-    the trust it has earned, 0 (no guess) to 7."""
+    the trust it has earned, 0 (no guess) to 7. Places are flat and of numpy's own index type: storing by others takes twice as long."""
 
     def __init__(self, lanes: int, counts: Counts):
         self.counts = counts
-        lane = np.arange(2 * lanes, dtype=np.int32).reshape(2, lanes)
+        lane = np.arange(2 * lanes, dtype=np.intp).reshape(2, lanes)
         self.base, self.by8, self.by64 = lane << HASH_BITS, lane << 3, lane << 6
         self.cells = np.zeros(2 * lanes << HASH_BITS, np.int32)
         self.own, self.both = np.full(2 * lanes << 3, 1024, np.int32), np.full(2 * lanes << 6, 1024, np.int32)
         self.weight = np.full((2, lanes), 128 << 8, np.int32)
         self.one = self.two = np.zeros(lanes, np.uint32)
-        self.at = np.empty((2, lanes), np.int32)
+        self.at = np.empty((2, lanes), np.intp)
 
     def step(self, coder: _Coder, x: np.ndarray | None) -> np.ndarray:
         """Codes the next rank of every lane, or reads it if x is None."""
@@ -125,7 +125,8 @@ class _Model:
         at += self.base
         cell = self.cells.take(at)
         trust, guess = cell & 7, cell >> 3
-        own_at, both_at = self.by8 + trust, self.by64 + ((trust[1] << 3) + trust[0])
+        place = trust.astype(np.intp)
+        own_at, both_at = self.by8 + place, self.by64 + ((place[1] << 3) + place[0])
         own, both = self.own.take(own_at), self.both.take(both_at)
         apart = own - both
         odds = both + ((self.weight >> 8) * apart >> 8)
@@ -154,14 +155,15 @@ class _Model:
         coder.apply(below.view(np.uint64), size.view(np.uint64))
         # learn: each order's odds and weight where it was asked, then the contexts' guesses
         asked[0] &= ~right[1]
+        asked = asked.astype(np.int32)
         goal = right * np.int32(4095)
         self.weight = np.minimum(np.maximum(self.weight + ((goal - odds) * apart >> 10) * asked, 0), 255 << 8)
         # steps of 1/16; towards 4095 they end at 4080 by themselves
-        self.own[own_at] = np.maximum(own + ((goal - own) * asked >> 4), 16)
-        self.both[both_at] = np.maximum(both + ((goal - both) * asked >> 4), 16)
+        self.own[own_at.ravel()] = np.maximum(own + ((goal - own) * asked >> 4), 16).ravel()
+        self.both[both_at.ravel()] = np.maximum(both + ((goal - both) * asked >> 4), 16).ravel()
         same = (guess == x) & (trust > 0)
         kept = np.where(same, cell + (trust < 7), cell - (trust + 1 >> 1))
-        self.cells[at] = np.where(same | (trust > 1), kept, (x << 3 | 1).astype(np.int32))
+        self.cells[at.ravel()] = np.where(same | (trust > 1), kept, (x << 3 | 1).astype(np.int32)).ravel()
         self.two, self.one = self.one, (x + 1).astype(np.uint32)
         return x
 
