@@ -11,7 +11,8 @@ def words_to_lines(words: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"),
 
     A word joins the line before it if its top is within max(0.55 of the line's first word's height, 2.5) of the line's
     running top, and both lie on one side of the column gap (null: none). The running top weighs the newest word as the
-    layout rule has it: (top * n + new) / (n + 1) with n counted after the word. One fold over a page's words.
+    layout rule has it: (top * n + new) / (n + 1) with n counted after the word. One fold over a page's words. Words of
+    equal top, x0 and word_no come by x1, bottom and text, both in the fold and in the line's text.
     """
     word = F.struct("top", "x0", "word_no", "x1", "bottom", "text")
     pages = words.groupBy(*keys).agg(F.array_sort(F.collect_list(word)).alias("w"), F.first(gap).alias("gap"))  # one page's words
@@ -31,8 +32,8 @@ def words_to_lines(words: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"),
         new = F.when(near & side, joined).otherwise(opened(w, at["line"] + 1))
         return F.struct(new.alias("at"), F.concat(acc["out"], F.array(new["line"])).alias("out"))
 
-    each = pages.select(*keys, F.explode(F.arrays_zip(F.aggregate("w", none, step)["out"].alias("line"), F.col("w").alias("w"))).alias("z")).select(*keys, F.col("z.line").alias("line"), "z.w.*")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("x0", "top", "word_no", "text"))), lambda s: s["text"])
+    each = pages.select(*keys, F.posexplode(F.arrays_zip(F.aggregate("w", none, step)["out"].alias("line"), F.col("w").alias("w"))).alias("nth", "z")).select(*keys, "nth", F.col("z.line").alias("line"), "z.w.*")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("x0", "nth", "text"))), lambda s: s["text"])
     return each.groupBy(*keys, "line").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.count(F.lit(1)).alias("n_words"), join_words(ordered).alias("text"))
 
 
