@@ -1,10 +1,12 @@
-"""Years of jobs that share their dates."""
+"""Years of jobs that share their dates; levels where jobs have none."""
 
 from datetime import date
 
+import duckdb
 import pytest
 
 from folioframe.operators import career
+from folioframe.plans import career_queries
 
 JOBS = [(1, 1, date(2010, 1, 1), None, True), (1, 2, date(2010, 1, 1), None, True), (2, 1, date(2010, 1, 1), date(2010, 1, 11), False), (2, 2, date(2010, 3, 1), date(2010, 3, 31), False), (2, 3, date(2010, 3, 1), date(2010, 3, 31), False)]
 
@@ -14,3 +16,12 @@ def test_jobs_of_equal_dates_count_once(spark, jobs):
     df = spark.createDataFrame(jobs, "cand_id long, job_no long, start_date date, end_date date, is_current boolean")
     got = {r["cand_id"]: r["days"] for r in career.experience(df, "2010-01-31").collect()}
     assert got == {1: 30, 2: 40}
+
+
+def test_undated_jobs_name_a_level_last(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE orders AS SELECT * FROM (VALUES (1, 7, NULL), (5, 7, TIMESTAMP '2000-01-01'), (12, 8, NULL), (11, 8, TIMESTAMP '2000-01-01')) t(o_orderkey, o_custkey, o_orderdate)")
+    con.execute(f"COPY (SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_orderdate FROM orders) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    got = {r["cand_id"]: r["level"] for r in career_queries.career_level(spark, str(tmp_path)).collect()}
+    assert got == {7: "Principal / Staff (10–15 yrs)", 8: "Senior (6–10 yrs)"}
+    assert got == {k: level for k, _, level in con.execute(career_queries.ORACLES["career_level"]).fetchall()}
