@@ -7,6 +7,7 @@ import pytest
 
 from folioframe.operators import career
 from folioframe.plans import career_queries
+from folioframe.plans.fixtures import AS_OF, VIEWS
 
 JOBS = [(1, 1, date(2010, 1, 1), None, True), (1, 2, date(2010, 1, 1), None, True), (2, 1, date(2010, 1, 1), date(2010, 1, 11), False), (2, 2, date(2010, 3, 1), date(2010, 3, 31), False), (2, 3, date(2010, 3, 1), date(2010, 3, 31), False)]
 
@@ -25,3 +26,17 @@ def test_undated_jobs_name_a_level_last(spark, tmp_path):
     got = {r["cand_id"]: r["level"] for r in career_queries.career_level(spark, str(tmp_path)).collect()}
     assert got == {7: "Principal / Staff (10–15 yrs)", 8: "Senior (6–10 yrs)"}
     assert got == {k: level for k, _, level in con.execute(career_queries.ORACLES["career_level"]).fetchall()}
+
+
+def test_repeated_orders_add_no_days(spark, tmp_path):
+    """Every job six times, ties that the SQL leaves open: the days are those of the merged intervals."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT o_orderkey + i * 900 AS o_orderkey, o_custkey, o_orderdate FROM '/root/testdata/sf0.001/orders.parquet', range(6) t(i)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    want = {}
+    jobs = con.execute(f"WITH jobs AS ({VIEWS['jobs']}) SELECT cand_id, start_date, CASE WHEN is_current OR end_date IS NULL THEN DATE '{AS_OF}' ELSE end_date END AS e FROM jobs WHERE e >= start_date ORDER BY ALL").fetchall()
+    for k, s, e in jobs:
+        days, seen = want.get(k, (0, s))
+        want[k] = (days + max(0, (e - max(s, seen)).days), max(e, seen))
+    got = {r["cand_id"]: r["days"] for r in career_queries.experience_years_union(spark, str(tmp_path)).collect()}
+    assert got == {k: days for k, (days, _) in want.items()}
